@@ -22,11 +22,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: the one with the least id."""
+    """Keeps one document of each group of near-duplicates: the one with the least id. Rows with one id are one document."""
     groups = simhash.near_duplicates(docs)
-    kept = cut(groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("k_doc")).distinct(), "kept")
-    rows = docs.join(small(kept, kept.count()), F.col("doc_id") == F.col("k_doc"), "left_semi")
-    return rows.dropDuplicates(["doc_id"]) if docs.count() != docs.select("doc_id").distinct().count() else rows
+    kept = cut(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k_doc")).distinct(), "kept")
+    rows = docs.join(small(kept, kept.count()), F.col("doc_id").eqNullSafe(F.col("k_doc")), "left_semi")
+    n, unique = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    return rows if n == unique else rows.dropDuplicates(["doc_id"])
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +37,13 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes every document as often as the mix of sources asks for: not at all, once or twice."""
-    taken = mixing.mix(docs, keep=tuple(docs.columns))
-    return taken.where("copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy_no")).select(*docs.columns)
+    taken = cut(mixing.mix(docs).select(F.col("doc_id").alias("m_doc"), "copies"), "mix")
+    n, unique = taken.agg(F.count("*"), F.count_distinct("m_doc")).first()
+    if n == unique:
+        rows = docs.join(small(taken.where("copies > 0"), n), F.col("doc_id") == F.col("m_doc"))
+    else:  # ids don't name rows: carry the rows along
+        rows = mixing.mix(docs, keep=tuple(docs.columns)).where("copies > 0").select("copies", *[F.col(f"keep_{c}").alias(c) for c in docs.columns])
+    return rows.withColumn("m_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

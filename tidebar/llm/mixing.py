@@ -97,7 +97,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
     documents: doc_id, source, text; extra columns are ignored. A null text has size 0; null sources are one source, the
     last; repeated rows are documents of their own; an empty table gives no rows; a source without words has target 0
-    and its documents 0 copies. `keep` names columns to carry along. Reruns agree: coins and order come from hashes."""
+    and its documents 0 copies. `keep` names columns to carry along, as keep_<name>. Reruns agree: coins and order come from hashes."""
     extra = [F.col(c).alias(f"keep_{c}") for c in keep]
     docs = cut(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words(F.col("text")).alias("size"), *extra), "sizes")
     sources = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
@@ -126,4 +126,4 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
         rows = rows.unionByName(x)
     taken = F.col("whole") * F.col("size") + F.round(F.col("p") * F.col("size")).cast("long")
     copies = (F.col("whole") + F.round("p")).cast("long")
-    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"), *[F.col(f"keep_{c}").alias(c) for c in keep])
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"), *[F.col(f"keep_{c}") for c in keep])
