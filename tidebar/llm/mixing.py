@@ -24,8 +24,8 @@ from tidebar.llm.common import BROADCAST_ROWS, cut
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-CHUNK = 20_000
-FAN_IN = 5_000
+CHUNK = 2_000
+FAN_IN = 500
 SEED = 42
 EPS = 1e-9
 
