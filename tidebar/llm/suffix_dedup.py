@@ -236,13 +236,13 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, k: int = K, group_segme
     spark = docs.sparkSession
     segs = cut(docs.select("tid", "text").mapInArrow(_scan(window, k), SEGMENTS), "segments")
     keys = segs.groupBy("key").agg(F.count("*").alias("m"), F.min("seg").alias("lo"), F.max("seg").alias("hi")).where("m > 1").select("key", (F.col("lo") != F.col("hi")).alias("mixed"))
-    again = cut(segs.join(keys, "key"), "again")
+    again = cut(segs.join(cut(keys, "keys"), "key"), "again")  # cut, so that a hot key's side of the join can be split
     whole = again.where("not mixed").select("tid", "start", "n")
     mixed = again.where("mixed")
     kinds = mixed.groupBy("key", "seg").agg(F.count("*").alias("m"), F.min(F.struct("tid", "start", "n")).alias("at"))
     kinds = cut(kinds.select("key", "seg", (F.col("m") == 1).alias("once"), "at.tid", "at.start", "at.n"), "kinds")
     copied = mixed.join(kinds.where("not once").select("key", "seg"), ["key", "seg"], "left_semi").select("tid", "start", "n")
-    groups = kinds.groupBy("key").agg(F.count("*").alias("size"), F.max("once").alias("open")).where("open")
+    groups = cut(kinds.groupBy("key").agg(F.count("*").alias("size"), F.max("once").alias("open")).where("open"), "groups")
     todo = cut(kinds.join(groups, "key").select("key", "seg", "once", "tid", "start", "n", "size"), "todo")
     per_text = todo.groupBy("tid").agg(F.collect_list(F.struct("key", "seg", "once", "start", "n", "size")).alias("segs"))
     n_texts = todo.select("tid").distinct().count()
