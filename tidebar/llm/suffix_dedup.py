@@ -248,7 +248,8 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, k: int = K, group_segme
     n_texts = todo.select("tid").distinct().count()
     out = [whole, copied]
     if n_texts:
-        one = docs.join(small(docs.groupBy("tid").agg(F.min("doc_id").alias("doc_id")).join(todo.select("tid").distinct(), "tid"), n_texts), ["tid", "doc_id"], "left_semi")
+        first = docs.groupBy("tid").agg(F.min("doc_id").alias("first")).join(todo.select("tid").distinct(), "tid").withColumnRenamed("tid", "t")
+        one = docs.join(small(first, n_texts), (F.col("tid") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
         content = one.join(small(per_text, todo.count()), "tid").select("tid", "text", "segs")
         rows = cut(content.mapInArrow(_cut_out(window), "key long, seg long, once boolean, tid long, start long, n int, content binary").dropDuplicates(["key", "seg"]), "content")
         sizes = groups.select("key", "size")
