@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import language_id, mixing, packing, pii, simhash
+from tidebar.llm import language_id, mixing, packing, pii, simhash_words
 from tidebar.llm.common import cut, small
 
 #: Share of n-grams of the predicted language below which a document isn't in any language.
@@ -22,8 +22,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: the one with the least id. Rows with one id are one document."""
-    groups = simhash.near_duplicates(docs)
+    """Keeps one document of each group of near-duplicates: the one with the least id. Rows with one id are one document.
+
+    Linked are texts with a similarity of 0.8 or more in five-word shingles, and those whose SimHash differs in three bits at most."""
+    groups = simhash_words.similar_groups(docs)
     kept = cut(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k_doc")).distinct(), "kept")
     rows = docs.join(small(kept, kept.count()), F.col("doc_id").eqNullSafe(F.col("k_doc")), "left_semi")
     n, unique = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
@@ -40,10 +42,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = cut(mixing.mix(docs).select(F.col("doc_id").alias("m_doc"), "copies"), "mix")
     n, unique = taken.agg(F.count("*"), F.count_distinct("m_doc")).first()
     if n == unique:
-        rows = docs.join(small(taken.where("copies > 0"), n), F.col("doc_id") == F.col("m_doc"))
-    else:  # ids don't name rows: carry the rows along
-        rows = mixing.mix(docs, keep=tuple(docs.columns)).where("copies > 0").select("copies", *[F.col(f"keep_{c}").alias(c) for c in docs.columns])
-    return rows.withColumn("m_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+        times = taken.select("m_doc", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("m_copy"))
+        return docs.join(small(times, 2 * n), F.col("doc_id") == F.col("m_doc")).select(*docs.columns)
+    # ids don't name rows: carry the rows along
+    rows = cut(mixing.mix(docs, keep=tuple(docs.columns)).select("copies", *[F.col(f"keep_{c}").alias(c) for c in docs.columns]), "mixed")
+    return rows.where("copies >= 1").unionAll(rows.where("copies >= 2")).select(*docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
