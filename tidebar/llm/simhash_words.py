@@ -23,7 +23,7 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 DISTANCE = 5
 SHINGLE = 5
 SIMILARITY = 0.8
-TILE = 1024
+TILE = 8192
 
 
 def _mixed(h: np.ndarray, table: int) -> np.ndarray:
@@ -112,11 +112,16 @@ def _propose(distance: int, tile: int):
                 late.append(np.arange(s, s + m))
             elif edges := tree(fp[s : s + m], distance):
                 x, y = np.array(edges).T
+                if bit[s] < width[s]:  # an edge between members with one segment is in the tree of that segment's own entry
+                    apart = ones[s + x] != ones[s + y]
+                    x, y = x[apart], y[apart]
                 a.append(tid[s + x])
                 b.append(tid[s + y])
-        a, b, late = np.concatenate(a), np.concatenate(b), np.concatenate(late)
+        late = np.concatenate(late)
+        x, y = np.concatenate(a), np.concatenate(b)
+        a, b = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y))), axis=1)
         none = lambda n: pa.nulls(n, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none(len(a)), none(len(a))], names=["a", "b", "key", "fp"])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none(len(a)), none(len(a))], names=["a", "b", "key", "fp"])
         if len(late):
             yield pa.RecordBatch.from_arrays([pa.array(tid[late]), none(len(late)), pa.array(key[late]), pa.array(fp[late].view(np.int64))], names=["a", "b", "key", "fp"])
 
