@@ -93,6 +93,10 @@ def test_simulation_is_the_plain_fold(walk, rules):
     r = np.diff(want) / want[:-1]
     assert math.isclose(m["total_return"][0], (want[-1] / rules.cash - 1) * 100, abs_tol=1e-9)
     assert math.isclose(m["volatility"][0], r.std() * math.sqrt(252) * 100, rel_tol=1e-6)
+    annual = (want[-1] / rules.cash) ** (252 / len(want)) - 1
+    if (r < 0).sum() > 1:
+        assert math.isclose(m["sortino"][0], (annual - 0.035) / (r[r < 0].std(ddof=1) * math.sqrt(252)), rel_tol=1e-6)
+        assert math.isclose(m["calmar"][0], annual / -(want / np.maximum.accumulate(want) - 1).min(), rel_tol=1e-6)
     assert math.isclose(m["max_drawdown"][0], (want / np.maximum.accumulate(want) - 1).min() * 100, abs_tol=1e-9)
 
 

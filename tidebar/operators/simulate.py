@@ -86,6 +86,7 @@ def lanes(b: pd.DataFrame, signal: np.ndarray, rules: Rules, keep: bool = False)
     buys, sells, wins, won, lost = (np.zeros(m) for _ in range(5))
     peak, mdd, dur, longest = np.full(m, -np.inf), np.zeros(m), np.zeros(m), np.zeros(m)
     last, s1, s2, c1 = np.full(m, np.nan), np.zeros(m), np.zeros(m), 0
+    n1, n2, nc = np.zeros(m), np.zeros(m), np.zeros(m)  # of negative returns
     equity = np.zeros((n, m)) if keep else None
     trades: list[tuple] = []
     fill_open = rules.fill == "open"
@@ -163,14 +164,22 @@ def lanes(b: pd.DataFrame, signal: np.ndarray, rules: Rules, keep: bool = False)
             s1 += r
             s2 += r * r
             c1 += 1
+            low = np.minimum(r, 0)
+            n1 += low
+            n2 += low * low
+            nc += r < 0
         last = now
     mean = s1 / max(c1, 1)
     std = np.sqrt(np.maximum(s2 / max(c1, 1) - mean**2, 0))
     total = (last / rules.cash - 1) * 100 if n else np.zeros(m)
     with np.errstate(all="ignore"):
+        annual = (np.sign(1 + total / 100) * np.abs(1 + total / 100) ** (252 / max(n, 1)) - 1) * 100
+        down = np.sqrt(np.maximum(n2 - n1**2 / np.maximum(nc, 1), 0) / np.maximum(nc - 1, 1)) * np.sqrt(252) * 100
         metrics = {
             "total_return": total,
-            "annual_return": (np.sign(1 + total / 100) * np.abs(1 + total / 100) ** (252 / max(n, 1)) - 1) * 100,
+            "annual_return": annual,
+            "sortino": np.where(down > 1e-12, (annual - 3.5) / np.where(down > 1e-12, down, 1), 0.0),
+            "calmar": np.where(mdd < 0, annual / np.where(mdd < 0, -mdd * 100, 1), 0.0),
             "volatility": std * np.sqrt(252) * 100,
             "sharpe": np.where(std > 1e-15, (mean - 0.035 / 252) / np.where(std > 1e-15, std, 1) * np.sqrt(252), 0.0),
             "max_drawdown": mdd * 100,
@@ -183,7 +192,7 @@ def lanes(b: pd.DataFrame, signal: np.ndarray, rules: Rules, keep: bool = False)
     return metrics, (equity, trades)
 
 
-METRICS = ("total_return", "annual_return", "volatility", "sharpe", "max_drawdown", "mdd_duration", "win_rate", "profit_factor", "total_trades", "final_equity")
+METRICS = ("total_return", "annual_return", "volatility", "sharpe", "sortino", "calmar", "max_drawdown", "mdd_duration", "win_rate", "profit_factor", "total_trades", "final_equity")
 BLOCK = 250
 
 
