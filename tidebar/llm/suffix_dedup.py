@@ -241,7 +241,8 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, k: int = K, group_segme
     mixed = again.where("mixed")
     kinds = mixed.groupBy("key", "seg").agg(F.count("*").alias("m"), F.min(F.struct("tid", "start", "n")).alias("at"))
     kinds = cut(kinds.select("key", "seg", (F.col("m") == 1).alias("once"), "at.tid", "at.start", "at.n"), "kinds")
-    copied = mixed.join(kinds.where("not once").select("key", "seg"), ["key", "seg"], "left_semi").select("tid", "start", "n")
+    often = kinds.where("not once").select("key", "seg")
+    copied = mixed.join(small(often, often.count()), ["key", "seg"], "left_semi").select("tid", "start", "n")
     groups = cut(kinds.groupBy("key").agg(F.count("*").alias("size"), F.max("once").alias("open")).where("open"), "groups")
     todo = cut(kinds.join(groups, "key").select("key", "seg", "once", "tid", "start", "n", "size"), "todo")
     per_text = todo.groupBy("tid").agg(F.collect_list(F.struct("key", "seg", "once", "start", "n", "size")).alias("segs"))
