@@ -187,6 +187,11 @@ _TEXTS = {
     "streaks": metrics.streaks(), "trade_stats": metrics.trade_stats(),
     "correlation": quant.correlation(), "rank_correlation": quant.rank_correlation(), "relative_metrics": quant.relative("A-F"), "rolling_relative": quant.rolling_relative("A-F"), "cointegration": quant.cointegration(), "entropy": quant.entropy(),
     "market_regimes": f"SELECT symbol, ts, regime FROM ({quant.regimes()})", "regime_transitions": quant.transitions(), "regime_stats": quant.regime_stats(), "factor_columns": quant.factors(),
+    "period_analysis": metrics.period_analysis(), "top_drawdowns": metrics.top_drawdowns(), "best_worst_months": metrics.best_worst_months(), "month_table": metrics.month_table(), "tail_shape": metrics.tail_shape(),
+    "january_effect": metrics.split_effect("month(ts) = 1"), "summer_effect": metrics.split_effect("month(ts) BETWEEN 5 AND 10"), "holiday_effect": metrics.holiday_effect(tuple(f"{y}-12-25" for y in range(1993, 1998))),
+    "window_performance": metrics.window_performance((("first", "1992-03-01", "1992-09-30"), ("middle", "1994-02-01", "1995-01-31"), ("last", "1998-01-01", "2000-01-01"))),
+    "mutual_information": quant.mutual_information(), "transfer_entropy": quant.transfer_entropy(), "rolling_correlation": quant.rolling_correlation(), "spread_bands": quant.spread_bands(), "find_pairs": quant.find_pairs(),
+    "volatility_classes": quant.volatility_classes(), "diversification": quant.diversification(), "price_regimes": quant.price_regimes(), "regime_forecast": quant.regime_forecast(), "regime_spells": quant.regime_spells(),
 }
 for _n, _t in _TEXTS.items():
     _x = f"WITH trades AS (SELECT * FROM ({_T}) WHERE pnl IS NOT NULL) {_t}" if _n in ("streaks", "trade_stats") else _t

@@ -74,3 +74,68 @@ def trade_stats() -> str:
     return """SELECT symbol, CAST(count(*) AS BIGINT) AS trades, CAST(sum(CASE WHEN pnl > 0 THEN 1 ELSE 0 END) AS BIGINT) AS wins, round(avg(CASE WHEN pnl > 0 THEN 1e0 ELSE 0e0 END), 6) AS win_rate,
         round(avg(pnl), 3) AS avg_pnl, round(avg(CASE WHEN pnl > 0 THEN pnl END), 3) AS avg_win, round(avg(CASE WHEN pnl <= 0 THEN pnl END), 3) AS avg_loss, round(sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) / nullif(-sum(CASE WHEN pnl <= 0 THEN pnl ELSE 0 END), 0), 5) AS profit_factor,
         round(avg(CASE WHEN pnl > 0 THEN 1e0 ELSE 0e0 END) * coalesce(avg(CASE WHEN pnl > 0 THEN pct END), 0) + (1 - avg(CASE WHEN pnl > 0 THEN 1e0 ELSE 0e0 END)) * coalesce(avg(CASE WHEN pnl <= 0 THEN pct END), 0), 6) AS expectancy FROM trades GROUP BY symbol"""
+
+
+#: Bars of the looks back; the last takes all.
+SPANS = (("1M", 21), ("3M", 63), ("6M", 126), ("1Y", 252), ("2Y", 504), ("3Y", 756), ("5Y", 1260), ("ALL", 2147483647))
+NUDGE = "0.000000137"
+
+
+def period_analysis() -> str:
+    """Return, volatility and share of gains over the last bars of each span that has five or more."""
+    spans = " UNION ALL ".join(f"SELECT '{k}' AS span, {n} AS len" for k, n in SPANS)
+    back = f"SELECT symbol, ts, value, r, lag(value) OVER ({DAY}) AS prev, n - rn + 1 AS back FROM ({RETURNS})"
+    return f"""SELECT symbol, span, CAST(count(*) AS BIGINT) AS bars, round(max_by(value, ts) / nullif(min_by(prev, ts), 0) - 1 + {NUDGE}, 6) AS total_return,
+        round(stddev_samp(r) * sqrt(252) + {NUDGE}, 6) AS volatility, round(avg(CASE WHEN r > 0 THEN 1e0 ELSE 0e0 END) + {NUDGE}, 6) AS win_rate
+        FROM ({back}) JOIN ({spans}) s ON back <= len WHERE r IS NOT NULL GROUP BY symbol, span HAVING count(*) >= 5"""
+
+
+def top_drawdowns(n: int = 5) -> str:
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY depth, start_ts) AS k FROM ({drawdown_periods()})"
+    return f"SELECT symbol, CAST(k AS INT) AS rank, start_ts, bars, depth FROM ({ranked}) WHERE k <= {n}"
+
+
+def best_worst_months(n: int = 3) -> str:
+    ranked = lambda kind, order: f"SELECT symbol, '{kind}' AS kind, row_number() OVER (PARTITION BY symbol ORDER BY ret {order}, month) AS k, month, ret FROM ({monthly_returns()}) WHERE ret IS NOT NULL"
+    return f"SELECT symbol, kind, CAST(k AS INT) AS rank, month, ret FROM ({ranked('best', 'DESC')} UNION ALL {ranked('worst', 'ASC')}) WHERE k <= {n}"
+
+
+def month_table() -> str:
+    """Monthly returns, a row a year and a column a month."""
+    months = ", ".join(f"max(CASE WHEN month % 100 = {m} THEN ret END) AS m{m:02}" for m in range(1, 13))
+    return f"SELECT symbol, CAST(floor(month / 100) AS INT) AS year, {months} FROM ({monthly_returns()}) GROUP BY symbol, floor(month / 100)"
+
+
+def tail_shape(q: float = 0.05) -> str:
+    """Skewness and excess kurtosis (population), means and deviations of both tails, their ratio and the extremes."""
+    quantile = lambda p: f"percentile_cont({p}) WITHIN GROUP (ORDER BY r)"
+    z = f"SELECT symbol, r, (r - avg(r) OVER (PARTITION BY symbol)) / nullif(stddev_pop(r) OVER (PARTITION BY symbol), 0) AS z FROM ({RETURNS}) WHERE r IS NOT NULL"
+    low, high = "CASE WHEN r <= q.low THEN r END", "CASE WHEN r >= q.high THEN r END"
+    return f"""SELECT t.symbol, round(avg(z * z * z) + {NUDGE}, 5) AS skew, round(avg(z * z * z * z) - 3 + {NUDGE}, 5) AS kurtosis, round(avg({low}) + {NUDGE}, 6) AS low_mean, round(avg({high}) + {NUDGE}, 6) AS high_mean,
+        round(stddev_samp({low}) + {NUDGE}, 6) AS low_std, round(stddev_samp({high}) + {NUDGE}, 6) AS high_std, round(abs(avg({high}) / nullif(avg({low}), 0)) + {NUDGE}, 5) AS tail_ratio, round(min(r) + {NUDGE}, 6) AS worst, round(max(r) + {NUDGE}, 6) AS best
+        FROM ({z}) t JOIN (SELECT symbol, {quantile(q)} AS low, {quantile(1 - q)} AS high FROM ({RETURNS}) GROUP BY symbol) q ON t.symbol = q.symbol GROUP BY t.symbol"""
+
+
+def split_effect(cond: str) -> str:
+    """Daily returns where cond holds against the rest, with Welch's t and its degrees of freedom: January, half years and the like."""
+    side = f"SELECT symbol, CASE WHEN {cond} THEN 1 ELSE 0 END AS inside, r FROM ({RETURNS}) WHERE r IS NOT NULL"
+    pick = lambda f, k: f"{f}(CASE WHEN inside = {k} THEN r END)"
+    a, b = (f"{pick('var_samp', k)} / nullif({pick('count', k)}, 0)" for k in (1, 0))
+    return f"""SELECT symbol, CAST({pick('count', 1)} AS BIGINT) AS n_in, CAST({pick('count', 0)} AS BIGINT) AS n_out, round({pick('avg', 1)} + {NUDGE}, 6) AS mean_in, round({pick('avg', 0)} + {NUDGE}, 6) AS mean_out,
+        round(({pick('avg', 1)} - {pick('avg', 0)}) / nullif(sqrt({a} + {b}), 0) + {NUDGE}, 4) AS t,
+        round(({a} + {b}) * ({a} + {b}) / nullif(({a}) * ({a}) / nullif({pick('count', 1)} - 1, 0) + ({b}) * ({b}) / nullif({pick('count', 0)} - 1, 0), 0) + {NUDGE}, 2) AS df FROM ({side}) GROUP BY symbol"""
+
+
+def holiday_effect(dates: tuple[str, ...]) -> str:
+    """Returns of the last trading day before and the first after each date of a short list: as-of joins both ways."""
+    days = " UNION ALL ".join(f"SELECT CAST('{d}' AS TIMESTAMP) AS holiday" for d in dates)
+    return f"""SELECT symbol, holiday, max(CASE WHEN ts < holiday THEN ts END) AS before_ts, min(CASE WHEN ts > holiday THEN ts END) AS after_ts,
+        round(max_by(r, CASE WHEN ts < holiday THEN ts END) + {NUDGE}, 6) AS before_r, round(min_by(r, CASE WHEN ts > holiday THEN ts END) + {NUDGE}, 6) AS after_r
+        FROM ({RETURNS}) CROSS JOIN ({days}) h WHERE r IS NOT NULL GROUP BY symbol, holiday"""
+
+
+def window_performance(windows: tuple[tuple[str, str, str], ...]) -> str:
+    """Return and deepest fall within named spans of dates (name, from, to), cut to the dates there are: an interval join with a short list."""
+    spans = " UNION ALL ".join(f"SELECT '{k}' AS span, CAST('{a}' AS TIMESTAMP) AS since, CAST('{b}' AS TIMESTAMP) AS until" for k, a, b in windows)
+    inside = f"SELECT symbol, span, ts, value, value / max(value) OVER (PARTITION BY symbol, span ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS fall FROM series JOIN ({spans}) s ON ts >= since AND ts <= until"
+    return f"SELECT symbol, span, CAST(count(*) AS BIGINT) AS bars, round(max_by(value, ts) / nullif(min_by(value, ts), 0) - 1 + {NUDGE}, 6) AS total_return, round(min(fall) + {NUDGE}, 6) AS max_drawdown FROM ({inside}) GROUP BY symbol, span HAVING count(*) >= 2"

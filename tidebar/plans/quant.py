@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidebar.plans.metrics import DAY, RETURNS
+from tidebar.plans.metrics import DAY, NUDGE, RETURNS
 
 #: Returns of two symbols on common dates. A theta join on the symbols' names: a row a pair and date.
 PAIRS = f"SELECT a.symbol AS a, b.symbol AS b, a.ts AS ts, a.r AS x, b.r AS y, a.value AS va, b.value AS vb FROM ({RETURNS}) a JOIN ({RETURNS}) b ON a.ts = b.ts AND a.symbol < b.symbol WHERE a.r IS NOT NULL AND b.r IS NOT NULL"
@@ -75,3 +75,81 @@ def factors() -> str:
     """Momentum and volatility factors of each symbol's returns."""
     m = lambda n: f"CASE WHEN count(r) OVER ({DAY} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) = {n} THEN avg(r) OVER ({DAY} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END"
     return f"SELECT symbol, ts, round({m(252)} - {m(21)}, 6) AS momentum, round(-stddev_samp(r) OVER ({DAY} ROWS BETWEEN 20 PRECEDING AND CURRENT ROW), 6) AS volatility FROM ({RETURNS})"
+
+
+def _bin(c: str, bins: int, part: str) -> str:
+    """Number of c's bin of equal width; the last is closed."""
+    over = f"OVER (PARTITION BY {part})"
+    return f"CAST(least(floor(({c} - min({c}) {over}) / nullif(max({c}) {over} - min({c}) {over}, 0) * {bins}), {bins - 1}) AS INT)"
+
+
+def mutual_information(bins: int = 16) -> str:
+    """Joint and conditional entropy and mutual information of two symbols' returns, in bits."""
+    counted = f"SELECT a, b, bx, by_, count(*) AS c FROM (SELECT a, b, {_bin('x', bins, 'a, b')} AS bx, {_bin('y', bins, 'a, b')} AS by_ FROM ({PAIRS})) GROUP BY a, b, bx, by_"
+    share = lambda more: f"sum(c) OVER (PARTITION BY a, b{more}) * 1e0 / sum(c) OVER (PARTITION BY a, b)"
+    p = f"SELECT a, b, c * 1e0 / sum(c) OVER (PARTITION BY a, b) AS p, {share(', bx')} AS px, {share(', by_')} AS py FROM ({counted})"
+    return f"SELECT a, b, round(-sum(p * ln(p)) / ln(2) + {NUDGE}, 5) AS joint_entropy, round(-sum(p * ln(p / px)) / ln(2) + {NUDGE}, 5) AS conditional_entropy, round(greatest(0e0, sum(p * ln(p / (px * py))) / ln(2)) + {NUDGE}, 5) AS mutual_information FROM ({p}) GROUP BY a, b"
+
+
+def transfer_entropy(bins: int = 6, k: int = 1) -> str:
+    """What one symbol's return k bars ago tells of another's beyond that one's own past, in bits, both ways."""
+    ways = f"SELECT a AS source, b AS target, ts, x, y FROM ({PAIRS}) UNION ALL SELECT b, a, ts, y, x FROM ({PAIRS})"
+    binned = f"SELECT source, target, ts, {_bin('x', bins, 'source, target')} AS bx, {_bin('y', bins, 'source, target')} AS y1 FROM ({ways})"
+    past = f"SELECT source, target, y1, lag(y1, {k}) OVER (PARTITION BY source, target ORDER BY ts) AS y0, lag(bx, {k}) OVER (PARTITION BY source, target ORDER BY ts) AS x0 FROM ({binned})"
+    counted = f"SELECT source, target, y1, y0, x0, count(*) AS c FROM ({past}) WHERE y0 IS NOT NULL AND x0 IS NOT NULL GROUP BY source, target, y1, y0, x0"
+    n = lambda by: f"sum(c) OVER (PARTITION BY source, target{by}) * 1e0"
+    p = f"SELECT source, target, c * 1e0 / {n('')} AS p, c * {n(', y0')} / ({n(', y0, x0')} * {n(', y1, y0')}) AS gain FROM ({counted})"
+    return f"SELECT source, target, round(greatest(0e0, sum(p * ln(gain)) / ln(2)) + {NUDGE}, 5) AS transfer_entropy FROM ({p}) GROUP BY source, target"
+
+
+def rolling_correlation(n: int = 60) -> str:
+    w = f"OVER (PARTITION BY a, b ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"SELECT a, b, ts, CASE WHEN count(*) {w} = {n} THEN round(corr(x, y) {w} + {NUDGE}, 4) + 0e0 END AS corr FROM ({PAIRS})"
+
+
+def spread_bands(n: int = 20, k: float = 2.0) -> str:
+    """Log spread of two symbols, its z-score over n bars, and the band it is in."""
+    w = f"OVER (PARTITION BY a, b ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    s = f"SELECT a, b, ts, s, CASE WHEN count(s) {w} = {n} THEN (s - avg(s) {w}) / nullif(stddev_samp(s) {w}, 0) END AS z FROM (SELECT a, b, ts, ln(va) - ln(vb) AS s FROM ({PAIRS}))"
+    return f"SELECT a, b, ts, round(s + {NUDGE}, 5) AS spread, round(z + {NUDGE}, 4) AS z, CASE WHEN z > {k} THEN 'above' WHEN z < -{k} THEN 'below' WHEN z IS NOT NULL THEN 'inside' END AS band FROM ({s})"
+
+
+def find_pairs(n: int = 5) -> str:
+    """The pairs whose spread returns most surely."""
+    return f"SELECT a, b, hedge, t_value, half_life FROM ({cointegration()}) ORDER BY t_value, a, b LIMIT {n}"
+
+
+def volatility_classes(n: int = 20) -> str:
+    """Returns by tercile of the symbol's own n-bar volatility."""
+    v = f"SELECT symbol, r, CASE WHEN count(r) OVER ({DAY} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) = {n} THEN stddev_samp(r) OVER ({DAY} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END AS vol FROM ({RETURNS})"
+    cuts = f"SELECT symbol, percentile_cont(0.333333) WITHIN GROUP (ORDER BY vol) AS low, percentile_cont(0.666667) WITHIN GROUP (ORDER BY vol) AS high FROM ({v}) GROUP BY symbol"
+    kind = "CASE WHEN vol <= low THEN 'calm' WHEN vol <= high THEN 'normal' ELSE 'wild' END"
+    return f"SELECT t.symbol, {kind} AS kind, CAST(count(*) AS BIGINT) AS n, round(avg(r) * 252 + {NUDGE}, 6) AS annual, round(stddev_samp(r) * sqrt(252) + {NUDGE}, 6) AS volatility FROM ({v}) t JOIN ({cuts}) c ON t.symbol = c.symbol WHERE vol IS NOT NULL GROUP BY t.symbol, {kind}"
+
+
+def diversification() -> str:
+    """Of equal weights: mean volatility over the portfolio's, and the number of symbols."""
+    own = f"SELECT stddev_samp(r) AS s FROM ({RETURNS}) WHERE r IS NOT NULL GROUP BY symbol"
+    both = f"SELECT covar_samp(x, y) AS c FROM ({PAIRS}) GROUP BY a, b"
+    return f"SELECT CAST(count(*) AS BIGINT) AS effective_n, round(sum(s) / nullif(sqrt(sum(s * s) + 2 * (SELECT coalesce(sum(c), 0) FROM ({both}))), 0) + {NUDGE}, 5) AS ratio FROM ({own})"
+
+
+def price_regimes(n: int = 20) -> str:
+    """Plain regimes: volatility above 40 percent a year, else the n-bar return above or below 5 percent."""
+    base = f"SELECT symbol, ts, rn, stddev_pop(r) OVER ({DAY} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) * sqrt(252) AS vol, value / nullif(lag(value, {n}) OVER ({DAY}), 0) - 1 AS move FROM ({RETURNS})"
+    return f"SELECT symbol, ts, CASE WHEN vol > 0.4e0 THEN 'high_volatility' WHEN move > 0.05e0 THEN 'bull' WHEN move < -0.05e0 THEN 'bear' ELSE 'sideways' END AS regime FROM ({base}) WHERE rn > {n}"
+
+
+def regime_forecast(steps: int = 3) -> str:
+    """Chances of each regime some steps from each regime: the transition matrix multiplied by itself, as joins of its few rows."""
+    one = transitions()
+    q = f"SELECT symbol, regime, nxt, p FROM ({one})"
+    for _ in range(steps - 1):
+        q = f"SELECT x.symbol, x.regime, y.nxt, sum(x.p * y.p) AS p FROM ({q}) x JOIN ({one}) y ON x.symbol = y.symbol AND x.nxt = y.regime GROUP BY x.symbol, x.regime, y.nxt"
+    return f"SELECT symbol, regime, nxt, round(p + {NUDGE}, 5) AS p FROM ({q})"
+
+
+def regime_spells() -> str:
+    """Lengths of unbroken runs of each regime."""
+    marked = f"SELECT symbol, ts, regime, row_number() OVER ({DAY}) - row_number() OVER (PARTITION BY symbol, regime ORDER BY ts) AS run FROM ({regimes()})"
+    return f"SELECT symbol, regime, CAST(count(*) AS BIGINT) AS spells, round(avg(len) + {NUDGE}, 4) AS mean_bars, CAST(max(len) AS BIGINT) AS longest FROM (SELECT symbol, regime, run, count(*) AS len FROM ({marked}) GROUP BY symbol, regime, run) GROUP BY symbol, regime"
