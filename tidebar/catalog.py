@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.functions import costs
+from tidebar.functions import costs, limits
 from tidebar.operators import indicators, recurrences, simulate, steps
 from tidebar.operators.simulate import Rules
 from tidebar.plans import analytics, metrics, presets, quant, search
@@ -233,10 +234,55 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.pairs_signals(s.selectExpr("pair", "ts", f"CASE WHEN count(s) {w} = 20 THEN (s - avg(s) {w}) / nullif(stddev_samp(s) {w}, 0) END AS z"))
 
 
+def _factor_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _series(spark, sf_dir).createOrReplaceTempView("series")
+    return spark.sql(f"SELECT r.symbol, r.ts, r.r, f.momentum, f.volatility FROM ({metrics.RETURNS}) r JOIN (SELECT symbol, lead(ts) OVER (PARTITION BY symbol ORDER BY ts) AS ts, momentum, volatility FROM ({quant.factors()})) f ON r.symbol = f.symbol AND r.ts = f.ts")
+
+
 def _factor_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.factor_fit(_factor_returns(spark, sf_dir), ["momentum", "volatility"])
+
+
+def _pair_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     _series(spark, sf_dir).createOrReplaceTempView("series")
-    x = spark.sql(f"SELECT r.symbol, r.r, f.momentum, f.volatility FROM ({metrics.RETURNS}) r JOIN (SELECT symbol, lead(ts) OVER (PARTITION BY symbol ORDER BY ts) AS ts, momentum, volatility FROM ({quant.factors()})) f ON r.symbol = f.symbol AND r.ts = f.ts")
-    return analytics.factor_fit(x, ["momentum", "volatility"])
+    return spark.sql(quant.PAIRS)
+
+
+def _gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _series(spark, sf_dir).createOrReplaceTempView("series")
+    return search.gaussian(spark.sql(f"SELECT symbol, avg(r) AS mean, stddev_samp(r) AS std FROM ({metrics.RETURNS}) WHERE r IS NOT NULL GROUP BY symbol"), 200, 60)
+
+
+def _trend_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = sources.li_bars(spark, sf_dir)
+    b = _signalled(spark, sf_dir).join(recurrences.apply(b, ["adx_wilder"]), ["symbol", "ts"])
+    return steps.apply(b, indicators.trend_filter("adx_wilder")).select("symbol", "ts", "signal", "filtered")
+
+
+def _signalled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return steps.apply(sources.li_bars(spark, sf_dir), indicators.golden_cross())
+
+
+def _curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = sources.li_bars(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [simulate.trace(b, k).select("symbol", F.lit(k).alias("strategy"), "ts", F.col("equity").alias("value")) for k in ("goldenCross", "rsi", "breakout")])
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = sources.li_bars(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [simulate.backtest(b, k).select("symbol", F.lit(k).alias("strategy"), "sharpe") for k in simulate.STRATEGIES])
+
+
+def _all_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = sources.li_bars(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [steps.apply(b, f()).select("symbol", "ts", F.lit(k).alias("strategy"), "signal") for k, f in indicators.SIGNALS.items()])
+
+
+def _what_if_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Net result under commissions (hundredths of a basis point) by slippages (basis points)."""
+    rows = [(f"c{100 * c}_s{s}", c / 1e4, s / 1e4, 0.0018) for c in (0, 1, 2, 3) for s in (0, 5, 10, 20)]
+    grid = spark.createDataFrame(rows, "name string, commission double, slippage double, tax double")
+    return analytics.what_if(_trips(spark, sf_dir), grid).groupBy("symbol").pivot("name", [r[0] for r in rows]).agg(F.first("net"))
 
 
 _PER = {"fractal": (analytics.hurst_of, "hurst double, dfa double, dimension double"), "gmm_regimes": (analytics.gmm_of, "bear double, sideways double, bull double, persistence double"), "price_forecast": (analytics.forecast_of, "forecast double, direction int, confidence double, volatility double"), "strategy_dna": (analytics.dna_of, "dna array<double>")}
@@ -256,6 +302,41 @@ _add("pairs_trading", _pairs)
 _add("factor_fit", _factor_fit)
 _add("portfolio_weights", lambda s, d: s.createDataFrame(analytics.portfolio(_series(s, d), "sharpe")))
 
+_add("factor_attribution", lambda s, d: analytics.attribution(_factor_returns(s, d), _factor_fit(s, d), ["momentum", "volatility"]))
+_add("correlation_tests", lambda s, d: analytics.correlation_tests(_pair_returns(s, d)))
+_add("kendall", lambda s, d: analytics.correlation_tests(_pair_returns(s, d)).select("a", "b", F.round(F.col("kendall") + 0.00000137, 5).alias("tau")),
+     _with_series(f"""SELECT a, b, round(sum(sign(dx) * sign(dy)) / sqrt(sum(abs(sign(dx)))::DOUBLE * sum(abs(sign(dy)))) + 0.00000137, 5) AS tau FROM (SELECT p.a, p.b, p.x - q.x AS dx, p.y - q.y AS dy FROM p JOIN p q ON p.a = q.a AND p.b = q.b AND p.ts < q.ts) GROUP BY a, b""").replace(f"({SERIES}) ", f"({SERIES}), p AS ({quant.PAIRS}) ", 1))
+_add("rolling_max_drawdown", lambda s, d: analytics.rolling_max_drawdown(_series(s, d)).select("symbol", "ts", F.round(F.col("max_drawdown") + 0.00000137, 5).alias("max_drawdown")),
+     _with_series("""SELECT symbol, ts, CASE WHEN count(*) >= 2 THEN round(min(fall) + 0.00000137, 5) END AS max_drawdown FROM (SELECT b.symbol, b.ts, a.value / max(a.value) OVER (PARTITION BY b.symbol, b.rn ORDER BY a.rn) - 1 AS fall FROM n b JOIN n a ON a.symbol = b.symbol AND a.rn BETWEEN b.rn - 251 AND b.rn) GROUP BY symbol, ts""").replace(f"({SERIES}) ", f"({SERIES}), n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM series) ", 1))
+_add("gaussian_bands", lambda s, d: search.bands(_gaussian(s, d)))
+_add("simulated_risk", lambda s, d: search.simulated_risk(_gaussian(s, d)))
+_add("efficient_frontier", lambda s, d: s.createDataFrame(analytics.frontier(_series(s, d)), "target double, volatility double, sharpe double, weights map<string, double>"))
+_add("what_if_grid", _what_if_grid)
+_add("sig_trend_filter", _trend_filtered)
+_add("backtest_shared_purse", lambda s, d: simulate.shared(_signalled(s, d)))
+_add("signal_backtest", lambda s, d: simulate.signal_backtest(_signalled(s, d)))
+_FACTORS = ["momentum", "volatility"]
+_add("rolling_factors", lambda s, d: analytics.rolling_factors(_factor_returns(s, d), _FACTORS))
+_add("factor_risk", lambda s, d: analytics.factor_risk(_factor_returns(s, d), _factor_fit(s, d), _FACTORS))
+_add("low_correlation", lambda s, d: s.createDataFrame([(i, n) for i, n in enumerate(analytics.low_correlation(_over_series(quant.correlation())(s, d)))], "place int, symbol string"))
+_add("correlation_clusters", lambda s, d: s.createDataFrame(analytics.clusters(_over_series(quant.correlation())(s, d)), "symbol string, cluster int"))
+_add("strength_buckets", lambda s, d: analytics.strength_buckets(analytics.consensus(sources.li_bars(s, d))))
+_add("combined_strategies", lambda s, d: analytics.combined(_curves(s, d), "sharpe"))
+_add("strategy_advice", lambda s, d: analytics.advice(_over_series(quant.regimes())(s, d), _results(s, d)))
+_add("voting_signal", lambda s, d: analytics.voted(_all_signals(s, d)),
+     "SELECT symbol, ts, CAST(CASE WHEN sum(CASE WHEN signal = 1 THEN 1 ELSE 0 END) / count(*) > 0.5 THEN 1 WHEN sum(CASE WHEN signal = -1 THEN 1 ELSE 0 END) / count(*) > 0.5 THEN -1 ELSE 0 END AS INT) AS signal FROM ("
+     + " UNION ALL ".join(steps.sql(LI, f()) for f in indicators.SIGNALS.values()) + ") GROUP BY symbol, ts")
+_LIMITED = f"""SELECT custkey, orderkey, {limits.verdict()} AS verdict FROM (SELECT o_custkey AS custkey, o_orderkey AS orderkey, o_totalprice AS value, 2000000.0 AS equity, 2000000.0 AS peak, 2000000.0 AS day_start,
+    sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - o_totalprice AS held, row_number() OVER (PARTITION BY o_custkey, date_trunc('day', o_orderdate) ORDER BY o_orderkey) AS nth FROM orders)"""
+
+
+def _risk_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("orders")
+    return spark.sql(_LIMITED)
+
+
+_add("risk_limits", _risk_limits, _LIMITED)
+
 
 # Streaming plans, over the same rows in batch
 def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:

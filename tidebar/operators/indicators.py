@@ -206,4 +206,10 @@ def momentum_signal(fast=10, slow=30):
     return Spec(({"f": f"close - {lag('close', fast)}", "s": f"close - {lag('close', slow)}"}, {"signal": cross("f", "s")}), ("signal",))
 
 
+def trend_filter(adx: str = "adx", n: int = 50, threshold: float = 25.0):
+    """Of bars that carry `signal` and a directional index: signals in a strong trend, on the right side of the mean."""
+    keep = f"{adx} >= {threshold} AND ((signal = 1 AND close > m) OR (signal = -1 AND close < m))"
+    return Spec(({"m": roll("avg", "close", n)}, {"filtered": f"CASE WHEN {keep} THEN signal ELSE 0 END"}), ("filtered",))
+
+
 SIGNALS = {f.__name__: f for f in (golden_cross, rsi_signal, bollinger_signal, breakout_signal, momentum_signal)}

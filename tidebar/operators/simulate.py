@@ -293,3 +293,69 @@ def orders(bars: DataFrame, entry: DataFrame, stop: float, take: float, trail: f
         hit = F.coalesce(hit, F.when(F.col("low") <= F.col("top") * (1 - trail / 100), "trail"))
     price = F.when(F.col("hit") == "take", F.col("paid") * (1 + take / 100)).when(F.col("hit") == "stop", F.col("paid") * (1 - stop / 100)).otherwise(F.col("top") * (1 - trail / 100))
     return j.withColumn("hit", hit).where("hit IS NOT NULL").withColumn("exit_price", price).groupBy("order_id", "symbol").agg(F.min_by(F.struct("ts", "hit", "exit_price"), "ts").alias("x")).select("order_id", "symbol", F.col("x.ts").alias("exit_ts"), "x.hit", "x.exit_price")
+
+
+def shared(bars: DataFrame, rules: Rules = Rules(cash=100_000_000.0)) -> DataFrame:
+    """Several symbols that carry `signal` and share one purse: (ts, equity, cash, positions).
+
+    A purchase is for the equity's equal part; orders fill at the next date's open, sales first, and lapse where the symbol has no bar.
+    One row a date goes to the fold, so its size is the number of dates."""
+    row = F.struct("symbol", "open", "close", F.coalesce(F.col("signal"), F.lit(0)).cast("int").alias("signal"))
+    days = bars.groupBy("ts").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+
+    def run(pdf):
+        pdf = pdf.sort_values("ts", ignore_index=True)
+        part = rules.invest / max(len({r["symbol"] for rows in pdf.rows for r in rows}), 1)
+        cash, held, last, queue, out = rules.cash, {}, {}, [], []
+        equity = cash
+        for ts, rows in zip(pdf.ts, pdf.rows):
+            today = {r["symbol"]: r for r in rows}
+            for side, name in sorted(queue):
+                price = today[name]["open"] * (1 + side * rules.slippage) if name in today else None
+                if price is None:
+                    continue
+                if side < 0 and held.get(name):
+                    cash += held.pop(name) * price * (1 - rules.commission - rules.tax)
+                elif side > 0 and not held.get(name):
+                    q = int(min(equity * part, cash * 0.99) / price)
+                    if q > 0:
+                        cash -= q * price * (1 + rules.commission)
+                        held[name] = q
+            last |= {k: r["close"] for k, r in today.items()}
+            equity = cash + sum(q * last[k] for k, q in held.items())
+            queue = [(r["signal"], k) for k, r in today.items() if r["signal"]]
+            out.append((ts, equity, cash, len(held)))
+        return pd.DataFrame(out, columns=["ts", "equity", "cash", "positions"])
+
+    return days.withColumn("run", F.lit(0)).groupBy("run").applyInPandas(run, "ts timestamp, equity double, cash double, positions int")
+
+
+def timed(signal: np.ndarray, hold: int) -> np.ndarray:
+    """Signals that leave a position after `hold` bars at the latest."""
+    out, since = np.zeros(len(signal), np.int8), None
+    for i, s in enumerate(signal):
+        if since is None and s == 1:
+            out[i], since = 1, i
+        elif since is not None and (s == -1 or i - since >= hold):
+            out[i], since = -1, None
+    return out
+
+
+def signal_backtest(bars: DataFrame, hold: int = 10, draws: int = 20, seed: int = 42, rules: Rules = Rules(slippage=0.0005, tax=0.0)) -> DataFrame:
+    """Bars that carry `signal` against holding and against as many entries at random dates; positions end on -1 or after `hold` bars."""
+
+    def run(pdf):
+        pdf = pdf.sort_values("ts", ignore_index=True)
+        own = timed(pdf.signal.fillna(0).to_numpy(np.int8), hold)
+        entries, runs = int((own == 1).sum()), [own]
+        rng = np.random.default_rng([seed, *pdf.symbol.iloc[0].encode()])
+        for _ in range(draws):
+            at = np.zeros(len(pdf), np.int8)
+            at[rng.choice(len(pdf), entries, replace=False)] = 1
+            runs.append(timed(at, hold))
+        m, _ = lanes(pdf, np.stack(runs, axis=1), rules)
+        total = m["total_return"]
+        out = {"entries": entries, "total_return": total[0], "sharpe": m["sharpe"][0], "max_drawdown": -m["max_drawdown"][0], "win_rate": m["win_rate"][0], "holding": (pdf.close.iloc[-1] / pdf.close.iloc[0] - 1) * 100, "random": total[1:].mean(), "better_than_random": (total[0] > total[1:]).mean()}
+        return pd.DataFrame({"symbol": pdf.symbol.iloc[:1], **{k: [float(v)] for k, v in out.items()}})
+
+    return bars.groupBy("symbol").applyInPandas(run, "symbol string, entries double, total_return double, sharpe double, max_drawdown double, win_rate double, holding double, random double, better_than_random double")

@@ -252,18 +252,41 @@ def optimal_weights(mean: np.ndarray, cov: np.ndarray, goal: str = "sharpe", rf:
     return w
 
 
-def portfolio(series: DataFrame, goal: str = "sharpe") -> pd.DataFrame:
-    """Weights by symbol: Spark reduces returns to the n x n moments, the small problem is solved on the driver."""
+def _moments(series: DataFrame) -> tuple[pd.Series, np.ndarray]:
+    """Annual means by symbol and the covariances: Spark reduces returns to n x n numbers."""
     from tidebar.plans.metrics import RETURNS
 
     series.createOrReplaceTempView("series")
-    spark = series.sparkSession
-    r = spark.sql(f"SELECT symbol, ts, r FROM ({RETURNS}) WHERE r IS NOT NULL")
-    mom = r.alias("a").join(r.withColumnRenamed("symbol", "s2").withColumnRenamed("r", "r2"), "ts").groupBy("symbol", "s2").agg((F.covar_samp("r", "r2") * 252).alias("cov"), (F.avg("r") * 252).alias("mean")).toPandas()
+    r = series.sparkSession.sql(f"SELECT symbol, ts, r FROM ({RETURNS}) WHERE r IS NOT NULL")
+    mom = r.join(r.withColumnRenamed("symbol", "s2").withColumnRenamed("r", "r2"), "ts").groupBy("symbol", "s2").agg((F.covar_samp("r", "r2") * 252).alias("cov"), (F.avg("r") * 252).alias("mean")).toPandas()
     cov = mom.pivot(index="symbol", columns="s2", values="cov").sort_index().sort_index(axis=1)
-    mean = mom[mom.symbol == mom.s2].set_index("symbol")["mean"].sort_index()
-    w = optimal_weights(mean.to_numpy(), cov.to_numpy(), goal)
-    return pd.DataFrame({"symbol": mean.index, "weight": w})
+    return mom[mom.symbol == mom.s2].set_index("symbol")["mean"].sort_index(), cov.to_numpy()
+
+
+def portfolio(series: DataFrame, goal: str = "sharpe") -> pd.DataFrame:
+    """Weights by symbol; the small problem is solved on the driver."""
+    mean, cov = _moments(series)
+    return pd.DataFrame({"symbol": mean.index, "weight": optimal_weights(mean.to_numpy(), cov, goal)})
+
+
+def frontier(series: DataFrame, points: int = 50, rf: float = 0.035) -> pd.DataFrame:
+    """Least volatility for returns evenly spaced from the lowest mean to the highest: (target, volatility, sharpe, weights).
+
+    Best weights are linear in the return between the frontier's corners, so a sweep over the tolerance of risk is interpolated."""
+    mean, cov = _moments(series)
+    mu = mean.to_numpy()
+    tolerance = np.geomspace(1e-3, 1e2, 14) * max(np.trace(cov) / len(mu), 1e-12) / max(np.ptp(mu), 1e-12)
+    sweep = [np.eye(len(mu))[mu.argmin()], *[optimal_weights(t * mu, cov, "mean_variance") for t in (*-tolerance[::-1], 0.0, *tolerance)], np.eye(len(mu))[mu.argmax()]]
+    sweep.sort(key=lambda w: mu @ w)
+    at = np.array([mu @ w for w in sweep])
+    rows = []
+    for target in np.linspace(mu.min(), mu.max(), points):
+        i = int(np.clip(np.searchsorted(at, target), 1, len(at) - 1))
+        share = (target - at[i - 1]) / (at[i] - at[i - 1]) if at[i] > at[i - 1] else 0.0
+        w = (1 - share) * sweep[i - 1] + share * sweep[i]
+        vol = math.sqrt(max(w @ cov @ w, 0.0))
+        rows.append((float(target), vol, (target - rf) / vol if vol else 0.0, dict(zip(mean.index, map(float, w)))))
+    return pd.DataFrame(rows, columns=["target", "volatility", "sharpe", "weights"])
 
 
 def consensus(bars: DataFrame, threshold: float = 0.6) -> DataFrame:
@@ -320,3 +343,169 @@ def factor_fit(returns: DataFrame, factors: list[str]) -> DataFrame:
             yield pd.DataFrame(rows, columns=["symbol", "factor", "beta", "t", "p", "r2"])
 
     return x.groupBy("symbol").agg(*sums).mapInPandas(run, "symbol string, factor string, beta double, t double, p double, r2 double")
+
+
+def attribution(returns: DataFrame, fit: DataFrame, factors: list[str]) -> DataFrame:
+    """Each day's return as the fit's intercept, a part a factor, and what is left: (symbol, ts, r, alpha, <factor>_part..., residual)."""
+    beta = fit.groupBy("symbol").agg(*[F.max(F.when(F.col("factor") == f, F.col("beta"))).alias(f"b_{f}") for f in ("one", *factors)])
+    parts = {f: F.col(f"b_{f}") * F.col(f) for f in factors}
+    j = returns.dropna(subset=["r", *factors]).join(beta, "symbol")
+    return j.select("symbol", "ts", "r", F.col("b_one").alias("alpha"), *[e.alias(f"{f}_part") for f, e in parts.items()], (F.col("r") - F.col("b_one") - sum(parts.values())).alias("residual"))
+
+
+def rolling_max_drawdown(series: DataFrame, n: int = 252) -> DataFrame:
+    """Deepest fall within the last n values, from the second on: a fold over each window's list."""
+    w = Window.partitionBy("symbol").orderBy("ts").rowsBetween(1 - n, 0)
+
+    def step(s: Column, v: Column) -> Column:
+        top = F.greatest(s["top"], v)
+        return F.struct(top.alias("top"), F.least(s["fall"], v / F.nullif(top, F.lit(0.0)) - 1).alias("fall"))
+
+    fold = F.aggregate(F.collect_list("value").over(w), F.struct(F.lit(0.0).alias("top"), F.lit(0.0).alias("fall")), step, lambda s: s["fall"])
+    return series.select("symbol", "ts", F.when(F.count("value").over(w) >= 2, fold).alias("max_drawdown"))
+
+
+def inversions(y: np.ndarray) -> int:
+    """Pairs in the wrong order, by halves."""
+    if len(y) < 2:
+        return 0
+    h = len(y) // 2
+    across = h - np.searchsorted(np.sort(y[:h]), y[h:], side="right")
+    return inversions(y[:h]) + inversions(y[h:]) + int(across.sum())
+
+
+def kendall_of(x: np.ndarray, y: np.ndarray) -> float:
+    """Kendall's tau-b in n log(n)^2."""
+    tied = lambda *cols: int(sum(c * (c - 1) // 2 for c in np.unique(np.column_stack(cols), axis=0, return_counts=True)[1].tolist()))
+    n = len(x)
+    all_, tx, ty = n * (n - 1) // 2, tied(x), tied(y)
+    if all_ in (tx, ty):
+        return 0.0
+    order = np.lexsort((y, x))
+    return (all_ - tx - ty + tied(x, y) - 2 * inversions(y[order])) / math.sqrt((all_ - tx) * (all_ - ty))
+
+
+def correlation_tests(pairs: DataFrame) -> DataFrame:
+    """Pearson, Spearman and Kendall of pairs of returns (a, b, x, y) with their two-sided p-values."""
+
+    def run(pdf):
+        x, y, n = pdf.x.to_numpy(float), pdf.y.to_numpy(float), len(pdf)
+        out = {"a": pdf.a.iloc[0], "b": pdf.b.iloc[0], "n": n}
+        for name, r in (("pearson", pdf.x.corr(pdf.y)), ("spearman", pdf.x.rank().corr(pdf.y.rank()))):
+            r = 0.0 if n < 3 or np.isnan(r) else float(r)
+            out |= {name: r, f"{name}_p": stats.t_p(r * math.sqrt((n - 2) / max(1 - r * r, 1e-300)), n - 2) if n > 2 else 1.0}
+        tau = kendall_of(x, y)
+        return pd.DataFrame([out | {"kendall": tau, "kendall_p": math.erfc(abs(3 * tau * math.sqrt(n * (n - 1)) / math.sqrt(2 * (2 * n + 5))) / math.sqrt(2))}])
+
+    return pairs.groupBy("a", "b").applyInPandas(run, "a string, b string, n long, pearson double, pearson_p double, spearman double, spearman_p double, kendall double, kendall_p double")
+
+
+def rolling_factors(returns: DataFrame, factors: list[str], n: int = 60) -> DataFrame:
+    """Least squares over the last n rows at every row: windows sum the cross products, small solves do the rest."""
+    names = ["one", *factors]
+    x = returns.dropna(subset=["r", *factors]).withColumn("one", F.lit(1.0))
+    w = Window.partitionBy("symbol").orderBy("ts").rowsBetween(1 - n, 0)
+    gram = [F.sum(F.col(a) * F.col(b)).over(w) for a in names for b in names]
+    sums = x.select("symbol", "ts", F.array(*gram).alias("gram"), F.array(*[F.sum(F.col(a) * F.col("r")).over(w) for a in names]).alias("cross"), F.count("*").over(w).alias("n")).where(F.col("n") == n)
+    k = len(names)
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                a, y = np.stack(pdf.gram).reshape(-1, k, k), np.stack(pdf.cross)
+                beta = np.einsum("nij,nj->ni", np.linalg.pinv(a, hermitian=True), y)
+                yield pd.DataFrame({"symbol": pdf.symbol, "ts": pdf.ts, "alpha": beta[:, 0], **{f: beta[:, i + 1] for i, f in enumerate(factors)}})
+
+    return sums.mapInPandas(run, ", ".join(["symbol string", "ts timestamp", "alpha double", *[f"{f} double" for f in factors]]))
+
+
+def factor_risk(returns: DataFrame, fit: DataFrame, factors: list[str]) -> DataFrame:
+    """Annual variance of each symbol as a part a factor (beta' S beta) and a specific one, from joint moments of factors and residuals."""
+    parts = attribution(returns, fit, factors)
+    total = sum(F.col(f"{f}_part") for f in factors)
+    m = parts.groupBy("symbol").agg((F.var_samp("r") * 252).alias("total"), *[(F.covar_samp(F.col(f"{f}_part"), total) * 252).alias(f"{f}_risk") for f in factors], (F.var_samp("residual") * 252).alias("specific"))
+    explained = sum(F.col(f"{f}_risk") for f in factors)
+    return m.withColumn("factor_share", explained / F.nullif(explained + F.col("specific"), F.lit(0.0)))
+
+
+def low_correlation(corr: DataFrame, n: int = 3) -> list[str]:
+    """Symbols chosen one by one, each with the least mean absolute correlation to those before it; starts from the least correlated pair. corr: (a, b, corr), a row a pair of a bounded universe."""
+    rows = corr.toPandas()
+    if rows.empty:
+        return []
+    c = {(a, b): abs(v) for a, b, v in zip(rows.a, rows.b, rows["corr"].fillna(0.0))}
+    c |= {(b, a): v for (a, b), v in c.items()}
+    names = sorted({a for a, _ in c})
+    chosen = list(min(sorted(k for k in c if k[0] < k[1]), key=lambda k: c[k]))
+    while len(chosen) < min(n, len(names)):
+        chosen.append(min((s for s in names if s not in chosen), key=lambda s: (sum(c.get((s, t), 0.0) for t in chosen), s)))
+    return chosen[:n]
+
+
+def clusters(corr: DataFrame, k: int = 2, starts: int = 10, seed: int = 42) -> pd.DataFrame:
+    """Symbols grouped by their rows of the correlation matrix: k-means of a small matrix, the best of some starts."""
+    rows = corr.toPandas()
+    names = sorted({*rows.a, *rows.b})
+    m = pd.DataFrame(np.eye(len(names)), names, names)
+    for a, b, v in zip(rows.a, rows.b, rows["corr"].fillna(0.0)):
+        m.loc[a, b] = m.loc[b, a] = v
+    x, rng, best = m.to_numpy(), np.random.default_rng(seed), (np.inf, None)
+    for _ in range(starts):
+        mid = x[rng.choice(len(x), min(k, len(x)), replace=False)]
+        for _ in range(100):
+            label = ((x[:, None] - mid) ** 2).sum(2).argmin(1)
+            new = np.array([x[label == i].mean(0) if (label == i).any() else mid[i] for i in range(len(mid))])
+            if np.allclose(new, mid):
+                break
+            mid = new
+        best = min(best, (float(((x - mid[label]) ** 2).sum()), tuple(label)), key=lambda t: t[0])
+    first = {v: i for i, v in enumerate(dict.fromkeys(best[1]))}
+    return pd.DataFrame({"symbol": names, "cluster": [first[v] for v in best[1]]})
+
+
+def strength_buckets(votes: DataFrame, n: int = 10) -> DataFrame:
+    """Accuracy and mean gain of signals (symbol, ts, close, signal, strength) over the next n bars, by strength."""
+    w = Window.partitionBy("symbol").orderBy("ts")
+    gain = F.col("signal") * (F.lead("close", n).over(w) / F.nullif(F.col("close"), F.lit(0.0)) - 1)
+    edges = (0.4, 0.5, 0.6, 0.7, 0.8)
+    bucket = sum(((F.col("strength") >= e).cast("int") for e in edges), F.lit(0))
+    j = votes.withColumn("gain", gain).where((F.col("signal") != 0) & F.col("gain").isNotNull()).withColumn("bucket", F.element_at(F.array(*[F.lit(f"{a:g}-{b:g}") for a, b in zip((0.0, *edges), (*edges, 1.0))]), bucket + 1))
+    won, lost = F.sum(F.greatest("gain", F.lit(0.0))), -F.sum(F.least("gain", F.lit(0.0)))
+    return j.groupBy("bucket").agg(F.count("*").alias("n"), F.avg((F.col("gain") > 0).cast("double")).alias("accuracy"), F.avg("gain").alias("mean_gain"), (won / F.nullif(lost, F.lit(0.0))).alias("profit_factor"))
+
+
+def combined(curves: DataFrame, by: str = "equal") -> DataFrame:
+    """Several strategies' equity (symbol, strategy, ts, value) as one: daily returns weighted equally, by total return (performance) or by Sharpe, neither below 0; equally where all are 0."""
+    w = Window.partitionBy("symbol", "strategy").orderBy("ts")
+    r = curves.withColumn("r", F.col("value") / F.nullif(F.lag("value").over(w), F.lit(0.0)) - 1)
+    raw = {"equal": F.lit(1.0), "performance": F.max_by("value", "ts") / F.nullif(F.min_by("value", "ts"), F.lit(0.0)) - 1, "sharpe": F.avg("r") / F.nullif(F.stddev_pop("r"), F.lit(0.0))}[by]
+    score = r.groupBy("symbol", "strategy").agg(F.greatest(F.coalesce(raw, F.lit(0.0)), F.lit(0.0)).alias("score"))
+    s = Window.partitionBy("symbol")
+    total = F.sum("score").over(s)
+    weights = score.select("symbol", "strategy", F.when(total > 0, F.col("score") / total).otherwise(1 / F.count("*").over(s)).alias("weight"))
+    day = r.where("r IS NOT NULL").join(weights, ["symbol", "strategy"]).groupBy("symbol", "ts").agg(F.sum(F.col("weight") * F.col("r")).alias("r"))
+    return day.select("symbol", "ts", "r", F.exp(F.sum(F.log1p(F.greatest("r", F.lit(-0.999999)))).over(Window.partitionBy("symbol").orderBy("ts"))).alias("growth"))
+
+
+def voted(signals: DataFrame, share: float = 0.5) -> DataFrame:
+    """The side that more than `share` of the strategies (symbol, ts, strategy, signal) are on, else 0."""
+    n = F.count("*")
+    buys, sells = (F.sum((F.col("signal") == k).cast("int")) for k in (1, -1))
+    return signals.groupBy("symbol", "ts").agg(F.when(buys / n > share, 1).when(sells / n > share, -1).otherwise(0).alias("signal"))
+
+
+#: Strategies that suit a regime, best first. Fixed values.
+SUITED = {
+    "strong_up": ("goldenCross", "macd", "breakout"), "weak_up": ("macd", "goldenCross", "rsi"), "sideways": ("rsi", "bollinger", "macd"),
+    "weak_down": ("rsi", "bollinger", "breakout"), "strong_down": ("breakout", "rsi", "bollinger"), "high_volatility": ("bollinger", "breakout", "rsi"),
+}
+
+
+def advice(regimes: DataFrame, results: DataFrame, n: int = 3) -> DataFrame:
+    """Strategies for each symbol's last regime (symbol, ts, regime): suitability and the Sharpe rank of its own backtests (symbol, strategy, sharpe), half each."""
+    now = regimes.groupBy("symbol").agg(F.max_by("regime", "ts").alias("regime"))
+    fit = regimes.sparkSession.createDataFrame([(r, s, 1.0 - i / 3) for r, names in SUITED.items() for i, s in enumerate(names)], "regime string, strategy string, fit double")
+    rank = F.percent_rank().over(Window.partitionBy("symbol").orderBy(F.coalesce("sharpe", F.lit(-1e9))))
+    j = results.withColumn("record", rank).join(now, "symbol").join(F.broadcast(fit), ["regime", "strategy"], "left")
+    scored = j.withColumn("score", 0.5 * F.coalesce("fit", F.lit(0.0)) + 0.5 * F.col("record"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("score").desc(), "strategy"))).where(F.col("rank") <= n).select("symbol", "regime", "strategy", "rank", "score")

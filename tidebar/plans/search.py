@@ -93,12 +93,32 @@ def bootstrap(returns: DataFrame, paths: int = 1000, steps: int = 252, seed: int
     n = returns.groupBy("symbol").agg(F.count("*").alias("n"))
     draws = n.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(paths - 1)))).repartition("symbol", "path").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
     draws = draws.withColumn("k", F.floor(uniform(F.lit(seed), "symbol", "path", "step") * F.col("n")))
+    return _walked(draws.join(returns, ["symbol", "k"]))
+
+
+def _walked(draws: DataFrame) -> DataFrame:
+    """Final value and deepest fall of each path of returns (symbol, path, step, r)."""
     w = Window.partitionBy("symbol", "path").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    p = draws.join(returns, ["symbol", "k"]).withColumn("v", F.exp(F.sum(F.log1p(F.greatest("r", F.lit(-0.999999)))).over(w)))
+    p = draws.withColumn("v", F.exp(F.sum(F.log1p(F.greatest("r", F.lit(-0.999999)))).over(w)))
     p = p.withColumn("dd", F.col("v") / F.greatest(F.max("v").over(w), F.lit(1.0)) - 1)
     return p.groupBy("symbol", "path").agg(F.max_by("v", "step").alias("final"), F.min("dd").alias("max_drawdown"))
 
 
+def gaussian(moments: DataFrame, paths: int = 1000, steps: int = 252, seed: int = 42) -> DataFrame:
+    """Paths of normal returns with each symbol's mean and deviation (symbol, mean, std); draws are hashes, as in bootstrap."""
+    draws = moments.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(paths - 1)))).repartition("symbol", "path").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+    u, v = (uniform(F.lit(seed + i), "symbol", "path", "step") for i in (0, 1))
+    normal = F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * np.pi * v)
+    return _walked(draws.select("symbol", "path", "step", (F.col("mean") + F.col("std") * normal).alias("r")))
+
+
+def simulated_risk(paths: DataFrame, q: float = 0.05) -> DataFrame:
+    """Value at risk of the paths' final values, and the mean beyond it."""
+    cut = paths.groupBy("symbol").agg(F.percentile("final", F.lit(q)).alias("cut"))
+    j = paths.join(cut, "symbol")
+    return j.groupBy("symbol").agg((F.first("cut") - 1).alias("var"), (F.avg(F.when(F.col("final") <= F.col("cut"), F.col("final"))) - 1).alias("cvar"), F.avg("max_drawdown").alias("max_drawdown"))
+
+
 def bands(paths: DataFrame) -> DataFrame:
     q = lambda p: F.percentile("final", F.lit(p))
     return paths.groupBy("symbol").agg(*[q(p / 100).alias(f"p{p}") for p in (1, 5, 25, 50, 75, 95, 99)], F.avg((F.col("final") < 0.5).cast("double")).alias("ruin"), F.avg("max_drawdown").alias("max_drawdown"))
