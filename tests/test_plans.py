@@ -176,10 +176,11 @@ def test_trend_filter(spark):
 
 
 def test_limits(spark):
-    base = {"value": 10.0, "equity": 100.0, "peak": 100.0, "day_start": 100.0, "held": 0.0, "nth": 1}
-    rows = [base, base | {"peak": 200.0}, base | {"day_start": 110.0}, base | {"nth": 51}, base | {"value": 30.0}, base | {"held": 90.0}]
+    base = {"side": "BUY", "value": 10.0, "equity": 100.0, "peak": 100.0, "day_start": 100.0, "held": 0.0, "own": 0.0, "open_positions": 0, "nth": 1}
+    rows = [base, base | {"peak": 200.0}, base | {"day_start": 110.0}, base | {"nth": 51}, base | {"value": 30.0}, base | {"own": 15.0}, base | {"held": 95.0}, base | {"open_positions": 10}, base | {"side": "SELL", "value": 99.0}]
     got = [r[0] for r in spark.createDataFrame(pd.DataFrame(rows)).selectExpr(limits.verdict()).collect()]
-    assert got == ["ok", "drawdown", "day_loss", "orders", "position", "exposure"]
+    assert got == ["ok", "drawdown", "day_loss", "orders", "position", "position", "exposure", "positions", "ok"]
+    assert "0.25" in limits.verdict(limits.PRESETS["aggressive"])
 
 
 def test_paged_feed(spark):
@@ -214,9 +215,9 @@ def test_buckets_votes_and_advice(spark):
     assert got.accuracy["0.8-1"] == 1 and got.accuracy["0.4-0.5"] == 0
     s = spark.createDataFrame([("T", 1, k, x) for k, x in (("a", 1), ("b", 1), ("c", -1))], "symbol string, ts int, strategy string, signal int")
     assert analytics.voted(s).first()["signal"] == 1 and analytics.voted(s, 0.7).first()["signal"] == 0
-    regimes = spark.createDataFrame([("T", 1, "sideways"), ("T", 2, "strong_up")], "symbol string, ts int, regime string")
-    results = spark.createDataFrame([("T", "goldenCross", 2.0), ("T", "rsi", 1.0)], "symbol string, strategy string, sharpe double")
-    assert [(r["regime"], r["strategy"]) for r in analytics.advice(regimes, results).orderBy("rank").collect()] == [("strong_up", "goldenCross"), ("strong_up", "rsi")]
+    regimes = spark.createDataFrame([("T", 1, "sideways", 10.0), ("T", 2, "strong_up", 35.0)], "symbol string, ts int, regime string, adx double")
+    got = analytics.advice(regimes).orderBy("rank").collect()
+    assert [r["strategy"] for r in got] == ["MACD", "SMA Cross", "Breakout"] and math.isclose(got[0]["score"], 0.3 + 0.475 + 0.1 + 0.05)
 
 
 def test_combined(spark, series):

@@ -268,11 +268,6 @@ def _curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [simulate.trace(b, k).select("symbol", F.lit(k).alias("strategy"), "ts", F.col("equity").alias("value")) for k in ("goldenCross", "rsi", "breakout")])
 
 
-def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = sources.li_bars(spark, sf_dir)
-    return reduce(DataFrame.unionByName, [simulate.backtest(b, k).select("symbol", F.lit(k).alias("strategy"), "sharpe") for k in simulate.STRATEGIES])
-
-
 def _all_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = sources.li_bars(spark, sf_dir)
     return reduce(DataFrame.unionByName, [steps.apply(b, f()).select("symbol", "ts", F.lit(k).alias("strategy"), "signal") for k, f in indicators.SIGNALS.items()])
@@ -322,11 +317,12 @@ _add("low_correlation", lambda s, d: s.createDataFrame([(i, n) for i, n in enume
 _add("correlation_clusters", lambda s, d: s.createDataFrame(analytics.clusters(_over_series(quant.correlation())(s, d)), "symbol string, cluster int"))
 _add("strength_buckets", lambda s, d: analytics.strength_buckets(analytics.consensus(sources.li_bars(s, d))))
 _add("combined_strategies", lambda s, d: analytics.combined(_curves(s, d), "sharpe"))
-_add("strategy_advice", lambda s, d: analytics.advice(_over_series(quant.regimes())(s, d), _results(s, d)))
+_add("strategy_advice", lambda s, d: analytics.advice(_over_series(quant.regimes())(s, d).join(recurrences.apply(sources.li_bars(s, d), ["adx_wilder"]).select("symbol", "ts", F.col("adx_wilder").alias("adx")), ["symbol", "ts"])))
 _add("voting_signal", lambda s, d: analytics.voted(_all_signals(s, d)),
-     "SELECT symbol, ts, CAST(CASE WHEN sum(CASE WHEN signal = 1 THEN 1 ELSE 0 END) / count(*) > 0.5 THEN 1 WHEN sum(CASE WHEN signal = -1 THEN 1 ELSE 0 END) / count(*) > 0.5 THEN -1 ELSE 0 END AS INT) AS signal FROM ("
+     "SELECT symbol, ts, CAST(CASE WHEN sum(CASE WHEN signal = 1 THEN 1 ELSE 0 END) / count(*) >= 0.5 THEN 1 WHEN sum(CASE WHEN signal = -1 THEN 1 ELSE 0 END) / count(*) >= 0.5 THEN -1 ELSE 0 END AS INT) AS signal FROM ("
      + " UNION ALL ".join(steps.sql(LI, f()) for f in indicators.SIGNALS.values()) + ") GROUP BY symbol, ts")
-_LIMITED = f"""SELECT custkey, orderkey, {limits.verdict()} AS verdict FROM (SELECT o_custkey AS custkey, o_orderkey AS orderkey, o_totalprice AS value, 2000000.0 AS equity, 2000000.0 AS peak, 2000000.0 AS day_start,
+_LIMITED = f"""SELECT custkey, orderkey, {limits.verdict()} AS verdict FROM (SELECT o_custkey AS custkey, o_orderkey AS orderkey, 'BUY' AS side, o_totalprice AS value, 2000000e0 AS equity, 2000000e0 AS peak, 2000000e0 AS day_start, 0 AS own,
+    count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS open_positions,
     sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - o_totalprice AS held, row_number() OVER (PARTITION BY o_custkey, date_trunc('day', o_orderdate) ORDER BY o_orderkey) AS nth FROM orders)"""
 
 

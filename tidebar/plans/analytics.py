@@ -475,37 +475,44 @@ def strength_buckets(votes: DataFrame, n: int = 10) -> DataFrame:
 
 
 def combined(curves: DataFrame, by: str = "equal") -> DataFrame:
-    """Several strategies' equity (symbol, strategy, ts, value) as one: daily returns weighted equally, by total return (performance) or by Sharpe, neither below 0; equally where all are 0."""
+    """Several strategies' equity (symbol, strategy, ts, value) as one: daily returns weighted equally, by total return (performance) or by Sharpe, of which the least counted is 0.001 percent and 0.01."""
     w = Window.partitionBy("symbol", "strategy").orderBy("ts")
     r = curves.withColumn("r", F.col("value") / F.nullif(F.lag("value").over(w), F.lit(0.0)) - 1)
-    raw = {"equal": F.lit(1.0), "performance": F.max_by("value", "ts") / F.nullif(F.min_by("value", "ts"), F.lit(0.0)) - 1, "sharpe": F.avg("r") / F.nullif(F.stddev_pop("r"), F.lit(0.0))}[by]
-    score = r.groupBy("symbol", "strategy").agg(F.greatest(F.coalesce(raw, F.lit(0.0)), F.lit(0.0)).alias("score"))
-    s = Window.partitionBy("symbol")
-    total = F.sum("score").over(s)
-    weights = score.select("symbol", "strategy", F.when(total > 0, F.col("score") / total).otherwise(1 / F.count("*").over(s)).alias("weight"))
+    raw = {"equal": F.lit(1.0), "performance": F.greatest(F.coalesce((F.max_by("value", "ts") / F.nullif(F.min_by("value", "ts"), F.lit(0.0)) - 1) * 100, F.lit(0.0)), F.lit(0.001)),
+           "sharpe": F.greatest(F.coalesce((F.avg("r") - 0.035 / 252) / F.nullif(F.stddev_samp("r"), F.lit(0.0)) * np.sqrt(252), F.lit(0.0)), F.lit(0.01))}[by]
+    score = r.groupBy("symbol", "strategy").agg(raw.alias("score"))
+    weights = score.select("symbol", "strategy", (F.col("score") / F.sum("score").over(Window.partitionBy("symbol"))).alias("weight"))
     day = r.where("r IS NOT NULL").join(weights, ["symbol", "strategy"]).groupBy("symbol", "ts").agg(F.sum(F.col("weight") * F.col("r")).alias("r"))
     return day.select("symbol", "ts", "r", F.exp(F.sum(F.log1p(F.greatest("r", F.lit(-0.999999)))).over(Window.partitionBy("symbol").orderBy("ts"))).alias("growth"))
 
 
 def voted(signals: DataFrame, share: float = 0.5) -> DataFrame:
-    """The side that more than `share` of the strategies (symbol, ts, strategy, signal) are on, else 0."""
+    """The side that `share` of the strategies (symbol, ts, strategy, signal) or more are on, buying first, else 0."""
     n = F.count("*")
     buys, sells = (F.sum((F.col("signal") == k).cast("int")) for k in (1, -1))
-    return signals.groupBy("symbol", "ts").agg(F.when(buys / n > share, 1).when(sells / n > share, -1).otherwise(0).alias("signal"))
-
-
-#: Strategies that suit a regime, best first. Fixed values.
-SUITED = {
-    "strong_up": ("goldenCross", "macd", "breakout"), "weak_up": ("macd", "goldenCross", "rsi"), "sideways": ("rsi", "bollinger", "macd"),
-    "weak_down": ("rsi", "bollinger", "breakout"), "strong_down": ("breakout", "rsi", "bollinger"), "high_volatility": ("bollinger", "breakout", "rsi"),
-}
-
-
-def advice(regimes: DataFrame, results: DataFrame, n: int = 3) -> DataFrame:
-    """Strategies for each symbol's last regime (symbol, ts, regime): suitability and the Sharpe rank of its own backtests (symbol, strategy, sharpe), half each."""
-    now = regimes.groupBy("symbol").agg(F.max_by("regime", "ts").alias("regime"))
-    fit = regimes.sparkSession.createDataFrame([(r, s, 1.0 - i / 3) for r, names in SUITED.items() for i, s in enumerate(names)], "regime string, strategy string, fit double")
-    rank = F.percent_rank().over(Window.partitionBy("symbol").orderBy(F.coalesce("sharpe", F.lit(-1e9))))
-    j = results.withColumn("record", rank).join(now, "symbol").join(F.broadcast(fit), ["regime", "strategy"], "left")
-    scored = j.withColumn("score", 0.5 * F.coalesce("fit", F.lit(0.0)) + 0.5 * F.col("record"))
+    return signals.groupBy("symbol", "ts").agg(F.when(buys / n >= share, 1).when(sells / n >= share, -1).otherwise(0).alias("signal"))
+
+
+#: How sure strategies are in a regime. Fixed values.
+LEARNED = {
+    "strong_up": {"MACD": 0.95, "SMA Cross": 0.85, "Breakout": 0.80},
+    "weak_up": {"SMA Cross": 0.90, "Trend Filter": 0.85, "Mean Reversion": 0.75},
+    "sideways": {"SMA Cross": 0.85, "MACD": 0.75, "Breakout": 0.70},
+    "weak_down": {"Trend Filter": 0.95, "Mean Reversion": 0.80, "Breakout": 0.70},
+    "strong_down": {"Mean Reversion": 0.95, "Trend Filter": 0.85, "Breakout": 0.60},
+    "high_volatility": {"MACD": 0.85, "SMA Cross": 0.80, "Mean Reversion": 0.75, "Breakout": 0.70},
+}
+#: Regimes that strategies are made for. Fixed values.
+MADE_FOR = {"SMA Cross": ("weak_up", "strong_up"), "MACD": ("weak_up", "strong_up"), "Breakout": ("strong_up", "strong_down"), "Mean Reversion": ("sideways", "high_volatility"), "Trend Filter": ("weak_up", "sideways")}
+
+#: For low and high risk. Fixed values.
+RISK = {"SMA Cross": 0.0, "MACD": 0.0, "Breakout": -0.02, "Mean Reversion": 0.02, "Trend Filter": 0.02}
+
+
+def advice(regimes: DataFrame, n: int = 3) -> DataFrame:
+    """The strategies best scored for each symbol's last regime (symbol, ts, regime, adx): 0.3, half of how sure they are, 0.1 where made for it, 0.05 where the trend's strength suits, 0.02 for or against their risk."""
+    now = regimes.groupBy("symbol").agg(F.max_by(F.struct("regime", "adx"), "ts").alias("now")).select("symbol", "now.*")
+    table = regimes.sparkSession.createDataFrame([(r, s, 0.3 + 0.5 * sure.get(s, 0.0) + 0.1 * (r in MADE_FOR[s]) + RISK[s]) for r, sure in LEARNED.items() for s in MADE_FOR], "regime string, strategy string, base double")
+    trend = F.when((F.col("adx") > 30) & F.col("strategy").isin("SMA Cross", "MACD", "Breakout"), 0.05).when((F.col("adx") < 20) & (F.col("strategy") == "Mean Reversion"), 0.05).otherwise(0.0)
+    scored = now.join(F.broadcast(table), "regime").withColumn("score", F.least(F.col("base") + trend, F.lit(1.0)))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("score").desc(), "strategy"))).where(F.col("rank") <= n).select("symbol", "regime", "strategy", "rank", "score")
