@@ -79,9 +79,9 @@ def rounded(df: DataFrame, spec: Spec) -> DataFrame:
 
 
 def sql(source: str, spec: Spec) -> str:
-    """The same as apply() and rounded() over a source query, as one SQL text."""
+    """The same as apply() and rounded() over a source query, as one SQL text; 0e0 makes a negative zero plain."""
     q = source
     for step in (ROW, *spec.steps):
         q = f"SELECT *, {', '.join(f'{e} AS {c}' for c, e in step.items())} FROM ({q})"
     value = lambda c: f"CASE WHEN rn >= {spec.guard} THEN {c} END" if spec.guard > 1 else c
-    return f"SELECT {KEY}, {TIME}, {', '.join(f'round(CAST({value(c)} AS DOUBLE) + {NUDGE}, {spec.digits}) AS {c}' for c in spec.out)} FROM ({q})"
+    return f"SELECT {KEY}, {TIME}, {', '.join(f'round(CAST({value(c)} AS DOUBLE) + {NUDGE}, {spec.digits}) + 0e0 AS {c}' for c in spec.out)} FROM ({q})"

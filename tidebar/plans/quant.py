@@ -28,7 +28,7 @@ def relative(bench: str) -> str:
 def rolling_relative(bench: str, n: int = 60) -> str:
     w = f"OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
     both = f"SELECT s.symbol, s.ts, s.r AS r, b.r AS q FROM ({RETURNS}) s JOIN ({RETURNS}) b ON s.ts = b.ts AND b.symbol = '{bench}' AND s.symbol <> b.symbol WHERE s.r IS NOT NULL AND b.r IS NOT NULL"
-    guard = lambda x: f"CASE WHEN count(*) {w} >= {int(0.8 * n)} THEN round({x}, 4) END"
+    guard = lambda x: f"CASE WHEN count(*) {w} >= {int(0.8 * n)} THEN round({x} + {NUDGE}, 4) + 0e0 END"
     return f"SELECT symbol, ts, {guard(f'regr_slope(r, q) {w}')} AS beta, {guard(f'corr(r, q) {w}')} AS corr FROM ({both})"
 
 
