@@ -57,6 +57,49 @@ def test_similar_groups(spark, tile):
     assert missed <= 0.02 * len(data)
 
 
+def groups(data, linked):
+    label = list(range(len(data)))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(data)):
+        for j in range(i):
+            if linked(i, j):
+                a, b = sorted((find(i), find(j)))
+                label[b] = a
+    return {i: find(i) for i in range(len(data))}
+
+
+def similar(data):
+    sets, fps = [shingles(t) for t in data], [simhash.fingerprint(t) for t in data]
+    return groups(data, lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) or (fps[i] ^ fps[j]).bit_count() <= 3)
+
+
+def found(spark, data, **sizes):
+    df = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
+    return {r.doc_id: r.component_id for r in simhash_words.similar_groups(df, **sizes).collect()}
+
+
+@pytest.mark.parametrize("tile", [1024, 7])
+def test_cut_appended_and_spliced_copies(spark, tile):
+    r = random.Random(5)
+    vocab = ["w%d" % i for i in range(20000)]
+    data, notice = [], [r.choice(vocab) for _ in range(30)]
+    for i in range(60):
+        w = [r.choice(vocab) for _ in range(r.randint(60, 500))]
+        w = notice + w if i % 3 == 0 else w  # a passage that many texts have
+        data.append(" ".join(w))
+        extra = [r.choice(vocab) for _ in range(len(w))]
+        for share in (0.12, 0.17, 0.19, 0.21):
+            n = int(share * len(w))
+            data += [" ".join(w[: len(w) - n]), " ".join(w + extra[: int(n / (1 - share))]), " ".join(w[: len(w) // 2] + extra[: n // 2] + w[len(w) // 2 :])]
+    data += [" ".join(notice[i : i + 20]) for i in range(8)] * 2  # texts of frequent shingles only
+    assert found(spark, data, tile=tile) == similar(data)
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     cols = docs.columns

@@ -1,14 +1,17 @@
-"""Near-duplicate texts by similarity: SimHash proposes, exact shingle sets decide.
+"""Near-duplicate texts by similarity: rare shingles propose, exact shingle sets decide, none of the similar pairs is left out.
 
-Fingerprints of a text's distinct words stay close when a few words change. A text gets TABLES of them; each is cut into
-three segments, so that of fingerprints within five bits one segment differs by a bit at most, and is filed by segment with
-no bit or one bit left out. Of an entry's members the shortest spanning tree within five bits is proposed, not all pairs:
-an edited copy hangs on what it was edited from. Proposed pairs are kept if the texts' sets of five-word shingles have a
-Jaccard similarity of 0.8 or more.
+Texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. In any order of all
+shingles, two such sets share one among the first fifth (and one) of each: its prefix. The order puts shingles that recur
+in a sample last, so that few texts meet in an entry, and those of similar size only are compared. First each text is
+compared with its neighbours in the entries, then every pair of an entry that the links found don't already connect: a
+bound on the sets' difference (parities of their hashes) leaves out those that can't be similar, the sets decide on the
+rest. Entries of many texts are compared in tiles.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -18,195 +21,242 @@ from pyspark.sql import functions as F
 from tidebar.llm import simhash
 from tidebar.llm.common import cut, small, text_key, texts
 
-TABLES = 3
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
-DISTANCE = 5
 SHINGLE = 5
 SIMILARITY = 0.8
-TILE = 8192
+TILE = 2048
+#: Longs of parities that stand for a set.
+PARITIES = 8
+#: Texts in the sample that orders the shingles, and shingles that are put last.
+SAMPLE = 40_000
+FREQUENT = 200_000
+#: Orders of an entry's texts in which neighbours are compared first.
+ORDERS = 4
+
+MEMBER = "key long, tid long, n int, root long, parity array<long>"
+
+
+def shingle_set(data: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the distinct shingles, in order."""
+    words = data.split()
+    joined = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))] if words else []
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(x) for x in joined], np.uint64))
+
+
+def parities(s: np.ndarray) -> np.ndarray:
+    """Bits of which two sets differ in at most as many as their difference has elements."""
+    bits = (np.bincount((s % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1).astype(np.uint8)
+    return np.packbits(bits, bitorder="little").view(np.int64)
 
 
-def _mixed(h: np.ndarray, table: int) -> np.ndarray:
-    x = (h + np.uint64(0x9E3779B97F4A7C15 * (table + 1) & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(31)
-    x *= np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(29))
+def prefix(s: np.ndarray, similarity: float, frequent: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The shingles of which a similar set has one in its own prefix, the rarest first. frequent: shingles in order; often: their counts."""
+    if not len(s):
+        return s
+    count = np.zeros(len(s), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+        count = np.where(frequent[at] == s, often[at], 0)
+    return s[np.lexsort((s, count))][: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]
 
 
-def word_fingerprints(data: bytes, tables: int = TABLES) -> list[int]:
-    words = set(data.lower().split())
-    if not words:
-        return [0] * tables
-    h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], "<u8")
-    out = []
-    for t in range(tables):
-        x, ones = _mixed(h, t), np.zeros(64, np.int64)
-        for at in range(0, len(x), 4096):
-            part = x[at : at + 4096]
-            ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(2 * ones > len(x), bitorder="little").tobytes(), "little"))
-    return out
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    bounds = np.concatenate(([0], np.cumsum([len(v) for v in values])))
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(values).view(np.int64) if values else np.zeros(0, np.int64)))
+
+
+def _shingles(shingle: int):
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t.as_buffer().to_pybytes(), shingle) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("tid"), _lists(sets)], names=["tid", "shingles"])
+
+    return run
 
 
-def _scan(tables: int):
+def _prefixes(shingle: int, similarity: float, frequent: np.ndarray, often: np.ndarray):
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            raw = [t.as_buffer().to_pybytes() for t in batch.column("text")]
-            fp = np.array([simhash.fingerprint(b) for b in raw], np.uint64)
-            words = np.array([word_fingerprints(b, tables) for b in raw], np.uint64).reshape(len(raw), tables)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1) * tables, pa.int32()), pa.array(words.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tid"), pa.array(fp.view(np.int64)), lists], names=["doc_id", "tid", "fp", "words"])
+            out = []
+            for tid, t in zip(batch.column("tid").to_pylist(), batch.column("text")):
+                if tid not in seen:
+                    seen.add(tid)
+                    s = shingle_set(t.as_buffer().to_pybytes(), shingle)
+                    out.append((tid, len(s), parities(s), prefix(s, similarity, frequent, often)))
+            tid, n, parity, first = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(tid, pa.int64()), pa.array(n, pa.int32()), _lists(list(parity)), _lists(list(first))], names=["tid", "n", "parity", "prefix"])
 
     return run
 
 
-def _file(batches):
+def _recurring(batches):
+    """Of rows in order of key, those whose key has several texts, once each, with the text before under that key (null: the first)."""
+    held, kept, before = [np.zeros(0, np.int64)] * 2, False, None
+    rows = lambda key, tid, near: pa.RecordBatch.from_arrays([pa.array(key), pa.array(tid), pa.array(near[0], mask=~near[1])], names=["key", "tid", "near"])
     for batch in batches:
-        tid = batch.column("tid").to_numpy()
-        tables = np.array(batch.column("words").to_pylist(), np.int64).reshape(len(tid), -1).view(np.uint64)
-        for at in range(0, len(tid), 2000):
-            part, who = tables[at : at + 2000], tid[at : at + 2000]
-            keys, fps = [], []
-            for t in range(part.shape[1]):
-                fp = part[:, t]
-                for s, (shift, width) in enumerate(SEGMENTS):
-                    piece = (fp >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-                    for bit in range(width + 1):  # the width: none left out
-                        rest = piece if bit == width else piece & ~np.uint64(1 << bit)
-                        keys.append(rest | np.uint64(((t * len(SEGMENTS) + s) * 32 + bit) << 32))
-                        fps.append(fp)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(fps).view(np.int64)), pa.array(np.tile(who, len(keys)))], names=["key", "fp", "tid"])
-
-
-def tree(fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Edges (positions) of the shortest spanning forest of fingerprints, no edge longer than the distance."""
-    n = len(fp)
-    best, parent, out, left = np.full(n, 65), np.zeros(n, int), [], np.ones(n, bool)
-    at = 0
-    for _ in range(n - 1):
-        left[at] = False
-        d = np.bitwise_count(fp ^ fp[at])
-        near = left & (d < best)
-        best[near], parent[near] = d[near], at
-        at = int(np.argmin(np.where(left, best, 99)))
-        if best[at] <= distance:
-            out.append((at, int(parent[at])))
-    return out
-
-
-def _propose(distance: int, tile: int):
-    def solve(key, fp, tid):
+        key, tid = (np.concatenate(x) for x in zip(held, (batch.column("key").to_numpy(), batch.column("tid").to_numpy())))
+        if not len(key):
+            continue
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (tid[1:] != tid[:-1])
+        key, tid = key[fresh], tid[fresh]
+        same = np.concatenate(([kept and before is not None], key[1:] == key[:-1]))
+        near = np.concatenate(([before or 0], tid[:-1]))
+        keep = same.copy()
+        keep[:-1] |= same[1:]
+        keep[-1] = False  # held
+        yield rows(key[keep], tid[keep], (near[keep], same[keep]))
+        kept, before = bool(same[-1]), int(near[-1]) if same[-1] else None
+        held = [key[-1:], tid[-1:]]
+    if kept:
+        yield rows(*held, (np.array([before], np.int64), np.ones(1, bool)))
+
+
+def unlinked(key: np.ndarray, tid: np.ndarray, n: np.ndarray, root: np.ndarray, parity: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b), a < b, with one key (rows are in order of key) and different roots that may be similar."""
+    out, i = [np.zeros((2, 0), np.int64)], np.arange(len(key))
+    for step in range(1, len(key)):
+        i = i[: np.searchsorted(i, len(key) - step)]
+        i = i[key[i] == key[i + step]]
+        if not len(i):
+            break
+        x = i[root[i] != root[i + step]]
+        y = x + step
+        fit = np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9
+        x, y = x[fit], y[fit]
+        apart = np.bitwise_count(parity[x] ^ parity[y]).sum(axis=1, dtype=np.int64)
+        fit = apart <= (n[x].astype(np.int64) + n[y]) * (1 - similarity) / (1 + similarity) + 1e-9
+        x, y = tid[x[fit]], tid[y[fit]]
+        out.append(np.stack((np.minimum(x, y), np.maximum(x, y))))
+    a, b = np.unique(np.concatenate(out, axis=1), axis=1)
+    return a, b
+
+
+def _columns(batch) -> list[np.ndarray]:
+    parity = batch.column("parity")
+    parity = parity.combine_chunks() if isinstance(parity, pa.ChunkedArray) else parity
+    return [*(batch.column(c).to_numpy() for c in ("key", "tid", "n", "root")), parity.flatten().to_numpy().view(np.uint64).reshape(-1, PARITIES)]
+
+
+def _compare(similarity: float, tile: int):
+    none = lambda n, t=pa.int64(): pa.nulls(n, t)
+    names = ["a", "b", "key", "tid", "n", "root", "parity"]
+
+    def late(rows):
+        m = len(rows[0])
+        return pa.RecordBatch.from_arrays([none(m), none(m), *(pa.array(x) for x in rows[:4]), _lists(list(rows[4]))], names=names)
+
+    def solve(rows):
+        key = rows[0]
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        n = np.diff(np.append(start, len(key)))
-        side, bit = (key >> 37).astype(np.int64), ((key >> 32) & 31).astype(np.int64)
-        shift, width = (np.array(x)[side % len(SEGMENTS)] for x in zip(*SEGMENTS))
-        ones = (fp >> (shift + np.minimum(bit, width - 1)).astype(np.uint64)) & np.uint64(1)
-        ones[bit == width] = 0
-        some = np.add.reduceat(ones.astype(np.int64), start)
-        useful = (n > 1) & ((bit[start] == width[start]) | ((some > 0) & (some < n)))
-        pair = start[useful & (n == 2)]
-        pair = pair[np.bitwise_count(fp[pair] ^ fp[pair + 1]) <= distance]
-        a, b, late = [tid[pair]], [tid[pair + 1]], [np.zeros(0, np.int64)]
-        for s, m in zip(start[useful & (n > 2)], n[useful & (n > 2)]):
-            if m > tile:
-                late.append(np.arange(s, s + m))
-            elif edges := tree(fp[s : s + m], distance):
-                x, y = np.array(edges).T
-                if bit[s] < width[s]:  # an edge between members with one segment is in the tree of that segment's own entry
-                    apart = ones[s + x] != ones[s + y]
-                    x, y = x[apart], y[apart]
-                a.append(tid[s + x])
-                b.append(tid[s + y])
-        late = np.concatenate(late)
-        x, y = np.concatenate(a), np.concatenate(b)
-        a, b = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y))), axis=1)
-        none = lambda n: pa.nulls(n, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none(len(a)), none(len(a))], names=["a", "b", "key", "fp"])
-        if len(late):
-            yield pa.RecordBatch.from_arrays([pa.array(tid[late]), none(len(late)), pa.array(key[late]), pa.array(fp[late].view(np.int64))], names=["a", "b", "key", "fp"])
+        size = np.diff(np.append(start, len(key)))
+        mixed = np.minimum.reduceat(rows[3], start) != np.maximum.reduceat(rows[3], start)
+        now = np.repeat(mixed & (size <= tile), size)
+        a, b = unlinked(*[x[now] for x in rows], similarity)
+        m = len(a)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none(m), none(m), none(m, pa.int32()), none(m), none(m, pa.list_(pa.int64()))], names=names)
+        then = np.repeat(size > tile, size)  # part of such an entry may have been passed on, with other roots
+        if then.any():
+            yield late([x[then] for x in rows])
 
     def run(batches):
-        held = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+        held = None
         for batch in batches:
-            new = [batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64), batch.column("tid").to_numpy()]
-            held = [np.concatenate(x) for x in zip(held, new)]
+            new = _columns(batch)
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
             key = held[0]
             if len(key) and key[0] == key[-1] and len(key) > 4 * tile:  # one entry fills what is held: pass it on, but for a tile that keeps it large
-                n = len(key) - tile - 1
-                yield pa.RecordBatch.from_arrays([pa.array(held[2][:n]), pa.nulls(n, pa.int64()), pa.array(key[:n]), pa.array(held[1][:n].view(np.int64))], names=["a", "b", "key", "fp"])
-                held = [x[n:] for x in held]
+                m = len(key) - tile - 1
+                yield late([x[:m] for x in held])
+                held = [x[m:] for x in held]
                 continue
             whole = np.searchsorted(key, key[-1]) if len(key) else 0
             if whole:
-                yield from solve(*[x[:whole] for x in held])
+                yield from solve([x[:whole] for x in held])
                 held = [x[whole:] for x in held]
-        if len(held[0]):
-            yield from solve(*held)
+        if held is not None and len(held[0]):
+            yield from solve(held)
 
     return run
 
 
-def _tiles(distance: int):
+def _tiles(similarity: float):
     def run(key, table):
-        fp, tid = table.column("fp").to_numpy().view(np.uint64), table.column("tid").to_numpy()
-        edges = tree(fp, distance)
-        x, y = np.array(edges, int).reshape(-1, 2).T
-        return pa.table({"a": pa.array(np.minimum(tid[x], tid[y])), "b": pa.array(np.maximum(tid[x], tid[y]))})
+        a, b = unlinked(*_columns(table), similarity)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     return run
 
 
-def _shingles(shingle: int):
-    def run(batches):
-        for batch in batches:
-            sets = []
-            for t in batch.column("text"):
-                words = t.as_buffer().to_pybytes().split()
-                joined = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))] if words else []
-                sets.append(np.unique(np.array([xxhash.xxh3_64_intdigest(x) for x in joined], np.uint64)).view(np.int64))
-            bounds = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("tid"), lists], names=["tid", "shingles"])
-
-    return run
-
-
-def proposals(nodes: DataFrame, distance: int = DISTANCE, tile: int = TILE) -> DataFrame:
-    """(a, b), a < b: pairs of texts (tid, words) whose fingerprints in some table are neighbours in a spanning tree."""
-    filed = nodes.mapInArrow(_file, "key long, fp long, tid long")
-    found = cut(filed.repartition("key").sortWithinPartitions("key").mapInArrow(_propose(distance, tile), "a long, b long, key long, fp long"), "proposed")
+def unlinked_pairs(members: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+    """(a, b), a < b: all pairs of texts with a common key and different roots that may be similar. members: key, tid, n, root, parity."""
+    filed = members.select("key", "tid", "n", "root", "parity").repartition("key").sortWithinPartitions("key")
+    found = cut(filed.mapInArrow(_compare(similarity, tile), f"a long, b long, {MEMBER}"), "compared")
     out = found.where("key is null").select("a", "b")
-    late = found.where("key is not null").select("key", "fp", F.col("a").alias("tid"))
-    sizes = late.groupBy("key").agg(F.count("*").alias("m"))
+    late = found.where("key is not null").drop("a", "b")
+    sizes = late.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "m")
     if sizes.agg(F.max("m")).first()[0]:
         dealt = late.join(sizes, "key").withColumn("t", F.ceil(F.col("m") / tile)).withColumn("own", F.pmod(F.xxhash64("tid"), F.col("t")))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t") - 1)))
-        dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "tid")
-        out = out.union(dealt.groupBy("key", "i", "j").applyInArrow(_tiles(distance), "a long, b long"))
-    return out.where("a <> b").distinct()
+        dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "tid", "n", "root", "parity")
+        out = out.union(dealt.groupBy("key", "i", "j").applyInArrow(_tiles(similarity), "a long, b long"))
+    return out.distinct()
 
 
-def similar_groups(documents: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, distance: int = DISTANCE, tile: int = TILE, tables: int = TABLES) -> DataFrame:
-    """Per document: doc_id, tid (key of its text), component_id: the least doc_id reachable over links.
+def _frequent(docs: DataFrame, n_texts: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that recur in a sample of the texts, in order, and in how many of its texts."""
+    sample = docs.where(F.pmod("tid", F.lit(max(1, n_texts // SAMPLE))) == 0).dropDuplicates(["tid"]).mapInArrow(_shingles(shingle), "tid long, shingles array<long>")
+    counts = sample.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.col("n").desc(), "s").limit(FREQUENT).toArrow()
+    s, n = counts.column("s").to_numpy().view(np.uint64), counts.column("n").to_numpy()
+    order = np.argsort(s)
+    return s[order], n[order]
 
-    Texts are linked if their shingle sets are similar, or if their SimHash fingerprints differ in three bits at most (as
-    near_duplicates has it). documents: doc_id, text (extra columns are ignored). Equal texts are one; null texts are
-    empty; texts without words are linked with each other; an empty table gives no rows."""
-    docs = texts(documents).withColumn("tid", text_key(F.col("text")))
-    scan = cut(docs.mapInArrow(_scan(tables), "doc_id long, tid long, fp long, words array<long>"), "fingerprints")
-    nodes = cut(scan.groupBy("tid").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("words").alias("words")), "texts")
-    pairs = cut(proposals(nodes.select("tid", "words"), distance, tile), "pairs")
+
+def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar."""
     asked = cut(pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).distinct().join(nodes.select("tid", "first"), "tid").select(F.col("tid").alias("t"), "first"), "asked")
     one = docs.join(small(asked, asked.count()), (F.col("tid") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
     sets = cut(one.select("tid", "text").mapInArrow(_shingles(shingle), "tid long, shingles array<long>").dropDuplicates(["tid"]), "sets")
     both = pairs.join(sets.select(F.col("tid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("tid").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    alike = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def _scan(batches):
+    for batch in batches:
+        fp = np.array([simhash.fingerprint(t.as_buffer().to_pybytes()) for t in batch.column("text")], np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tid"), pa.array(fp.view(np.int64))], names=["doc_id", "tid", "fp"])
+
+
+def similar_groups(documents: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:
+    """Per document: doc_id, tid (key of its text), component_id: the least doc_id reachable over links.
+
+    Texts are linked if their shingle sets are similar, or if their SimHash fingerprints differ in three bits at most (as
+    near_duplicates has it). documents: doc_id, text (extra columns are ignored). Equal texts are one; null texts are
+    empty; texts without words are linked with each other; an empty table gives no rows."""
+    docs = texts(documents).withColumn("tid", text_key(F.col("text")))
+    scan = cut(docs.mapInArrow(_scan, "doc_id long, tid long, fp long"), "fingerprints")
+    nodes = cut(scan.groupBy("tid").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")), "texts")
     fps = cut(nodes.groupBy("fp").agg(F.min("tid").alias("tid")), "distinct")
     roots = simhash.components(simhash.links(fps.select("fp")))
     strict = fps.join(roots, fps.fp == roots.node).join(fps.select(F.col("fp").alias("root"), F.col("tid").alias("b")), "root").select(F.col("tid").alias("a"), "b")
     same = nodes.select("tid", "fp").join(fps.select("fp", F.col("tid").alias("b")), "fp").where("tid <> b").select(F.col("tid").alias("a"), "b")
+
+    prefixes = docs.mapInArrow(_prefixes(shingle, similarity, *_frequent(docs, nodes.count(), shingle)), "tid long, n int, parity array<long>, prefix array<long>")
+    prefixes = cut(prefixes, "prefixes")
+    filed = prefixes.select(F.explode("prefix").alias("key"), "tid").repartition("key").sortWithinPartitions("key", F.xxhash64("tid", F.pmod("key", F.lit(ORDERS))), "tid")
+    recurring = cut(filed.mapInArrow(_recurring, "key long, tid long, near long"), "recurring")
+    info = cut(prefixes.select("tid", "n", "parity").dropDuplicates(["tid"]).join(recurring.select("tid").distinct(), "tid", "left_semi"), "sizes")
+    near = recurring.where("near is not null").select(F.least("tid", "near").alias("a"), F.greatest("tid", "near").alias("b")).distinct()
+    near = near.join(info.select(F.col("tid").alias("a"), F.col("n").alias("m"), F.col("parity").alias("x")), "a").join(info.select(F.col("tid").alias("b"), "n", F.col("parity").alias("y")), "b")
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, c: a + c)
+    near = near.where((F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-9) & (apart <= (F.col("m") + F.col("n")) * ((1 - similarity) / (1 + similarity)) + 1e-9))
+    alike = _alike(docs, nodes, cut(near.select("a", "b"), "neighbours"), similarity, shingle)
     root = simhash.components(alike.union(strict).union(same))
+
+    members = recurring.select("key", "tid").join(info.join(root, info.tid == root.node, "left").select("tid", "n", F.coalesce("root", "tid").alias("root"), "parity"), "tid")
+    rest = cut(unlinked_pairs(members, similarity, tile), "unlinked")
+    root = simhash.components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_alike(docs, nodes, rest, similarity, shingle)))
     named = cut(nodes.join(root, nodes.tid == root.node, "left").select("tid", "first", F.coalesce("root", "tid").alias("root")), "roots")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     label = cut(named.join(least, "root").select("tid", "component_id"), "labels")
