@@ -100,6 +100,19 @@ def test_cut_appended_and_spliced_copies(spark, tile):
     assert found(spark, data, tile=tile) == similar(data)
 
 
+@pytest.mark.parametrize("tile", [1024, 7])
+def test_copies_of_records_with_the_same_words(spark, tile):
+    r = random.Random(6)
+    words, data = ["w%d" % i for i in range(120)], []
+    for k in range(100):
+        w = r.sample(words, len(words))
+        data.append(" ".join(w))
+        w[30], w[80] = "a%d" % k, "b%d" % k
+        data.append(" ".join(w))
+    got = found(spark, data, tile=tile)
+    assert got == similar(data) and all(got[i] == got[i + 1] for i in range(0, len(data), 2))
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     cols = docs.columns
