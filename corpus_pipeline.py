@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebar.llm import language_id, mixing, packing, pii, simhash_words
-from tidebar.llm.common import cut, small
+from tidebar.llm.common import cut, small, text_key
 
 #: Share of n-grams of the predicted language below which a document isn't in any language.
 LEAST_SCORE = 0.2
@@ -22,14 +22,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: the one with the least id. Rows with one id are one document.
-
-    Linked are texts with a similarity of 0.8 or more in five-word shingles, and those whose SimHash differs in three bits at most."""
-    groups = simhash_words.similar_groups(docs)
-    kept = cut(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k_doc")).distinct(), "kept")
-    rows = docs.join(small(kept, kept.count()), F.col("doc_id").eqNullSafe(F.col("k_doc")), "left_semi")
-    n, unique = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    return rows if n == unique else rows.dropDuplicates(["doc_id"])
+    """Keeps one document of each group of near-duplicates: the one with the least id, then the least key of its text.
+
+    Linked are texts with a similarity of 0.8 or more in five-word shingles, and those whose SimHash differs in three bits
+    at most. Ids don't name documents: rows with one id, or none, are one document only if their texts are in one group."""
+    groups = simhash_words.similar_groups(docs).groupBy("root", "doc_id", "tid").agg(F.count("*").alias("n"))
+    least = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid", "n")).alias("k"))
+    kept = cut(least.select(F.col("k.doc_id").alias("k_doc"), F.col("k.tid").alias("k_tid"), F.col("k.n").alias("k_n")), "kept")
+    n, n_rows = kept.agg(F.count("*"), F.sum("k_n")).first()
+    keyed = docs.withColumn("k_key", text_key(F.coalesce(F.col("text"), F.lit(""))))
+    rows = keyed.join(small(kept.drop("k_n"), n), F.col("doc_id").cast("long").eqNullSafe(F.col("k_doc")) & (F.col("k_key") == F.col("k_tid")), "left_semi")
+    return (rows if n == (n_rows or 0) else rows.dropDuplicates(["doc_id", "k_key"])).select(*docs.columns)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -139,6 +139,15 @@ def test_stages(spark):
         assert f(spark, empty, SF).count() == 0
 
 
+def test_near_duplicates_keep_texts_that_share_an_id(spark):
+    r = random.Random(7)
+    a, b, c, d = (" ".join(r.choice("abcdefgh") + str(r.randint(0, 9999)) for _ in range(80)) for _ in range(4))
+    data = [(None, a), (None, b), (7, c), (7, d), (8, d + " more"), (7, c), (9, a), (None, "")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = [tuple(x) for x in corpus_pipeline.near_dedup(spark, df, SF).collect()]
+    assert sorted(got, key=str) == sorted([(9, a), (None, b), (7, c), (7, d), (None, "")], key=str)
+
+
 def test_run_is_the_stages(spark):
     got = corpus_pipeline.run(spark, SF)
     again = corpus_pipeline.run(spark, SF)

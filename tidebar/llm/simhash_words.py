@@ -229,7 +229,7 @@ def _scan(batches):
 
 
 def similar_groups(documents: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:
-    """Per document: doc_id, tid (key of its text), component_id: the least doc_id reachable over links.
+    """Per document: doc_id, tid (key of its text), component_id: the least doc_id reachable over links, root: the least tid of them.
 
     Texts are linked if their shingle sets are similar, or if their SimHash fingerprints differ in three bits at most (as
     near_duplicates has it). documents: doc_id, text (extra columns are ignored). Equal texts are one; null texts are
@@ -259,5 +259,5 @@ def similar_groups(documents: DataFrame, similarity: float = SIMILARITY, shingle
     root = simhash.components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_alike(docs, nodes, rest, similarity, shingle)))
     named = cut(nodes.join(root, nodes.tid == root.node, "left").select("tid", "first", F.coalesce("root", "tid").alias("root")), "roots")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = cut(named.join(least, "root").select("tid", "component_id"), "labels")
-    return scan.select("doc_id", "tid").join(small(label, label.count()), "tid").select("doc_id", "tid", "component_id")
+    label = cut(named.join(least, "root").select("tid", "component_id", "root"), "labels")
+    return scan.select("doc_id", "tid").join(small(label, label.count()), "tid").select("doc_id", "tid", "component_id", "root")
