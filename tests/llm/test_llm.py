@@ -241,6 +241,19 @@ def test_local_search_only_improves():
     assert sum(packing.local_search(Counter({(60,): 1, (50,): 1, (40, 30): 1, (20,): 1}), 100).values()) == 2
 
 
+@pytest.mark.parametrize("least, most", [(400, 1300), (300, 900)])
+def test_local_search_ends_when_nothing_helps(least, most):
+    r = random.Random(1)
+    counts = Counter(r.randint(least, most) for _ in range(3000))
+    first = packing.best_fit(counts, 2048)
+    second = packing.local_search(first, 2048)
+    assert sum(sum(k) * n for k, n in second.items()) == sum(k * n for k, n in counts.items())
+    assert sum(second.values()) <= 0.995 * sum(first.values())
+    under = [k for k in second if sum(k) < 2048]
+    assert not any(packing._better(a, b, 2048) for a in under for b in under if sum(a) >= sum(b) and (a != b or second[a] > 1)) or sum((2048 - sum(k)) * second[k] for k in under) < 2048
+
+
+
 def test_mixing(docs):
     got = mixing.mix(docs).collect()
     again = mixing.mix(docs.repartition(7)).collect()

@@ -25,8 +25,6 @@ SIZE = 2048
 END = 0
 #: Pieces of one length that a task numbers at once.
 BUCKET = 50_000
-#: Pairs of kinds of bins that the local search looks at in all.
-SEARCH_PAIRS = 60_000
 
 
 @lru_cache(maxsize=1)
@@ -141,35 +139,51 @@ def _better(a: tuple, b: tuple, size: int) -> tuple[tuple, tuple] | None:
     return tuple(sorted([*new_a, *taken], reverse=True)), tuple(sorted([*new_b, *give], reverse=True))
 
 
-def local_search(bins: Counter, size: int, pairs: int = SEARCH_PAIRS) -> Counter:
-    """Improves a packing: the emptiest kind of bin gives to the fuller underfull ones until it is empty or nothing helps."""
-    bins = Counter(bins)
-    stuck: set[tuple] = set()
-    while pairs > 0:
-        under = sorted((k for k, n in bins.items() if n and sum(k) < size), key=lambda k: (sum(k), k))
-        giver = next((k for k in under if k not in stuck), None)
-        if giver is None:
-            break
-        if sum(size * n - sum(k) * n for k, n in bins.items() if n) < size:
-            break  # no bin can be saved any more
-        hit = None
-        for taker in reversed(under):
-            if taker == giver and bins[giver] < 2:
+def local_search(bins: Counter, size: int) -> Counter:
+    """Improves a packing: the emptiest kind of bin gives to the fuller underfull ones until it is empty or nothing helps.
+
+    It ends when no pair of kinds can improve or no bin can be saved. A giver that nothing helped is asked again for takers
+    that came or grew since; each step increases the sum of squared fills, so there are finitely many."""
+    bins = +Counter(bins)
+    under = sorted((sum(k), k) for k in bins if sum(k) < size)
+    room = sum((size - fill) * bins[k] for fill, k in under)  # steps move pieces: only emptied bins change it
+    changed, tried, step = dict.fromkeys(bins, 0), {}, 0
+
+    def put(kind: tuple, n: int) -> None:
+        if n > 0:
+            changed[kind] = step
+        if sum(kind) < size and not bins[kind]:
+            bisect.insort(under, (sum(kind), kind))
+        bins[kind] += n
+        if not bins[kind]:
+            del bins[kind]
+            if sum(kind) < size:
+                under.pop(bisect.bisect_left(under, (sum(kind), kind)))
+
+    at = 0
+    while room >= size and at < len(under):
+        giver, hit = under[at][1], None
+        since = tried.get(giver, -1)
+        for _, taker in reversed(under):
+            if changed[taker] <= since or (taker == giver and bins[giver] < 2):
                 continue
-            pairs -= 1
             if hit := _better(taker, giver, size):
                 break
         if hit is None:
-            stuck.add(giver)
+            tried[giver] = step
+            at += 1
             continue
+        step += 1
         n = bins[giver] // 2 if taker == giver else min(bins[giver], bins[taker])
-        bins[giver] -= n
-        bins[taker] -= n
-        bins[hit[0]] += n
+        put(giver, -n)
+        put(taker, -n)
+        put(hit[0], n)
         if hit[1]:
-            bins[hit[1]] += n
-        bins = +bins
-    return +bins
+            put(hit[1], n)
+        else:
+            room -= size * n
+        at = 0
+    return bins
 
 
 def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int, int]]:
