@@ -89,7 +89,7 @@ def shingles(t):
     return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-@pytest.mark.parametrize("stretch", [2000, 2])
+@pytest.mark.parametrize("stretch", [fingerprints.STRETCH, (2000, 2000), (1, 1)])
 def test_fingerprints(docs, stretch):
     order = sorted(TEXTS, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256(r[1].encode()).hexdigest()))
     got = {(r.doc_id, r.edited_sha256): r for r in fingerprints.edited_fingerprints(docs, stretch=stretch).collect()}

@@ -1,27 +1,31 @@
 """Chat formatting of logged conversations after cumulative-snapshot collapse.
 
 A service that logs after every turn leaves a conversation many times, each log a prefix of the next. A rolling hash over
-the turns names every prefix; a log whose last hash is a proper prefix of another log is dropped by an anti-join, of equal
-logs the least id stays, and only what is left is rendered.
+the turns names every prefix: the running exclusive or of hashes of (place, role, text), a row a turn, so that no log is
+gathered for it. A log whose last hash is a proper prefix of another log is dropped by an anti-join, of equal logs the
+least id stays, and only the turns of what is left are gathered and rendered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
-
+from tidebar.llm.common import cut, small
 
-def rolling(turns: Column) -> Column:
-    """Hash of every prefix of an array of (turn, role, text)."""
-    start = F.struct(F.lit("").alias("h"), F.array().cast("array<string>").alias("all"))
+OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+PREFIX = ("k", "h1", "h2")
 
-    def step(a: Column, t: Column) -> Column:
-        h = F.md5(F.concat_ws("\x1f", a["h"], t["role"], F.md5(t["text"])))
-        return F.struct(h.alias("h"), F.concat(a["all"], F.array(h)).alias("all"))
 
-    return F.aggregate(turns, start, step, lambda a: a["all"])
+def prefixes(turns: DataFrame) -> DataFrame:
+    """conv_id, k, h1, h2, n: the hash (128 bits) of the first k of n turns. turns: conv_id, turn, role, text."""
+    log = Window.partitionBy("conv_id")
+    order = log.orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = turns.select("conv_id", "turn", "role", "text", F.sha2(F.concat_ws("\x1f", F.char_length("role").cast("string"), "role", "text"), 256).alias("sha"))
+    rows = rows.withColumn("k", F.row_number().over(order)).withColumn("n", F.count("*").over(log))
+    rolling = [F.bit_xor(F.xxhash64(F.lit(seed), "k", "sha")).over(so_far).alias(f"h{seed}") for seed in (1, 2)]
+    return rows.select("conv_id", "k", *rolling, "n")
 
 
 def rendered(turns: Column) -> Column:
@@ -33,13 +37,13 @@ def format_chats(conversations: DataFrame) -> DataFrame:
 
     conversations: conv_id, turn, role, text (extra columns are ignored). Turns go by turn (null first), role, text; a
     null role or text is empty; repeated rows are turns of their own; rows without conv_id are one conversation; an empty
-    table gives no rows."""
+    table gives no rows. A conversation that stays must fit a row, as its text does."""
     empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    turns = conversations.select("conv_id", F.struct("turn", empty("role"), empty("text")).alias("t"))
-    logs = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns")).withColumn("hashes", rolling(F.col("turns")))
-    logs = logs.withColumn("full", F.element_at("hashes", -1))
-    prefixes = logs.select(F.explode(F.slice("hashes", F.lit(1), F.size("hashes") - 1)).alias("full")).distinct()
-    kept = logs.join(prefixes, "full", "left_anti")
-    least = kept.groupBy("full").agg(F.min(F.struct(F.col("conv_id").isNotNull().alias("known"), "conv_id")).alias("least"))
-    kept = kept.join(least, "full").where(F.col("conv_id").eqNullSafe(F.col("least.conv_id")))
-    return kept.select("conv_id", F.size("turns").cast("long").alias("n_turns"), rendered(F.col("turns")).alias("text"))
+    turns = conversations.select("conv_id", "turn", empty("role"), empty("text"))
+    marks = cut(prefixes(turns), "prefixes")
+    full = marks.where("k = n").join(marks.where("k < n").select(*PREFIX).distinct(), list(PREFIX), "left_anti")
+    least = full.groupBy(*PREFIX).agg(F.min(F.struct(F.col("conv_id").isNotNull().alias("known"), "conv_id")).alias("least"))
+    kept = cut(least.select(F.col("least.conv_id").alias("kept_id")), "kept")
+    logs = turns.join(small(kept, kept.count()), F.col("conv_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    logs = logs.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    return logs.select("conv_id", F.size("turns").cast("long").alias("n_turns"), rendered(F.col("turns")).alias("text"))

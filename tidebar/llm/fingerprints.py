@@ -9,13 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import texts
+from tidebar.llm.common import cut, small, texts
 
 SHINGLE = 5
 K = 128
-#: Documents a stretch of ids holds, about; at most so many stretches.
-STRETCH = 2000
-STRETCHES = 4096
+#: Bytes of text that a stretch of documents holds, about: the first while there are fewer than FEW stretches, else the second.
+STRETCH = (8 << 20, 512 << 20)
+FEW = 1000
+#: Keys that are sampled to part the stretches evenly, a stretch; and how many are in any case.
+SAMPLE = 5
+LEAST_SAMPLE = 200_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -66,37 +69,60 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE, k: int = K) -> Da
     return rows.select("doc_id", sketch_of(F.col("words"), shingle, k).alias("fingerprint"))
 
 
-def _in_order(docs: DataFrame, stretch: int) -> DataFrame:
-    """doc_id, text, part, head: rows dealt into stretches of consecutive ids; each stretch also gets the row that follows it (head = 1).
-
-    The stretches' bounds are quantiles of the ids, a bounded number; what follows the last stretch is the first row of all."""
-    n = docs.count()
-    parts = min(STRETCHES, max(1, n // stretch))
-    bounds = sorted(set(docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    part = F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]).cast("array<long>"), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
-    rows = docs.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part)).withColumn("head", F.lit(0))
-    first = {r["part"]: (r["nulls"], r["low"]) for r in rows.groupBy("part").agg(F.max(F.col("doc_id").isNull()).alias("nulls"), F.min("doc_id").alias("low")).collect()}  # a row a stretch
-    order = sorted(first)
-    if not order:
-        return rows
-    ids = [low for nulls, low in first.values() if not nulls]
-    wanted = F.col("doc_id").isin(ids) if ids else F.lit(False)
-    heads = rows.where(wanted | F.col("doc_id").isNull()).where(F.col("doc_id").isNull() | ~F.col("part").isin([p for p in order if first[p][0]]))
-    heads = heads.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("a"), "doc_id", F.sha2("text", 256).alias("sha"), "text")).alias("x"))
-    before = {p: order[i - 1] for i, p in enumerate(order)}
-    moved = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("part"))
-    return rows.union(heads.select("x.doc_id", "x.text", moved.alias("part"), F.lit(1).alias("head")))
-
-
-def edited_fingerprints(documents: DataFrame, shingle: int = SHINGLE, k: int = K, stretch: int = STRETCH) -> DataFrame:
+def order_key(doc_id: Column, text: Column) -> Column:
+    """A string that sorts as (doc_id, the text's SHA-256) does, null ids first."""
+    number = F.lpad(F.hex(doc_id.bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    return F.concat(F.coalesce(number, F.lit("!")), F.sha2(text, 256))
+
+
+def _stretch_of(key: Column, bounds: list[str]) -> Column:
+    """How many of the sorted bounds aren't above the key, by halving."""
+    if not bounds:
+        return F.lit(0)
+    held = F.split(F.lit(",".join(bounds)), ",")  # one literal
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        above = (s["lo"] < s["hi"]) & (F.get(held, mid) <= key)
+        return F.struct(F.when(above, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(above | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(bounds).bit_length())), start, halve, lambda s: s["lo"])
+
+
+def _in_order(docs: DataFrame, stretch: tuple[int, int]) -> DataFrame:
+    """doc_id, text, key, part, head: rows dealt into stretches of consecutive keys; each stretch also gets the row that
+    follows it (head = 1), the last one the first row of all.
+
+    A sample of the keys parts the stretches; it decides how even they are, and nothing else."""
+    rows = docs.withColumn("key", order_key(F.col("doc_id"), F.col("text")))
+    keys = cut(rows.select("key", F.octet_length("text").alias("bytes")), "keys")
+    n, size = keys.agg(F.count("*"), F.sum("bytes")).first()
+    parts = max(min(FEW, (size or 0) // stretch[0]), (size or 0) // stretch[1], 1)
+    bounds: list[str] = []
+    if parts > 1:
+        share = min(1.0, max(LEAST_SAMPLE, SAMPLE * parts) / n)
+        drawn = keys.where(F.pmod(F.xxhash64(F.lit("stretch"), "key"), F.lit(1 << 30)) < share * float(1 << 30)).select(F.substring("key", 1, 24).alias("key"))
+        sample = sorted(drawn.toArrow().column("key").to_pylist())  # bounded: see SAMPLE
+        bounds = sorted({sample[i * len(sample) // parts] for i in range(1, parts)}) if sample else []
+    part = _stretch_of(F.col("key"), bounds)
+    first = keys.select("key", part.alias("part")).groupBy("part").agg(F.min("key").alias("first"))
+    before = Window.orderBy("part")  # a row a stretch
+    first = cut(first.select("first", F.coalesce(F.lag("part").over(before), F.max("part").over(Window.partitionBy())).alias("to")), "heads")
+    heads = rows.join(small(first, first.count(), 100), F.col("key") == F.col("first")).dropDuplicates(["key"])
+    return rows.select("doc_id", "text", "key", part.alias("part"), F.lit(0).alias("head")).union(heads.select("doc_id", "text", "key", "to", F.lit(1)))
+
+
+def edited_fingerprints(documents: DataFrame, shingle: int = SHINGLE, k: int = K, stretch: tuple[int, int] = STRETCH) -> DataFrame:
     """Fingerprints of whole texts and of their edited texts: the last half (rounded down) gives way to as many code points
     from the start of the next document's text, or all of it. Next is by ascending doc_id, the first after the last.
 
     documents: doc_id, text (extra columns are ignored). A null text is empty; a null id comes first; rows with one id
-    are ordered by their texts' SHA-256; an empty table gives no rows; a lone document is its own next."""
+    are ordered by their texts' SHA-256 (rows with one id and one text are sorted in one task); an empty table gives no
+    rows; a lone document is its own next. stretch: see STRETCH."""
     rows = _in_order(texts(documents), stretch).repartition("part")
     rows = rows.withColumn("words", word_hashes(F.col("text"))).withColumn("fp", sketch_of(F.col("words"), shingle, k)).drop("words")
-    w = Window.partitionBy("part").orderBy("head", F.col("doc_id").asc_nulls_first(), F.sha2("text", 256))
+    w = Window.partitionBy("part").orderBy("head", "key")
     rows = rows.withColumn("next_text", F.lead("text").over(w)).withColumn("next_fp", F.lead("fp").over(w)).where("head = 0")
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")

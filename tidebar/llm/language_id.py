@@ -10,16 +10,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebar.llm.common import cut, small
+
 N = 5
 #: Labelled documents a language that the filters learn from, about (chosen by a hash of the id).
 TRAIN_DOCS = 3000
-#: n-grams a language in its filter: the most frequent ones.
-GRAMS = 12_000
-SLOT_BITS = 18
+#: Times that an n-gram occurs in a language's sample at least to be in its filter.
+LEAST = 2
 HASHES = 3
+#: Slots of the filters for each n-gram of the language with the most, at least (a fill of 0.3, false positives of 0.03).
+SLOTS_EACH = 8
 BLOCK = 1 << 19
 UNKNOWN = "und"
 _SPACE = bytes(32 if chr(i) in "0123456789" or i < 65 or 91 <= i < 97 or 123 <= i < 128 else i for i in range(256))
@@ -49,10 +52,11 @@ def _grams(data: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return g ^ (g >> np.uint64(32)), good
 
 
-def _slots(g: np.ndarray):
-    mask = np.uint64((1 << SLOT_BITS) - 1)
-    for j in range(HASHES):
-        yield ((g >> np.uint64(j * 20)) & mask).astype(np.int64)
+def _slots(g: np.ndarray, bits: int):
+    h = g
+    for _ in range(HASHES):
+        yield (h >> np.uint64(64 - bits)).astype(np.int64)
+        h = h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
 
 
 def _blocks(texts: list[str | None]):
@@ -93,10 +97,11 @@ class Model:
 
     def __init__(self, langs: list[str], grams: dict[str, np.ndarray]):
         self.langs = langs
-        self.words = [np.zeros(1 << SLOT_BITS, np.uint64) for _ in range(-(-len(langs) // 64))]
+        self.bits = max(10, (SLOTS_EACH * max((len(g) for g in grams.values()), default=1)).bit_length())
+        self.words = [np.zeros(1 << self.bits, np.uint64) for _ in range(-(-len(langs) // 64))]
         for i, lang in enumerate(langs):
-            for at in _slots(grams[lang]):
-                self.words[i // 64][at] |= np.uint64(1 << (i % 64))
+            for at in _slots(grams[lang], self.bits):
+                np.bitwise_or.at(self.words[i // 64], at, np.uint64(1 << (i % 64)))
         fill = [float(((self.words[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()) for i in range(len(langs))]
         self.rate = np.array(fill) ** HASHES
 
@@ -113,7 +118,7 @@ class Model:
             np.add.at(total, who, np.add.reduceat(good, starts, dtype=np.int64))
             for w, word in enumerate(self.words):
                 found = np.full(len(g), ~np.uint64(0))
-                for at in _slots(g):
+                for at in _slots(g, self.bits):
                     found &= word[at]
                 found[~good] = 0
                 for i in range(64 * w, min(64 * w + 64, len(self.langs))):
@@ -121,48 +126,50 @@ class Model:
         return np.clip((hits - total[:, None] * self.rate) / (1 - self.rate), 0, None), total
 
 
-def train(documents: DataFrame, docs_per_lang: int = TRAIN_DOCS, grams: int = GRAMS) -> Model:
-    """Learns from text and non-null lang of documents that aren't held out; about docs_per_lang of each language."""
+def sample(documents: DataFrame, docs_per_lang: int = TRAIN_DOCS) -> DataFrame:
+    """lang and text of about docs_per_lang labelled documents of each language, none of them held out."""
     rows = documents.select(F.col("doc_id").alias("id"), "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
-    chance = F.lit(1.0)
-    for lang, n in counts.items():
-        chance = F.when(F.col("lang") == lang, min(1.0, docs_per_lang / n)).otherwise(chance)
-    sample = rows.where(F.pmod(F.xxhash64(F.lit("train"), "id"), F.lit(1 << 30)) < chance * float(1 << 30)).select("lang", "text")
-    seen = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    best = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
-    top = seen.withColumn("k", best).where(F.col("k") <= grams).groupBy("lang").agg(F.collect_list("gram").alias("grams")).collect()  # `grams` a language at most
-    found = {r["lang"]: np.array(r["grams"], np.int64).view(np.uint64) for r in top}
-    langs = sorted(counts)
-    return Model(langs, {x: found.get(x, np.zeros(0, np.uint64)) for x in langs})
+    counts = cut(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")  # a row a language
+    drawn = F.pmod(F.xxhash64(F.lit("train"), "id"), F.lit(1 << 30)) < F.least(F.lit(1.0), docs_per_lang / F.col("n")) * float(1 << 30)
+    return rows.join(small(counts, counts.count()), "lang").where(drawn).select("lang", "text")
+
+
+def train(documents: DataFrame, docs_per_lang: int = TRAIN_DOCS, least: int = LEAST) -> Model:
+    """Learns from text and non-null lang of documents that aren't held out; about docs_per_lang of each language, all of
+    whose n-grams that occur `least` times or more are in its filter."""
+    chosen = sample(documents, docs_per_lang)
+    seen = cut(chosen.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    langs = sorted(r["lang"] for r in seen.select("lang").distinct().collect())  # a row a language
+    found = seen.where(F.col("n") >= least).select("lang", "gram").toArrow()  # of a bounded sample
+    lang, gram = np.array(found.column("lang").to_pylist(), object), found.column("gram").to_numpy().view(np.uint64)
+    return Model(langs, {x: gram[lang == x] for x in langs})
 
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:
     """Adds lang_pred and score (share of the text's n-grams that the language has) to all columns of documents; see identify."""
     spark: SparkSession = documents.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    names = documents.columns
+    n_kept = len(documents.columns)
 
     def run(batches):
         m = shared.value
-        for batch in batches:
-            text = batch.column(batch.schema.get_field_index("id_text"))
-            n = len(text)
+        for batch in batches:  # the columns of documents, then the text and whether it has a letter
+            n = batch.num_rows
             pred, score = [UNKNOWN] * n, np.zeros(n)
             if m.langs and n:
-                known = np.array(batch.column(batch.schema.get_field_index("id_letter")).to_pylist(), bool)
-                counts, total = m.counts([t if k else None for t, k in zip(text.to_pylist(), known)])
+                known = np.array(batch.column(n_kept + 1).to_pylist(), bool)
+                counts, total = m.counts([t if k else None for t, k in zip(batch.column(n_kept).to_pylist(), known)])
                 best = counts.argmax(axis=1)
                 top = counts[np.arange(n), best]
                 score = np.where(known & (total > 0), np.minimum(top / np.maximum(total, 1), 1.0), 0.0)
                 pred = [m.langs[b] if k else UNKNOWN for b, k in zip(best, known)]
-            kept = [c for i, c in enumerate(batch.columns) if batch.schema.names[i] not in ("id_text", "id_letter")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=names)
 
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rows = documents.select("*", F.col("text").alias("id_text"), letter.alias("id_letter"))
-    schema = documents.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return rows.mapInArrow(run, schema)
+    rows = rows.toDF(*[f"c{i}" for i in range(n_kept + 2)])
+    schema = documents.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).toDF(*(names := [f"c{i}" for i in range(n_kept)] + ["lang_pred", "score"])).schema
+    return rows.mapInArrow(run, schema).toDF(*documents.columns, "lang_pred", "score")
 
 
 def identify(documents: DataFrame, **sizes: int) -> DataFrame:

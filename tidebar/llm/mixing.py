@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import BROADCAST_ROWS, cut
+from tidebar.llm.common import cut, drop, small
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -104,8 +104,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     share_of = cut(targets(sources.select("source", "source_size"), weights, share, most).withColumnRenamed("source", "s"), "targets")
     counts = sources.select(F.col("source").alias("s"), "n")
     table = cut(share_of.join(counts, share_of.s.eqNullSafe(counts.s)).select(share_of.s, "source_size", "target", "n"), "shares")
-    n_sources = table.count()
-    named = F.broadcast(table) if n_sources <= BROADCAST_ROWS else table
+    named = small(table, table.count(), 64)
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     rows = docs.join(named, docs.source.eqNullSafe(F.col("s"))).drop("s").withColumn("rate", rate)
     rows = rows.withColumn("whole", F.floor(F.col("rate") + EPS)).withColumn("p", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))

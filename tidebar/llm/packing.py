@@ -10,6 +10,7 @@ each piece finds its place from its length and its number among the pieces of th
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
@@ -23,41 +24,95 @@ from tidebar.llm.common import cut, texts
 
 SIZE = 2048
 END = 0
-#: Pieces of one length that a task numbers at once.
-BUCKET = 50_000
+TOKENIZER = "byte_bpe_50k.json"
+_SPACED = re.compile(r"\s |\s$")
+#: Units that may be asked for together: no white space, no added token.
+_PLAIN = re.compile(r"[!-;=-~\u00a1-\u167f]+")
+#: Pieces of one length that are numbered together, about: a frequent length is many buckets.
+BUCKET = 500
 
 
-@lru_cache(maxsize=1)
-def _encoders(tokenizer_file: str, ranks_file: str):
-    import base64
+#: Characters up to which a unit's ids are remembered, and how many units are.
+UNIT = 48
+UNITS = 400_000
+
 
+@lru_cache(maxsize=1)
+def _tokenizer(file: str):
     import public_tokenizers
-    import tiktoken
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path(tokenizer_file))
-    t.encode_special_tokens = True
-    with open(public_tokenizers.path(ranks_file), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return t, fast
+    return Tokenizer.from_file(public_tokenizers.path(file))
+
+
+def units(text: str) -> list[str]:
+    """The text in units, each but the first without the space that it begins with.
+
+    The tokenizer's pieces never go from another character to a space, so that a text may be parted before every space
+    that doesn't follow white space, and the units' ids one after another are the text's."""
+    parts = text.split(" ")
+    if not _SPACED.search(text) and parts[0]:
+        return parts
+    out, held = [], []
+    for p in parts:
+        held.append(p)
+        if p and not p[-1].isspace():
+            out.append(" ".join(held))
+            held = []
+    return out + [" ".join(held)] if held else out
+
+
+class Encoder:
+    """Ids of texts by the tokenizer, asked once for units that recur."""
+
+    def __init__(self, file: str = TOKENIZER):
+        self.tokenizer = _tokenizer(file)
+        self.known: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, fresh: list[str]) -> None:
+        """One text of all units; a token belongs to the unit that its offset lies in."""
+        found = self.tokenizer.encode("".join([" " + u for u in fresh]), add_special_tokens=False)
+        starts = np.cumsum([0] + [len(u) + 1 for u in fresh])
+        ids = np.array(found.ids, "<u4")
+        at = np.searchsorted(np.array([s for s, _ in found.offsets], np.int64), starts).tolist()
+        for u, i, j in zip(fresh, at, at[1:]):
+            self.known[u] = ids[i:j].tobytes()
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text, as uint32."""
+        known = self.known
+        if len(known) > UNITS:
+            known.clear()
+        first, *rest = units(text)
+        fresh, long = [], {}
+        for u in set(rest).difference(known):
+            if len(u) > UNIT:
+                long[u] = self._ids(" " + u)
+            elif _PLAIN.fullmatch(u):
+                fresh.append(u)
+            else:
+                known[u] = self._ids(" " + u)
+        if fresh:
+            self._learn(fresh)
+        find = known.__getitem__ if not long else lambda u: long[u] if u in long else known[u]
+        return np.frombuffer(b"".join([self._ids(first), *map(find, rest)]), "<u4")
 
 
-def encode(text: str, tokenizer_file: str = "byte_bpe_50k.json", ranks_file: str = "byte_bpe_50k.tiktoken") -> list[int]:
-    """Ids of a text. The faster library reads the same vocabulary; it is used where both are known to split alike
-    (Latin text without long runs), the tokenizer's own library elsewhere."""
-    slow, fast = _encoders(tokenizer_file, ranks_file)
-    if len(text) < 1_000_000 and (text.isascii() or max(text) < "ɐ"):
-        return fast.encode_ordinary(text)
-    return slow.encode(text, add_special_tokens=False).ids
+@lru_cache(maxsize=1)
+def encoder(file: str = TOKENIZER) -> Encoder:
+    return Encoder(file)
 
 
-def _pieces(size: int):
+def _pieces(size: int, file: str):
     def run(batches):
+        ids_of = encoder(file).encode
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.array([*encode(text), END], "<u4")
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                ids = np.append(ids_of(text.as_py()), np.uint32(END))
                 first = len(ids) % size or size
                 start, stop, k = 0, min(first, len(ids)), 0
                 while start < len(ids):
@@ -69,8 +124,9 @@ def _pieces(size: int):
     return run
 
 
-def best_fit(counts: dict[int, int], size: int) -> Counter:
-    """Kinds of bins (lengths in decreasing order) and how many of each, by best fit in decreasing order.
+def best_fit(counts: dict[int, int], size: int, order=None) -> Counter:
+    """Kinds of bins (lengths in decreasing order) and how many of each, by best fit, the lengths in the given order (by
+    default decreasing).
 
     Bins of one kind are filled together, so the work follows the number of kinds, not of pieces."""
     done: Counter = Counter()
@@ -86,7 +142,7 @@ def best_fit(counts: dict[int, int], size: int) -> Counter:
             bisect.insort(rooms, room)
         open_bins[room].append([kind, n])
 
-    for length in sorted(counts, reverse=True):
+    for length in order or sorted(counts, reverse=True):
         n = counts[length]
         while n:
             i = bisect.bisect_left(rooms, length)
@@ -106,7 +162,7 @@ def best_fit(counts: dict[int, int], size: int) -> Counter:
             take = min(have, n // each)
             if have > take:
                 put(kind, have - take)
-            put(kind + (length,) * each, take)
+            put(tuple(sorted(kind + (length,) * each, reverse=True)), take)
             n -= take * each
     for room in rooms:
         for kind, n in open_bins[room]:
@@ -224,13 +280,13 @@ def _place(rows: list[tuple]):
     return run
 
 
-def pack(documents: DataFrame, size: int = SIZE, bucket: int = BUCKET) -> DataFrame:
+def pack(documents: DataFrame, size: int = SIZE, bucket: int = BUCKET, tokenizer: str = TOKENIZER) -> DataFrame:
     """Packs documents (doc_id, text; extra columns are ignored) into sequences of at most `size` tokens; a row for each piece.
 
     A document is its text's ids and an end mark; a null text is empty, so only the mark. Only longer documents are cut,
     into pieces of `size`, the first of which may be shorter. Repeated rows are documents of their own. An empty table
     gives no rows."""
-    pieces = cut(texts(documents).mapInArrow(_pieces(size), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    pieces = cut(texts(documents).mapInArrow(_pieces(size, tokenizer), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
     buckets = max(1, -(-max(counts.values(), default=1) // bucket))
     part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")

@@ -1,10 +1,11 @@
 """Personal data: patterns of fixed kinds, and bootstrapped contextual extraction for what they miss.
 
 Spans of the fixed kinds are seeds. The two words before a seed are a lexical pattern; what stands behind a pattern
-anywhere (a token with a digit or an at sign) is one of its instances. A graph of patterns and instances is scored in
-rounds: a pattern by the share of its instances that are seeds or likely, an unseen instance by its patterns. Instances
-behind patterns of high confidence are further identifiers. DataFrame functions throughout; texts are read once, and only
-places, tokens and contexts go on.
+anywhere (a token with a digit or an at sign) is one of its instances. The graph of patterns and instances is scored in
+rounds: a pattern by the mean belief in its instances, once enough of them are seeds or as good as sure; an unseen
+instance by the best pattern that it stands behind. So instances that one round discovers are the next one's seeds, and
+admit patterns that no seed stands behind. Slots behind patterns of high confidence are further identifiers. DataFrame
+functions throughout; texts are read once, and only places, tokens and contexts go on.
 
 The regexes are written so that matching takes linear time: a run is entered at its first character or where the match
 before ended, and possessive quantifiers never give back what they can't use.
@@ -17,8 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import cut, small, text_key, texts
-from tidebar.llm.spans import NONE, matches, placed, written
+from tidebar.llm.common import cut, small, text_name, texts
+from tidebar.llm.spans import NONE, let, matches, placed, replaced, written
 
 KINDS = ("email", "ip", "card", "phone")
 REGEX = {
@@ -29,9 +30,12 @@ REGEX = {
 }
 MARK = {"email": "@", "phone": "+"}
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-CONTEXT = 48
-#: Rounds of scoring, seeds that a pattern needs, and the score from which it counts as sure.
-ROUNDS = 3
+WORD = r"[^\x20\x09-\x0D]+"
+#: Characters from which a word of a context is compared by its hash.
+LONG = 40
+SLOTS = "array<struct<start:long,end:long,match:string,pattern:string>>"
+#: Rounds of scoring, seeds (or sure instances) that a pattern needs, and the score from which it counts as sure.
+ROUNDS = 4
 SEEDS = 5
 SURE = 0.8
 
@@ -73,8 +77,24 @@ def _is(kind: str):
     return lambda s: s["kind"] == kind
 
 
+def contexts(text: Column) -> Column:
+    """Of each token with a digit or an at sign the two words before it, in the order of the tokens: lower case, numbers as
+    #, words with an at sign as @, a missing word as ^."""
+
+    def classed(w: Column) -> Column:
+        low = F.regexp_replace(F.lower(w), "[0-9]+", "#")
+        return F.when(F.contains(w, F.lit("@")), "@").when(F.char_length(low) > LONG, F.md5(low)).otherwise(low)
+
+    def pairs(words: Column) -> Column:
+        named = F.transform(words, classed)
+        of = lambda named: F.transform(words, lambda w, i: F.struct(w.rlike("[0-9@]").alias("slot"), F.concat_ws(" ", F.coalesce(F.get(named, i - 2), F.lit("^")), F.coalesce(F.get(named, i - 1), F.lit("^"))).alias("pattern")))
+        return let(named, of)
+
+    return F.transform(F.filter(let(matches(text, WORD), pairs), lambda x: x["slot"]), lambda x: x["pattern"])
+
+
 def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, tid, an array of (start, end, match, before) for each kind, and slots: the tokens that could be identifiers."""
+    """doc_id, tid, an array of (start, end, match) for each kind, and slots (with pattern): the tokens that could be identifiers."""
     nothing = F.array().cast("array<string>")
     docs = docs.withColumn("any", F.col("text").rlike("[0-9@]"))  # most texts have neither: one pass instead of five
     for kind in KINDS:
@@ -84,7 +104,8 @@ def scanned(docs: DataFrame) -> DataFrame:
             docs = docs.withColumn(f"m_{kind}", F.when(F.exists(f"m_{kind}", _passing(kind)), F.col(f"m_{kind}")).otherwise(nothing))
     docs = docs.withColumn("m_slots", F.when(F.col("any"), matches(F.col("text"), TOKEN)).otherwise(nothing))
     cols = [F.when(F.size(f"m_{k}") == 0, F.array().cast(NONE)).otherwise(F.filter(placed(F.col("text"), REGEX[k], F.col(f"m_{k}")), _passing(k, "match"))).alias(k) for k in KINDS]
-    slots = F.when(F.size("m_slots") == 0, F.array().cast(NONE)).otherwise(placed(F.col("text"), TOKEN, F.col("m_slots"), CONTEXT)).alias("slots")
+    with_context = F.zip_with(placed(F.col("text"), TOKEN, F.col("m_slots")), contexts(F.col("text")), lambda s, p: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), p.alias("pattern")))
+    slots = F.when(F.size("m_slots") == 0, F.array().cast(SLOTS)).otherwise(with_context).alias("slots")
     return docs.select("doc_id", "tid", *cols, slots)
 
 
@@ -95,7 +116,7 @@ def occurrences(scan: DataFrame) -> DataFrame:
     s = scan.select("doc_id", "tid", F.explode("slots").alias("s")).select("doc_id", "tid", "s.*")
     lead = F.char_length(F.regexp_extract("match", r"^[(\[{<\"'=:]*", 0)).cast("long")
     tail = F.char_length(F.regexp_extract("match", r"[)\]}>\"'.,;:!?]*$", 0)).cast("long")
-    s = s.select("doc_id", "tid", (F.col("start") + lead).alias("start"), (F.col("end") - tail).alias("end"), F.lit(None).cast("string").alias("kind"), F.regexp_replace("match", r"^[(\[{<\"'=:]*|[)\]}>\"'.,;:!?]*$", "").alias("instance"), F.regexp_extract(F.lower("before"), r"(\S+\s+\S+)\s*$", 1).alias("pattern"))
+    s = s.select("doc_id", "tid", (F.col("start") + lead).alias("start"), (F.col("end") - tail).alias("end"), F.lit(None).cast("string").alias("kind"), F.regexp_replace("match", r"^[(\[{<\"'=:]*|[)\]}>\"'.,;:!?]*$", "").alias("instance"), "pattern")
     rows = base.union(s.where(F.col("start") < F.col("end"))).distinct()
     w = Window.partitionBy("doc_id", "tid").orderBy("start", F.col("kind").asc_nulls_last())
     past, coming = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
@@ -104,30 +125,35 @@ def occurrences(scan: DataFrame) -> DataFrame:
     rows = rows.withColumn("at", F.max(F.when(is_seed, F.struct("start", "kind"))).over(past))
     here = F.when(F.col("at.start") == F.col("start"), F.col("at.kind"))
     clear = (F.coalesce(F.col("reach"), F.lit(-1)) <= F.col("start")) & (F.coalesce(F.col("ahead"), F.col("end")) >= F.col("end"))
-    return rows.where(~is_seed & (F.col("pattern") != "") & (here.isNotNull() | clear)).select("doc_id", "tid", "pattern", "instance", "start", "end", here.alias("kind"))
+    return rows.where(~is_seed & (here.isNotNull() | clear)).select("doc_id", "tid", "pattern", "instance", "start", "end", here.alias("kind"))
 
 
 def patterns(found: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS, sure: float = SURE) -> DataFrame:
-    """(pattern, kind, score) of the sure patterns. found: pattern, instance, kind (null where unknown)."""
+    """(pattern, kind, score) of the sure patterns. found: pattern, instance, kind (null where unknown).
+
+    Belief in a seed is 1. Each round scores a pattern for a kind by the sum of beliefs in its distinct instances over
+    their number, if at least `seeds` of them are believed to be `sure` or more; then an unseen instance by the best score
+    of its patterns. Rounds end early when no pattern's score changes."""
     edges = cut(found.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "edges")
-    seed = edges.where("kind is not null").select("instance", "kind").distinct()
-    size = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    support = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= seeds)
-    known = cut(support.join(size, "pattern"), "support")
-    links = cut(edges.select("pattern", "instance").join(known.select("pattern").distinct(), "pattern", "left_semi"), "links")
-    belief = seed.withColumn("belief", F.lit(1.0))
-    scored = known.select("pattern", "kind", (F.col("seeds") / F.col("n")).alias("score"))
+    seed = cut(edges.where("kind is not null").select("instance", "kind").distinct().withColumn("belief", F.lit(1.0)), "seeds")
+    size = cut(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= seeds), "sizes")  # others can't have enough
+    links = cut(edges.select("pattern", "instance").join(size, "pattern"), "links")
+    belief, state = seed, None
     for _ in range(rounds):
-        weight = links.join(belief, "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("sum"))
-        scored = cut(known.join(weight, ["pattern", "kind"]).select("pattern", "kind", (F.col("sum") / F.col("n")).alias("score")), "scores")
-        unseen = links.join(seed, "instance", "left_anti").join(scored, "pattern").groupBy("instance", "kind").agg(F.avg("score").alias("belief"))
-        belief = seed.withColumn("belief", F.lit(1.0)).union(unseen)
+        weight = links.join(belief, "instance").groupBy("pattern", "kind").agg(F.first("n").alias("n"), F.sum("belief").alias("sum"), F.sum((F.col("belief") >= sure).cast("long")).alias("known"))
+        scored = cut(weight.where(F.col("known") >= seeds).select("pattern", "kind", (F.col("sum") / F.col("n")).alias("score")), "scores")
+        new = scored.agg(F.count("*"), F.sum(F.round("score", 9))).first()
+        if new == state or not new[0]:
+            break
+        state = new
+        unseen = links.join(scored, "pattern").join(seed.select("instance"), "instance", "left_anti").groupBy("instance", "kind").agg(F.max("score").alias("belief"))
+        belief = seed.unionByName(cut(unseen, "unseen"))
     return scored.where(F.col("score") >= sure)
 
 
 def find_private(documents: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS, sure: float = SURE) -> DataFrame:
     """doc_id, tid (key of the text), base and more: arrays of (kind, start, end) in order of kind, then start; `more` is what the patterns add."""
-    scan = cut(scanned(texts(documents).withColumn("tid", text_key(F.col("text")))), "scan")
+    scan = cut(scanned(texts(documents).withColumn("tid", text_name(F.col("text")))), "scan")
     found = cut(occurrences(scan), "occurrences")
     best = patterns(found, rounds, seeds, sure).groupBy("pattern").agg(F.max_by("kind", F.struct("score", "kind")).alias("as"))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("as"))
@@ -135,10 +161,16 @@ def find_private(documents: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS,
     added = cut(added.groupBy("doc_id", "tid").agg(F.sort_array(F.collect_set("s")).alias("s")), "added")
     added = added.select(F.col("doc_id").alias("d"), F.col("tid").alias("t"), F.transform("s", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("more"))
     base = F.concat(*[F.transform(k, _named(k)) for k in KINDS])
-    joined = scan.join(small(added, added.count()), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tid") == F.col("t")), "left")
+    joined = scan.join(small(added, *_bytes(added, "more")), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tid") == F.col("t")), "left")
     return joined.select("doc_id", "tid", base.alias("base"), F.coalesce("more", F.array().cast("array<struct<kind:string,start:long,end:long>>")).alias("more"))
 
 
+def _bytes(rows: DataFrame, spans: str) -> tuple[int, int]:
+    """Rows, and bytes of a row on average."""
+    n, m = rows.agg(F.count("*"), F.sum(F.size(spans))).first()
+    return n, 100 + 60 * (m or 0) // max(n, 1)
+
+
 def in_order(base: Column, more: Column) -> Column:
     rank = lambda s: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
     return F.sort_array(F.transform(F.concat(base, more), rank))
@@ -156,22 +188,19 @@ def report(documents: DataFrame, **options) -> DataFrame:
 
 
 def redacted(documents: DataFrame, **options) -> DataFrame:
-    """documents with every span of `text` replaced by its kind in brackets, n_chars (where there is one) to match; a null text stays null."""
+    """documents with every span of `text` replaced by its kind in brackets, n_chars (where there is one) to match.
+
+    A null text stays null; of spans that overlap the first is replaced, and what another has beyond it goes; repeated rows
+    stay repeated, each redacted; ids may be null or shared; an empty table gives no rows; all columns are kept."""
     found = find_private(documents.select("doc_id", "text"), **options)
     spans = F.sort_array(F.transform(F.concat("base", "more"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    found = found.where(F.size("base") + F.size("more") > 0).select(F.col("doc_id").alias("p_doc"), F.col("tid").alias("p_tid"), spans.alias("p_spans")).dropDuplicates(["p_doc", "p_tid"])
+    found = found.where(F.size("base") + F.size("more") > 0).select("doc_id", "tid", spans.alias("spans")).dropDuplicates(["doc_id", "tid"])
     found = cut(found, "private")
-    rows = documents.withColumn("p_key", text_key(F.coalesce(F.col("text"), F.lit(""))))
-    rows = rows.join(small(found, found.count()), F.col("doc_id").cast("long").eqNullSafe(F.col("p_doc")) & (F.col("p_key") == F.col("p_tid")), "left")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def add(a: Column, s: Column) -> Column:
-        between = F.substring("text", (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
-        fresh = s["start"] >= a["at"]
-        out = F.when(fresh, F.concat(a["out"], between, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
-
-    clean = F.aggregate("p_spans", start, add, lambda a: F.concat(a["out"], F.substring("text", (a["at"] + 1).cast("int"), F.char_length("text"))))
-    rows = rows.withColumn("p_text", F.when(F.col("text").isNotNull() & F.col("p_spans").isNotNull(), clean).otherwise(F.col("text")))
-    changed = {"text": F.col("p_text").alias("text"), "n_chars": F.when(F.col("p_spans").isNotNull(), F.char_length("p_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if "n_chars" in documents.columns else None}
-    return rows.select(*[changed.get(c) if changed.get(c) is not None else F.col(c) for c in documents.columns])
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    text = F.col("row")["text"]
+    rows = rows.join(small(found, *_bytes(found, "spans")), F.col("row")["doc_id"].cast("long").eqNullSafe(F.col("doc_id")) & (text_name(F.coalesce(text, F.lit(""))) == F.col("tid")), "left")
+    marked = F.col("spans").isNotNull()
+    clean = F.when(marked, replaced(text, F.col("spans"), lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).otherwise(text)
+    rows = rows.select("row", clean.alias("clean"), marked.alias("marked"))
+    changed = {"text": F.col("clean"), "n_chars": F.when(F.col("marked"), F.char_length("clean").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"]) if "n_chars" in documents.columns else None}
+    return rows.select(*[(changed[c] if c in changed else F.col("row")[c]).alias(c) for c in documents.columns])

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import cut, small, text_key, texts
+from tidebar.llm.common import cut, small, text_name, texts
 from tidebar.llm.spans import NONE, matches, placed, written
 from tidebar.llm.trigrams import query_of
 
@@ -56,9 +56,9 @@ def index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
 def candidates(postings: DataFrame, asked: dict[str, list[frozenset[str]]]) -> DataFrame:
     """doc_id, tid and the rules with a clause whose postings all have the document."""
     spark = postings.sparkSession
-    rows = [(rule, i, t, 1 << k, (1 << len(c)) - 1) for rule, cs in asked.items() for i, c in enumerate(cs) for k, t in enumerate(sorted(c))]
-    parts = F.broadcast(spark.createDataFrame(rows, "rule string, clause int, trigram string, bit long, all long"))  # a row a trigram of the rules
-    hits = postings.join(parts, "trigram").groupBy("doc_id", "tid", "rule", "clause", "all").agg(F.bit_or("bit").alias("have")).where("have = all")
+    rows = [(rule, i, t, len(c)) for rule, cs in asked.items() for i, c in enumerate(cs) for t in sorted(c)]
+    parts = F.broadcast(spark.createDataFrame(rows, "rule string, clause int, trigram string, asked int"))  # a row a trigram of the rules
+    hits = postings.join(parts, "trigram").groupBy("doc_id", "tid", "rule", "clause", "asked").agg(F.size(F.collect_set("trigram")).alias("have")).where("have = asked")
     return hits.groupBy("doc_id", "tid").agg(F.collect_set("rule").alias("rules"))
 
 
@@ -69,8 +69,8 @@ def _spans(rule: Rule, rules: Column) -> Column:
 
 
 def find_secrets(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id and an array of (start, end, match, before) for each rule."""
-    docs = texts(documents).withColumn("tid", text_key(F.col("text")))
+    """doc_id and an array of (start, end, match) for each rule."""
+    docs = texts(documents).withColumn("tid", text_name(F.col("text")))
     asked = clauses(rules)
     trigrams = sorted({t for cs in asked.values() for c in cs for t in c})
     chosen = cut(candidates(index(docs, trigrams), asked), "candidates") if trigrams else None
@@ -78,7 +78,7 @@ def find_secrets(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataF
         docs = docs.withColumn("rules", F.array().cast("array<string>"))
     else:
         named = chosen.select(F.col("doc_id").alias("d"), F.col("tid").alias("t"), "rules")
-        docs = docs.join(small(named, chosen.count()), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tid") == F.col("t")), "left").select("doc_id", "text", F.coalesce("rules", F.array().cast("array<string>")).alias("rules"))
+        docs = docs.join(small(named, chosen.count(), 120), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tid") == F.col("t")), "left").select("doc_id", "text", F.coalesce("rules", F.array().cast("array<string>")).alias("rules"))
     for r in rules:
         found = matches(F.col("text"), r.regex)
         docs = docs.withColumn(f"m_{r.name}", F.when(F.array_contains("rules", r.name), found).otherwise(F.array().cast("array<string>")) if r.name in asked else found)

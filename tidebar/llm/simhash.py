@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import cut, small, texts
+from tidebar.llm.common import cut, drop, small, texts
 
 SHINGLE = 3
 DISTANCE = 3
@@ -188,7 +188,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, tile: int = TILE) -> DataFra
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b), root being the least node reachable. Large star and small star in turn, until nothing changes."""
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
+    held, state = e, None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -196,7 +196,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         near = large.join(least, "u")
         e = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        e = cut(e, "edges")
+        before, e = held, cut(e, "edges")
+        held = e
+        drop(before)
         new = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

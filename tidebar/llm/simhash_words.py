@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.llm import simhash
-from tidebar.llm.common import cut, small, text_key, texts
+from tidebar.llm.common import cut, keyed, small, text_name, texts
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -225,17 +225,17 @@ def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: floa
 def _scan(batches):
     for batch in batches:
         fp = np.array([simhash.fingerprint(t.as_buffer().to_pybytes()) for t in batch.column("text")], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tid"), pa.array(fp.view(np.int64))], names=["doc_id", "tid", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tid"), batch.column("name"), pa.array(fp.view(np.int64))], names=["doc_id", "tid", "name", "fp"])
 
 
 def similar_groups(documents: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:
-    """Per document: doc_id, tid (key of its text), component_id: the least doc_id reachable over links, root: the least tid of them.
+    """Per document: doc_id, tid (key of its text), name (128 bits of its SHA-256, in hex), component_id: the least doc_id reachable over links, root: the least tid of them.
 
     Texts are linked if their shingle sets are similar, or if their SimHash fingerprints differ in three bits at most (as
     near_duplicates has it). documents: doc_id, text (extra columns are ignored). Equal texts are one; null texts are
     empty; texts without words are linked with each other; an empty table gives no rows."""
-    docs = texts(documents).withColumn("tid", text_key(F.col("text")))
-    scan = cut(docs.mapInArrow(_scan, "doc_id long, tid long, fp long"), "fingerprints")
+    docs = keyed(texts(documents))
+    scan = cut(docs.withColumn("name", text_name(F.col("text"))).mapInArrow(_scan, "doc_id long, tid long, name string, fp long"), "fingerprints")
     nodes = cut(scan.groupBy("tid").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")), "texts")
     fps = cut(nodes.groupBy("fp").agg(F.min("tid").alias("tid")), "distinct")
     roots = simhash.components(simhash.links(fps.select("fp")))
@@ -260,4 +260,4 @@ def similar_groups(documents: DataFrame, similarity: float = SIMILARITY, shingle
     named = cut(nodes.join(root, nodes.tid == root.node, "left").select("tid", "first", F.coalesce("root", "tid").alias("root")), "roots")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     label = cut(named.join(least, "root").select("tid", "component_id", "root"), "labels")
-    return scan.select("doc_id", "tid").join(small(label, label.count()), "tid").select("doc_id", "tid", "component_id", "root")
+    return scan.select("doc_id", "tid", "name").join(small(label, label.count()), "tid").select("doc_id", "tid", "name", "component_id", "root")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.llm.bwt import repeated_windows
-from tidebar.llm.common import cut, small, text_key, texts
+from tidebar.llm.common import cut, keyed, small, texts
 
 WINDOW = 200
 K = 64
@@ -273,7 +273,7 @@ def suffix_dedup(documents: DataFrame, window: int = WINDOW, k: int = K, **sizes
     documents: doc_id, text (extra columns are ignored); each row is a document, so a repeated row is a copy. A null text
     is empty; texts shorter than `window` bytes keep all. Empty tables give no rows. Bytes are UTF-8; what is left need
     not be valid UTF-8. `window` must be a multiple of 8 and k less than it."""
-    docs = texts(documents).withColumn("tid", text_key(F.col("text")))
+    docs = keyed(texts(documents))
     runs = repeated_runs(docs, window, k, **sizes)
     spans = runs.groupBy("tid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     joined = docs.join(small(spans, runs.count()), "tid", "left").select("doc_id", "text", "spans")

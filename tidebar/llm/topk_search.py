@@ -1,8 +1,8 @@
 """Exact top-k search by inner product: tiled matrix products, partial selection in each tile, tree merging of the lists.
 
-Queries and vectors are dealt into blocks of bounded size by a hash of their id. Each pair of a query block and a vector
-block is a tile, one task's work: a matrix product and a partial selection of k for each query. The tiles' lists meet in a
-tree: lists of FAN_IN vector blocks are merged at a time until one is left for each query.
+Queries go to the executors in batches of bounded size; the vectors stay where they are, and are read once a batch. A tile
+of queries and a tile of vectors meet in a matrix product and a partial selection, and a partition of vectors keeps one
+list of k for each query. The partitions' lists meet in a tree: FAN_IN of them are merged at a time.
 """
 
 from __future__ import annotations
@@ -18,8 +18,11 @@ from tidebar.llm.common import cut
 
 SCALE = 1024
 TOP = 10
+#: Rows of a tile.
 VECTOR_BLOCK = 8192
 QUERY_BLOCK = 1024
+#: Bytes of a batch of queries, about.
+BATCH = 32 << 20
 FAN_IN = 16
 
 
@@ -42,56 +45,79 @@ def _product(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
 
 
-def _tile(k: int):
-    def run(key, left, right):
-        out = {"query_id": [], "vec_id": [], "score": []}
-        qid, vid = left.column("query_id").to_numpy(), right.column("candidate").to_numpy()
-        if len(qid) and len(vid):
-            by_id = np.argsort(vid, kind="stable")
-            vid = vid[by_id]
-            q_len, v_len = np.array([len(x) for x in left.column("q")]), np.array([len(x) for x in right.column("w")])[by_id]
-            q_all, v_all = left.column("q").to_pylist(), right.column("w").to_pylist()
-            for dim in np.intersect1d(q_len, v_len):  # only vectors of one length meet
-                qi, vi = np.flatnonzero(q_len == dim), np.flatnonzero(v_len == dim)
-                q = np.array([q_all[i] for i in qi], np.float64).reshape(len(qi), dim)
-                v = np.array([v_all[by_id[i]] for i in vi], np.float64).reshape(len(vi), dim)
-                scores, ids = _product(q, v), vid[vi]
-                m = min(k + 1, len(ids))  # one more, for the query itself
-                for row, query in zip(scores, qid[qi]):
-                    least = np.partition(row, len(row) - m)[len(row) - m]
-                    above, ties = np.flatnonzero(row > least), np.flatnonzero(row == least)
-                    pick = np.concatenate((above, ties[: m - len(above)]))  # ties in order of id
-                    pick = pick[ids[pick] != query]
-                    pick = pick[np.lexsort((ids[pick], ~row[pick]))][:k]
-                    out["query_id"] += [query] * len(pick)
-                    out["vec_id"] += ids[pick].tolist()
-                    out["score"] += row[pick].tolist()
-        return pa.table({n: pa.array(x, pa.int64()) for n, x in out.items()} | {"block": pa.array([key[0].as_py()] * len(out["score"]), pa.int64())})
+def _by_length(ids: np.ndarray, vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of the vectors of each length the ids and the rows."""
+    offsets = vectors.offsets.to_numpy()
+    flat, lens = vectors.flatten().to_numpy(zero_copy_only=False), np.diff(offsets)
+    out = {}
+    for n in np.unique(lens).tolist():
+        at = np.flatnonzero(lens == n)
+        out[n] = ids[at], flat[(offsets[at] - offsets[0])[:, None] + np.arange(n)]
+    return out
+
+
+def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k highest scores, ties to the least id, in order."""
+    if len(score) > k:
+        least = np.partition(score, len(score) - k)[len(score) - k]
+        ties = np.flatnonzero(score == least)
+        above = np.flatnonzero(score > least)
+        at = np.concatenate((above, ties[np.argsort(ids[ties], kind="stable")][: k - len(above)]))
+        score, ids = score[at], ids[at]
+    order = np.lexsort((ids, ~score))
+    return score[order], ids[order]
+
+
+def _search(shared, k: int, vector_block: int, query_block: int):
+    """Over a partition of vectors, a list of k for each query of the batch."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        queries = shared.value
+        lists: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for n, (ids, v) in _by_length(batch.column("vec_id").to_numpy(), batch.column("v")).items():
+                asked, q = queries.get(n, ((), ()))  # only vectors of one length meet
+                for i in range(0, len(asked), query_block):
+                    for j in range(0, len(ids), vector_block):
+                        scores, tile = _product(q[i : i + query_block], v[j : j + vector_block]), ids[j : j + vector_block]
+                        for row, query in zip(scores, asked[i : i + query_block].tolist()):
+                            score, found = _best(row, tile, k + 1)  # one more, for the query itself
+                            other = found != query
+                            old = lists.get((n, query))
+                            score, found = (score[other], found[other]) if old is None else (np.concatenate((old[0], score[other])), np.concatenate((old[1], found[other])))
+                            lists[n, query] = _best(score, found, k)
+        out = [(query, i, x) for (_, query), (score, ids) in lists.items() for x, i in zip(score.tolist(), ids.tolist())]
+        cols = list(zip(*out)) or [(), (), ()]
+        block = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array([block] * len(out), pa.int64())], names=["query_id", "vec_id", "score", "block"])
 
     return run
 
 
-def topk_search(embeddings: DataFrame, query_ids=lambda i: i % 100 == 0, k: int = TOP, scale: int = SCALE, vector_block: int = VECTOR_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def topk_search(embeddings: DataFrame, query_ids=lambda i: i % 100 == 0, k: int = TOP, scale: int = SCALE, vector_block: int = VECTOR_BLOCK, query_block: int = QUERY_BLOCK, batch: int = BATCH) -> DataFrame:
     """For each query its k highest scores: query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id.
 
     embeddings: vec_id, embedding (extra columns are ignored). query_ids: Column -> Column, which rows are queries. A
     query meets every row but those with its own id. Null ids, null vectors and vectors with null or non-finite
-    components take no part; rows with one id count once; vectors meet only others of their length; an empty table gives
-    no rows, a query without candidates none."""
+    components take no part; rows with one id count once, with the least vector; vectors meet only others of their length;
+    an empty table gives no rows, a query without candidates none."""
+    spark = embeddings.sparkSession
     vectors = cut(usable(embeddings, scale), "vectors")
     queries = vectors.where(query_ids(F.col("vec_id")))
-    blocks = max(1, math.ceil(vectors.count() / vector_block))
-    q_blocks = max(1, math.ceil(queries.count() / query_block))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("long")
-    left = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), block(q_blocks).alias("q_block"))
-    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
-    right = vectors.select(F.col("vec_id").alias("candidate"), F.col("v").alias("w"), block(blocks).alias("w_block"))
-    right = right.withColumn("w_queries", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)).cast("array<long>")))
-    lists = left.groupBy("block", "q_block").cogroup(right.groupBy("w_block", "w_queries")).applyInArrow(_tile(k), "query_id long, vec_id long, score long, block long")
+    n_batches = max(1, math.ceil((queries.agg(F.sum(8 * F.size("v") + 8)).first()[0] or 0) / batch))
+    partitions = (vectors.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0) + 1
+    lists = None
+    for i in range(n_batches):
+        part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_batches)) == i).toArrow()  # of bounded size
+        asked = _by_length(part.column("vec_id").to_numpy(), part.column("v").combine_chunks()) if part.num_rows else {}
+        found = vectors.mapInArrow(_search(spark.sparkContext.broadcast(asked), k, vector_block, query_block), "query_id long, vec_id long, score long, block long")
+        lists = found if lists is None else lists.union(found)
     order = [F.col("score").desc(), F.col("vec_id")]
-    while True:
+    while partitions > FAN_IN:
+        partitions = math.ceil(partitions / FAN_IN)
         lists = lists.withColumn("block", F.floor(F.col("block") / FAN_IN).cast("long"))
-        blocks = math.ceil(blocks / FAN_IN)
-        lists = lists.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "block").orderBy(*order))).where(F.col("rank") <= k)
-        if blocks <= 1:
-            return lists.select("query_id", "rank", "vec_id", "score")
+        lists = lists.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "block").orderBy(*order))).where(F.col("rank") <= k).drop("rank")
+    lists = lists.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
+    return lists.select("query_id", "rank", "vec_id", "score")
