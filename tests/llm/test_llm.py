@@ -77,7 +77,7 @@ def brute_dedup(texts, window):
         yield len(b), sum(gone), sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1])), hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize("window,k,sizes", [(200, 64, {}), (40, 16, {}), (40, 16, {"group_segments": 1}), (200, 64, {"merge_bytes": 1})])
+@pytest.mark.parametrize("window,k,sizes", [(200, 64, {}), (40, 16, {}), (40, 16, {"group_bytes": 1}), (200, 64, {"merge_bytes": 1}), (200, 64, {"group_bytes": 3000})])
 def test_suffix_dedup(docs, window, k, sizes):
     got = sorted(map(key, suffix_dedup.suffix_dedup(docs, window, k, **sizes).collect()))
     want = sorted(key((i, *x)) for (i, _), x in zip(TEXTS, brute_dedup([t for _, t in TEXTS], window)))

@@ -55,8 +55,8 @@ class Shard:
 def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleaves the shards' transforms until suffixes are in order of their first `depth` letters.
 
-    Returns, for the suffixes of all shards one after another (each in its own suffix order), the number of the interval
-    of equal prefixes that holds it, and each interval's size."""
+    Returns the interleave (the shard of each suffix in order; a shard's own suffixes keep their order) and the common
+    prefix of each suffix with the one before, `depth` where it is as long or longer."""
     small = max((int(s.bwt.max()) for s in shards if len(s.bwt)), default=0) < 65536
     bwt = np.concatenate([s.bwt for s in shards]).astype(np.uint16 if small else np.int64)
     n, n_str = len(bwt), sum(s.n_str for s in shards)
@@ -64,8 +64,9 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     ends = np.repeat(np.arange(len(shards), dtype=z.dtype), [s.n_str for s in shards])
     part = np.zeros(n, bool)  # True: a new interval begins here
     part[:1] = True
+    prefix = np.full(n, depth, np.int16)
     letters = np.empty_like(bwt)
-    for _ in range(depth):
+    for done in range(depth):
         letters[np.argsort(z, kind="stable")] = bwt
         to = np.argsort(letters, kind="stable")
         sorted_letters, block = letters[to], np.cumsum(part)[to]
@@ -75,10 +76,10 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
         part[1:] = (sorted_letters[1:] != sorted_letters[:-1]) | (block[1:] != block[:-1])
         z[:n_str] = ends  # end marks keep their fixed order and are intervals of their own
         part[: n_str + 1] = True
+        prefix[part & (prefix == depth)] = done
         if part.all():
             break
-    interval = (np.cumsum(part) - 1)[np.argsort(z, kind="stable")]
-    return interval, np.bincount(interval, minlength=1)
+    return z, prefix
 
 
 def repeated_windows(strings: list[bytes], owned: np.ndarray, window: int, shard_bytes: int = 8192) -> list[np.ndarray]:
@@ -118,8 +119,10 @@ def repeated_windows(strings: list[bytes], owned: np.ndarray, window: int, shard
     close()
     hit = np.zeros(len(data), bool)
     if shards:
-        interval, sizes = merge(shards, depth)
-        at = np.concatenate(places)
-        twice = (sizes[interval] > 1) & (at >= 0)
-        hit[at[twice]] = True
+        z, prefix = merge(shards, depth)
+        at = np.concatenate(places)[np.argsort(z, kind="stable").argsort(kind="stable")] if len(shards) > 1 else places[0]
+        same = prefix >= depth  # as the suffix before
+        twice = same.copy()
+        twice[:-1] |= same[1:]
+        hit[at[twice & (at >= 0)]] = True
     return [hit[base[i] : base[i] + owned[i]] for i in range(len(strings))]

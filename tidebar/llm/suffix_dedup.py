@@ -1,11 +1,14 @@
 """Exact removal of long repeated byte strings by merging Burrows-Wheeler transforms.
 
 Every window of WINDOW bytes is filed under its minimizer: the K-byte string in it with the least hash (leftmost on
-ties). Equal windows have equal minimizers at equal places, so a window can only repeat within its minimizer's group.
-Consecutive windows with one minimizer form a segment. Segments whose minimizer occurs once hold no repeat; equal
-segments repeat as a whole; what is left is indexed: shards of segments get Burrows-Wheeler transforms, which are merged
-by interleave refinement, and the intervals with a common prefix of WINDOW bytes and two entries or more are the repeats.
-Groups too large for one task are counted by window instead (hashes of whole windows, one row a window).
+ties). Equal windows have equal minimizers at equal places, so a window can only repeat within its minimizer's group, and
+groups are indexed apart from each other. Consecutive windows with one minimizer form a segment. Every segment whose
+minimizer occurs elsewhere is indexed, those that are equal throughout by two of them: shards of segments get
+Burrows-Wheeler transforms, which are merged by interleave refinement; where neighbours part gives their common prefix,
+and the intervals with a common prefix of WINDOW bytes and two entries or more are the repeats.
+
+A group too large for one merge is parted by what stands beside its minimizer: windows with at least half of their other
+bytes on the left by those, the others by as many bytes on the right; again and again until the parts fit.
 
 Everything but the transforms is DataFrame joins and aggregates; a text never leaves its row except as a segment.
 """
@@ -26,8 +29,8 @@ from tidebar.llm.common import cut, keyed, small, texts
 WINDOW = 200
 K = 64
 CHUNK = 1 << 18
-#: Distinct segments of one minimizer that a task indexes at once; larger groups are counted by window.
-GROUP_SEGMENTS = 8000
+#: Bytes of one minimizer's segments that are merged at once; larger groups are parted first.
+GROUP_BYTES = 200_000
 #: Bytes of segments whose transforms are merged together.
 MERGE_BYTES = 60_000
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -72,7 +75,7 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, bounds: np.ndarray, roller: _Roller, window: int, k: int, chunk: int) -> Iterator[tuple]:
-    """Yields (document, first window, windows, anchor's distance from the first window, key, segment hash) as arrays, chunk by chunk."""
+    """Yields (document, first window, windows, anchor's distance from the first window, key, two segment hashes) as arrays, chunk by chunk."""
     n, width = len(data), window - k + 1
     lens = np.diff(bounds)
     for c0 in range(0, n - window + 1, chunk):
@@ -100,7 +103,7 @@ def segments(data: np.ndarray, bounds: np.ndarray, roller: _Roller, window: int,
         stop = valid.copy()
         stop[:-1] &= ~valid[1:] | (anchor[1:] != anchor[:-1])
         s, e = np.flatnonzero(new), np.flatnonzero(stop)
-        yield doc[s], s + c0 - bounds[doc[s]], e - s + 1, anchor[s] - s, grams[anchor[s]], roller.of(s2, s, e + window, 1)
+        yield doc[s], s + c0 - bounds[doc[s]], e - s + 1, anchor[s] - s, grams[anchor[s]], roller.of(s2, s, e + window, 1), roller.of(s1, s, e + window, 0)
 
 
 def _bytes_of(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +113,9 @@ def _bytes_of(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]
     return data, offsets - offsets[0]
 
 
-SEGMENTS = "tid long, start long, n int, anchor int, key long, seg long"
+SEGMENTS = "tid long, start long, n int, anchor int, key long, c1 long, c2 long"
+#: A kind of segment: those of one key with one content (128 bits of hash).
+KIND = ["key", "c1", "c2"]
 
 
 def _scan(window: int, k: int):
@@ -119,61 +124,109 @@ def _scan(window: int, k: int):
         for batch in batches:
             data, bounds = _bytes_of(batch, "text")
             tid = batch.column("tid").to_numpy()
-            for doc, start, n, anchor, key, seg in segments(data, bounds, roller, window, k, CHUNK):
+            for doc, start, n, anchor, *hashes in segments(data, bounds, roller, window, k, CHUNK):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(tid[doc]), pa.array(start), pa.array(n.astype(np.int32)), pa.array(anchor.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(seg.view(np.int64))],
-                    names=["tid", "start", "n", "anchor", "key", "seg"],
+                    [pa.array(tid[doc]), pa.array(start), pa.array(n.astype(np.int32)), pa.array(anchor.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in hashes)],
+                    names=["tid", "start", "n", "anchor", *KIND],
                 )
 
     return run
 
 
-def _cut_out(window: int):
+CONTENT = pa.schema([*((c, pa.int64()) for c in KIND), ("times", pa.int32()), ("n", pa.int32()), ("anchor", pa.int32()), ("width", pa.int32()), ("content", pa.binary())])
+CONTENT_SQL = "key long, c1 long, c2 long, times int, n int, anchor int, width int, content binary"
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * len(schema), schema)], schema=schema)
+
+
+def _cut_out(window: int, k: int):
     """From rows of text and segments (lists), the segments' bytes, a row each."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for text, tid, segs in zip(batch.column("text"), batch.column("tid").to_pylist(), batch.column("segs").to_pylist()):
+            for text, segs in zip(batch.column("text"), batch.column("segs").to_pylist()):
                 raw = memoryview(text.as_buffer())
                 for s in segs:
-                    out.append((s["key"], s["seg"], s["once"], tid, s["start"], s["n"], bytes(raw[s["start"] : s["start"] + s["n"] + window - 1])))
+                    out.append((s["key"], s["c1"], s["c2"], s["copy"], s["n"], s["anchor"], k, bytes(raw[s["start"] : s["start"] + s["n"] + window - 1])))
                     if len(out) >= 5000:
-                        yield _rows(out)
+                        yield _rows(out, CONTENT)
                         out = []
-            if out:
-                yield _rows(out)
+            yield _rows(out, CONTENT)
 
     return run
 
 
-CONTENT = pa.schema([("key", pa.int64()), ("seg", pa.int64()), ("once", pa.bool_()), ("tid", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("content", pa.binary())])
+def _hash(*parts: bytes) -> tuple[int, int]:
+    h = hashlib.blake2b(digest_size=16)
+    for p in parts:
+        h.update(len(p).to_bytes(8, "little") + p)
+    return int.from_bytes(h.digest()[:8], "little", signed=True), int.from_bytes(h.digest()[8:], "little", signed=True)
+
 
+HALVES = pa.schema([("p0", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("off", pa.int32()), *CONTENT])
+HALVES_SQL = f"p0 long, p1 long, p2 long, off int, {CONTENT_SQL}"
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), CONTENT)], schema=CONTENT)
+
+def _halve(window: int):
+    """Parts each segment in two, whose common string is longer by half of what a window has beside it."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                c, at, width = r["content"], r["anchor"], r["width"]
+                left = -(-(window - width) // 2)
+                right = window - width - left + 1
+                first = max(0, min(r["n"], at - left + 1))  # windows with `left` bytes or more before the common string
+                halves = []
+                if first:
+                    halves.append((0, first, at - left, width + left, b"left", c[at - left : at]))
+                if first < r["n"]:
+                    halves.append((first, r["n"] - first, at - first, width + right, b"right", c[at + width : at + width + right]))
+                for off, n, anchor, wide, side, beside in halves:
+                    content = c[off : off + n + window - 1]
+                    key = _hash(r["key"].to_bytes(8, "little", signed=True), side, beside)[0]
+                    out.append((r["key"], r["c1"], r["c2"], off, key, *_hash(content), r["times"], n, anchor, wide, content))
+                if len(out) >= 5000:
+                    yield _rows(out, HALVES)
+                    out = []
+            yield _rows(out, HALVES)
+
+    return run
+
+
+HITS = pa.schema([*((c, pa.int64()) for c in KIND), ("off", pa.int32()), ("n", pa.int32())])
+HITS_SQL = "key long, c1 long, c2 long, off int, n int"
 
 
 def _index(window: int, merge_bytes: int):
-    """Over a partition sorted by key: indexes whole groups of segments, merge_bytes at a time, and yields repeated runs of windows of segments seen once."""
+    """Over a partition sorted by kind: indexes whole groups of segments, merge_bytes at a time, and yields the repeated
+    runs of windows of each kind. A kind comes once, or as two rows of the same content (times 0 and 1), or has times 2."""
 
     def solve(rows: list[dict]) -> pa.RecordBatch:
-        hits = repeated_windows([r["content"] for r in rows], np.array([r["n"] for r in rows]), window)
-        tid, start, n = [], [], []
-        for r, hit in zip(rows, hits):
-            if r["once"] and hit.any():
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
-                for a, b in edge.reshape(-1, 2):
-                    tid.append(r["tid"])
-                    start.append(r["start"] + int(a))
-                    n.append(int(b - a))
-        return pa.RecordBatch.from_arrays([pa.array(tid, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int32())], names=["tid", "start", "n"])
+        strings = [r["content"] for r in rows for _ in range(max(1, r["times"]))]
+        owned = np.array([r["n"] for r in rows for _ in range(max(1, r["times"]))])
+        hits = iter(repeated_windows(strings, owned, window))
+        out, before = [], None
+        for r in rows:
+            found = [next(hits) for _ in range(max(1, r["times"]))][0]
+            kind = (r["key"], r["c1"], r["c2"])
+            if kind != before and found.any():
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], found.view(np.int8), [0]))))
+                out += [(*kind, int(a), int(b - a)) for a, b in edge.reshape(-1, 2)]
+            before = kind
+        return _rows(out, HITS)
 
     def run(batches):
         held: list[dict] = []
         size = 0
         for batch in batches:
             for r in batch.to_pylist():
+                if held and all(r[c] == held[-1][c] for c in (*KIND, "times")):  # the text came twice
+                    continue
                 if size >= merge_bytes and r["key"] != held[-1]["key"]:
                     yield solve(held)
                     held, size = [], 0
@@ -185,18 +238,30 @@ def _index(window: int, merge_bytes: int):
     return run
 
 
-def _windows(window: int):
-    """A row for each window of a segment, with a 128-bit hash of its bytes."""
-
-    def run(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                c = r["content"]
-                hashes = [hashlib.blake2b(c[i : i + window], digest_size=16).digest() for i in range(r["n"])]
-                n = len(hashes)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array([r["once"]] * n, pa.bool_()), pa.array([r["tid"]] * n, pa.int64()), pa.array([r["start"] + i for i in range(n)], pa.int64())], names=["hash", "once", "tid", "start"])
-
-    return run
+def repeated_kinds(rows: DataFrame, window: int, group_bytes: int, merge_bytes: int) -> DataFrame:
+    """(key, c1, c2, off, n): in segments of that kind the n windows from `off` on also start elsewhere. rows: see CONTENT;
+    times is 0 and 1 for two segments of one kind."""
+    of_kind = lambda df: df.select(*KIND, "times", "n", "anchor", "width", "content")
+    levels, found = [], []
+    while True:
+        sizes = rows.groupBy("key").agg(F.sum(F.octet_length("content") * F.greatest("times", F.lit(1))).alias("bytes"), F.sum(F.greatest("times", F.lit(1))).alias("m"))
+        large = cut(sizes.where((F.col("bytes") > group_bytes) & (F.col("m") > 1)).select("key"), "large")
+        n_large = large.count()
+        wide = F.col("width") < window  # else the windows are all alike
+        parted = of_kind(rows.where(wide).join(small(large, n_large), "key", "left_semi")) if n_large else None
+        fits = of_kind(rows.where(~wide).unionAll(rows.where(wide).join(small(large, n_large), "key", "left_anti"))) if n_large else of_kind(rows)
+        found.append(fits.repartition("key").sortWithinPartitions(*KIND, "times").mapInArrow(_index(window, merge_bytes), HITS_SQL))
+        if parted is None:
+            break
+        halves = cut(parted.dropDuplicates([*KIND, "times"]).mapInArrow(_halve(window), HALVES_SQL), "halves")
+        levels.append(cut(halves.select("p0", "p1", "p2", F.col("off").alias("at"), *KIND).distinct(), "parts"))
+        kinds = halves.groupBy(*KIND).agg(F.least(F.sum(F.greatest("times", F.lit(1)) if len(levels) > 1 else F.lit(1)), F.lit(2)).cast("int").alias("times"), *[F.first(c).alias(c) for c in ("n", "anchor", "width", "content")])
+        rows = cut(kinds, "kinds")
+    hits = found.pop()
+    while levels:
+        up = levels.pop().join(hits, KIND).select(F.col("p0").alias("key"), F.col("p1").alias("c1"), F.col("p2").alias("c2"), (F.col("at") + F.col("off")).alias("off"), "n")
+        hits = found.pop().unionAll(up)
+    return hits
 
 
 def _finish(window: int):
@@ -231,39 +296,23 @@ def _finish(window: int):
     return run
 
 
-def repeated_runs(docs: DataFrame, window: int = WINDOW, k: int = K, group_segments: int = GROUP_SEGMENTS, merge_bytes: int = MERGE_BYTES) -> DataFrame:
+def repeated_runs(docs: DataFrame, window: int = WINDOW, k: int = K, group_bytes: int = GROUP_BYTES, merge_bytes: int = MERGE_BYTES) -> DataFrame:
     """(tid, start, n): in the text with key tid, n windows from byte `start` on also start elsewhere. docs: doc_id, tid, text."""
-    spark = docs.sparkSession
     segs = cut(docs.select("tid", "text").mapInArrow(_scan(window, k), SEGMENTS), "segments")
-    keys = segs.groupBy("key").agg(F.count("*").alias("m"), F.min("seg").alias("lo"), F.max("seg").alias("hi")).where("m > 1").select("key", (F.col("lo") != F.col("hi")).alias("mixed"))
-    again = cut(segs.join(cut(keys, "keys"), "key"), "again")  # cut, so that a hot key's side of the join can be split
-    whole = again.where("not mixed").select("tid", "start", "n")
-    mixed = again.where("mixed")
-    kinds = mixed.groupBy("key", "seg").agg(F.count("*").alias("m"), F.min(F.struct("tid", "start", "n")).alias("at"))
-    kinds = cut(kinds.select("key", "seg", (F.col("m") == 1).alias("once"), "at.tid", "at.start", "at.n"), "kinds")
-    often = kinds.where("not once").select("key", "seg")
-    copied = mixed.join(small(often, often.count()), ["key", "seg"], "left_semi").select("tid", "start", "n")
-    groups = cut(kinds.groupBy("key").agg(F.count("*").alias("size"), F.max("once").alias("open")).where("open"), "groups")
-    todo = cut(kinds.join(groups, "key").select("key", "seg", "once", "tid", "start", "n", "size"), "todo")
-    per_text = todo.groupBy("tid").agg(F.collect_list(F.struct("key", "seg", "once", "start", "n", "size")).alias("segs"))
-    n_texts = todo.select("tid").distinct().count()
-    out = [whole, copied]
-    if n_texts:
-        first = docs.groupBy("tid").agg(F.min("doc_id").alias("first")).join(todo.select("tid").distinct(), "tid").withColumnRenamed("tid", "t")
-        one = docs.join(small(first, n_texts), (F.col("tid") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
-        content = one.join(small(per_text, todo.count()), "tid").select("tid", "text", "segs")
-        rows = cut(content.mapInArrow(_cut_out(window), "key long, seg long, once boolean, tid long, start long, n int, content binary").dropDuplicates(["key", "seg"]), "content")
-        sizes = groups.select("key", "size")
-        rows = rows.join(sizes, "key")
-        fits = rows.where(F.col("size") <= group_segments).drop("size")
-        out.append(fits.repartition("key").sortWithinPartitions("key").mapInArrow(_index(window, merge_bytes), "tid long, start long, n int"))
-        large = rows.where(F.col("size") > group_segments).drop("size")
-        each = large.mapInArrow(_windows(window), "hash binary, once boolean, tid long, start long")
-        twice = each.groupBy("hash").agg(F.count("*").alias("m")).where("m > 1").select("hash")
-        out.append(each.where("once").join(twice, "hash", "left_semi").select("tid", "start", F.lit(1).alias("n")))
-    runs = out[0]
-    for x in out[1:]:
-        runs = runs.union(x)
+    keys = cut(segs.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "keys")
+    again = cut(segs.join(small(keys, keys.count()), "key"), "again")  # cut, so that a hot key's side of a join can be split
+    at = F.struct("tid", "start", "n", "anchor")
+    kinds = again.groupBy(*KIND).agg(F.count("*").alias("m"), F.min(at).alias("lo"), F.max(at).alias("hi"))
+    both = F.when(F.col("m") > 1, F.array("lo", "hi")).otherwise(F.array("lo"))
+    todo = cut(kinds.select(*KIND, F.posexplode(both).alias("copy", "at")).select(*KIND, "copy", "at.*"), "todo")
+    per_text = cut(todo.groupBy("tid").agg(F.collect_list(F.struct(*KIND, "copy", "start", "n", "anchor")).alias("segs")), "per_text")
+    n_texts, n_segs = per_text.agg(F.count("*"), F.sum(F.size("segs"))).first()
+    first = docs.groupBy("tid").agg(F.min("doc_id").alias("first")).join(per_text.select(F.col("tid").alias("t")), F.col("tid") == F.col("t")).select("t", "first")
+    one = docs.join(small(first, n_texts), (F.col("tid") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
+    content = one.join(small(per_text, n_texts, 8 + 64 * (n_segs or 0) // max(n_texts, 1)), "tid").select("text", "segs")
+    rows = cut(content.mapInArrow(_cut_out(window, k), CONTENT_SQL), "content")
+    hits = cut(repeated_kinds(rows, window, group_bytes, merge_bytes), "hits")
+    runs = again.select(*KIND, "tid", "start").join(small(hits, hits.count()), KIND).select("tid", (F.col("start") + F.col("off")).alias("start"), "n")
     return cut(runs.distinct(), "runs")
 
 
@@ -275,6 +324,7 @@ def suffix_dedup(documents: DataFrame, window: int = WINDOW, k: int = K, **sizes
     not be valid UTF-8. `window` must be a multiple of 8 and k less than it."""
     docs = keyed(texts(documents))
     runs = repeated_runs(docs, window, k, **sizes)
-    spans = runs.groupBy("tid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    joined = docs.join(small(spans, runs.count()), "tid", "left").select("doc_id", "text", "spans")
+    spans = cut(runs.groupBy("tid").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "spans")
+    n_texts, n_spans = spans.agg(F.count("*"), F.sum(F.size("spans"))).first()
+    joined = docs.join(small(spans, n_texts, 8 + 24 * (n_spans or 0) // max(n_texts, 1)), "tid", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_finish(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
