@@ -28,26 +28,19 @@ class Shard:
         rank = text + n_str
         rank[ends] = np.arange(n_str)
         step, size = 1, len(text)
-        order = np.argsort(rank, kind="stable")
         while step < depth:
             nxt = np.zeros(size, np.int64)
             nxt[: max(size - step, 0)] = rank[step:] + 1
             nxt[ends] = 0
-            big = int(nxt.max()) + 1 if size else 1
-            both = rank * big + nxt
-            order = np.argsort(both, kind="stable")
-            s = both[order]
-            new = np.empty(size, np.int64)
-            new[order] = np.concatenate(([0], np.cumsum(s[1:] != s[:-1]))) if size else 0
-            rank = new
+            found, rank = np.unique(rank * (int(nxt.max(initial=0)) + 1) + nxt, return_inverse=True)
             step *= 2
-            if size and rank.max() == size - 1:
+            if len(found) == size:
                 break
+        order = np.argsort(rank)  # suffixes that agree in `depth` letters may stand in any order
         self.at = place[order]
         before = np.zeros(size, np.int64)
         before[1:] = text[:-1]
-        starts = bounds[:-1] + np.arange(n_str)
-        before[starts] = 0
+        before[bounds[:-1] + np.arange(n_str)] = 0
         self.bwt = before[order]
         self.n_str = n_str
 
@@ -60,7 +53,7 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     small = max((int(s.bwt.max()) for s in shards if len(s.bwt)), default=0) < 65536
     bwt = np.concatenate([s.bwt for s in shards]).astype(np.uint16 if small else np.int64)
     n, n_str = len(bwt), sum(s.n_str for s in shards)
-    z = np.repeat(np.arange(len(shards), dtype=np.uint16 if len(shards) < 65536 else np.int64), [len(s.bwt) for s in shards])
+    z = np.repeat(np.arange(len(shards), dtype=np.uint8 if len(shards) < 256 else np.uint16 if len(shards) < 65536 else np.int64), [len(s.bwt) for s in shards])
     ends = np.repeat(np.arange(len(shards), dtype=z.dtype), [s.n_str for s in shards])
     part = np.zeros(n, bool)  # True: a new interval begins here
     part[:1] = True
@@ -82,47 +75,60 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return z, prefix
 
 
-def repeated_windows(strings: list[bytes], owned: np.ndarray, window: int, shard_bytes: int = 8192) -> list[np.ndarray]:
+def _codes(data: np.ndarray, width: int) -> np.ndarray:
+    """A number from 1 for the `width` bytes at each position (a multiple of 8; zeros beyond the end), by doubling."""
+    def both(a: np.ndarray, b: np.ndarray, shift: int) -> np.ndarray:
+        later = np.zeros(len(data), np.int64)
+        later[: max(len(data) - shift, 0)] = b[shift:]
+        return np.unique(a * (int(b.max(initial=0)) + 1) + later, return_inverse=True)[1] + 1
+
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    word = np.zeros(len(data), np.uint64)
+    for j in range(8):
+        word = (word << np.uint64(8)) | padded[j : j + len(data)].astype(np.uint64)
+    power, size = np.unique(word, return_inverse=True)[1] + 1, 8
+    out, have = None, 0
+    while have < width:
+        if width & size:
+            out, have = (power, size) if out is None else (both(power, out, size), have + size)
+        if have < width:
+            power, size = both(power, power, size), 2 * size
+    return out
+
+
+def repeated_windows(strings: list[bytes], owned: np.ndarray, window: int, shard_letters: int = 8192, weight: np.ndarray | None = None) -> list[np.ndarray]:
     """For each string, which of its first owned[i] windows of `window` bytes also start at another place in the strings.
 
-    A string is read as eight strings of 8-byte letters, one for each alignment, so that `window` / 8 passes suffice."""
-    step = 8
+    weight: how often each string counts. A string is read as one string of letters for each alignment, a letter being
+    a fifth of a window (or 8 bytes, where that is no multiple of 8), so that few passes suffice."""
+    step = window // 5 if window % 40 == 0 else 8
     depth = window // step
-    assert depth * step == window
+    assert depth * step == window and step % 8 == 0
     data = np.frombuffer(b"".join(strings), np.uint8)
     lens = np.array([len(s) for s in strings], np.int64)
     base = np.concatenate(([0], np.cumsum(lens)))
-    padded = np.concatenate((data, np.zeros(step, np.uint8)))
-    word = np.zeros(len(data), np.uint64)
-    for j in range(step):
-        word = (word << np.uint64(8)) | padded[j : j + len(data)].astype(np.uint64)
-    alphabet, code = np.unique(word, return_inverse=True)
-    code = code.astype(np.int64) + 1
-    shards, places, letters, bounds, size = [], [], [], [0], 0
-
-    def close() -> None:
-        nonlocal letters, bounds, size
-        if letters:
-            at = np.concatenate(letters)
-            shards.append(Shard(code[at], np.array(bounds), depth))
-            places.append(np.append(at, -1)[shards[-1].at])
-        letters, bounds, size = [], [0], 0
-
-    for i in range(len(strings)):
-        for r in range(min(step, int(lens[i]) - window + 1)):
-            at = base[i] + np.arange(r, lens[i] - step + 1, step)
-            letters.append(at)
-            bounds.append(bounds[-1] + len(at))
-            size += len(at)
-        if size >= shard_bytes:
-            close()
-    close()
+    code = _codes(data, step)
+    aligned = np.clip(lens - window + 1, 0, step)
+    of = np.repeat(np.arange(len(strings)), aligned)  # a string for each alignment
+    first = np.arange(len(of)) - np.repeat(np.cumsum(aligned) - aligned, aligned)
+    count = (lens[of] - step - first) // step + 1
+    end = np.cumsum(count)
+    at = np.repeat(base[of] + first, count) + step * (np.arange(end[-1] if len(end) else 0) - np.repeat(end - count, count))
+    shard = (end - count) // shard_letters
+    shards, places = [], []
+    for lo, hi in zip(*(np.flatnonzero(np.concatenate(x)) for x in (([len(shard) > 0], shard[1:] != shard[:-1]), (shard[1:] != shard[:-1], [len(shard) > 0])))):
+        a, b = end[lo] - count[lo], end[hi]
+        shards.append(Shard(code[at[a:b]], np.concatenate(([0], end[lo : hi + 1] - a)), depth))
+        places.append(np.append(at[a:b], -1)[shards[-1].at])
     hit = np.zeros(len(data), bool)
     if shards:
         z, prefix = merge(shards, depth)
-        at = np.concatenate(places)[np.argsort(z, kind="stable").argsort(kind="stable")] if len(shards) > 1 else places[0]
+        place = np.empty(len(z), np.int64)
+        place[np.argsort(z, kind="stable")] = np.concatenate(places)
         same = prefix >= depth  # as the suffix before
         twice = same.copy()
         twice[:-1] |= same[1:]
-        hit[at[twice & (at >= 0)]] = True
+        if weight is not None:
+            twice |= np.repeat(weight, lens)[place] > 1
+        hit[place[twice & (place >= 0)]] = True
     return [hit[base[i] : base[i] + owned[i]] for i in range(len(strings))]

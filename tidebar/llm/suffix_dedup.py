@@ -3,9 +3,11 @@
 Every window of WINDOW bytes is filed under its minimizer: the K-byte string in it with the least hash (leftmost on
 ties). Equal windows have equal minimizers at equal places, so a window can only repeat within its minimizer's group, and
 groups are indexed apart from each other. Consecutive windows with one minimizer form a segment. Every segment whose
-minimizer occurs elsewhere is indexed, those that are equal throughout by two of them: shards of segments get
-Burrows-Wheeler transforms, which are merged by interleave refinement; where neighbours part gives their common prefix,
-and the intervals with a common prefix of WINDOW bytes and two entries or more are the repeats.
+minimizer occurs elsewhere is indexed: shards of segments get Burrows-Wheeler transforms, which are merged by interleave
+refinement; where neighbours part gives their common prefix, and the intervals with a common prefix of WINDOW bytes and
+two entries or more are the repeats. A kind of segment that occurs more than once in a group stands there once, with its
+weight; where a group has but one kind, as inside copied passages, two runs of consecutive such segments, the first and
+the last that hold them, are indexed as two strings.
 
 A group too large for one merge is parted by what stands beside its minimizer: windows with at least half of their other
 bytes on the left by those, the others by as many bytes on the right; again and again until the parts fit.
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.llm.bwt import repeated_windows
@@ -30,7 +32,9 @@ WINDOW = 200
 K = 64
 CHUNK = 1 << 18
 #: Bytes of one minimizer's segments that are merged at once; larger groups are parted first.
-GROUP_BYTES = 200_000
+GROUP_BYTES = 60_000
+#: Windows of a run of segments that are indexed together.
+RUN = 20_000
 #: Bytes of segments whose transforms are merged together.
 MERGE_BYTES = 60_000
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -141,7 +145,7 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * len(schema), schema)], schema=schema)
 
 
-def _cut_out(window: int, k: int):
+def _cut_out(window: int):
     """From rows of text and segments (lists), the segments' bytes, a row each."""
 
     def run(batches):
@@ -150,7 +154,7 @@ def _cut_out(window: int, k: int):
             for text, segs in zip(batch.column("text"), batch.column("segs").to_pylist()):
                 raw = memoryview(text.as_buffer())
                 for s in segs:
-                    out.append((s["key"], s["c1"], s["c2"], s["copy"], s["n"], s["anchor"], k, bytes(raw[s["start"] : s["start"] + s["n"] + window - 1])))
+                    out.append((s["key"], s["c1"], s["c2"], s["copy"], s["n"], s["anchor"], s["width"], bytes(raw[s["start"] : s["start"] + s["n"] + window - 1])))
                     if len(out) >= 5000:
                         yield _rows(out, CONTENT)
                         out = []
@@ -204,15 +208,12 @@ HITS_SQL = "key long, c1 long, c2 long, off int, n int"
 
 def _index(window: int, merge_bytes: int):
     """Over a partition sorted by kind: indexes whole groups of segments, merge_bytes at a time, and yields the repeated
-    runs of windows of each kind. A kind comes once, or as two rows of the same content (times 0 and 1), or has times 2."""
+    runs of windows of each kind. times: 1; 2 where the kind occurs more than once; 0 and 1 for the two rows of a run."""
 
     def solve(rows: list[dict]) -> pa.RecordBatch:
-        strings = [r["content"] for r in rows for _ in range(max(1, r["times"]))]
-        owned = np.array([r["n"] for r in rows for _ in range(max(1, r["times"]))])
-        hits = iter(repeated_windows(strings, owned, window))
+        hits = repeated_windows([r["content"] for r in rows], np.array([r["n"] for r in rows]), window, weight=np.array([r["times"] for r in rows]))
         out, before = [], None
-        for r in rows:
-            found = [next(hits) for _ in range(max(1, r["times"]))][0]
+        for r, found in zip(rows, hits):
             kind = (r["key"], r["c1"], r["c2"])
             if kind != before and found.any():
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], found.view(np.int8), [0]))))
@@ -240,14 +241,14 @@ def _index(window: int, merge_bytes: int):
 
 def repeated_kinds(rows: DataFrame, window: int, group_bytes: int, merge_bytes: int) -> DataFrame:
     """(key, c1, c2, off, n): in segments of that kind the n windows from `off` on also start elsewhere. rows: see CONTENT;
-    times is 0 and 1 for two segments of one kind."""
+    times: see _index."""
     of_kind = lambda df: df.select(*KIND, "times", "n", "anchor", "width", "content")
     levels, found = [], []
     while True:
         sizes = rows.groupBy("key").agg(F.sum(F.octet_length("content") * F.greatest("times", F.lit(1))).alias("bytes"), F.sum(F.greatest("times", F.lit(1))).alias("m"))
         large = cut(sizes.where((F.col("bytes") > group_bytes) & (F.col("m") > 1)).select("key"), "large")
         n_large = large.count()
-        wide = F.col("width") < window  # else the windows are all alike
+        wide = F.col("width") < window  # else the windows are all alike, or a run
         parted = of_kind(rows.where(wide).join(small(large, n_large), "key", "left_semi")) if n_large else None
         fits = of_kind(rows.where(~wide).unionAll(rows.where(wide).join(small(large, n_large), "key", "left_anti"))) if n_large else of_kind(rows)
         found.append(fits.repartition("key").sortWithinPartitions(*KIND, "times").mapInArrow(_index(window, merge_bytes), HITS_SQL))
@@ -255,7 +256,7 @@ def repeated_kinds(rows: DataFrame, window: int, group_bytes: int, merge_bytes:
             break
         halves = cut(parted.dropDuplicates([*KIND, "times"]).mapInArrow(_halve(window), HALVES_SQL), "halves")
         levels.append(cut(halves.select("p0", "p1", "p2", F.col("off").alias("at"), *KIND).distinct(), "parts"))
-        kinds = halves.groupBy(*KIND).agg(F.least(F.sum(F.greatest("times", F.lit(1)) if len(levels) > 1 else F.lit(1)), F.lit(2)).cast("int").alias("times"), *[F.first(c).alias(c) for c in ("n", "anchor", "width", "content")])
+        kinds = halves.groupBy(*KIND).agg(F.least(F.sum("times"), F.lit(2)).cast("int").alias("times"), *[F.first(c).alias(c) for c in ("n", "anchor", "width", "content")])
         rows = cut(kinds, "kinds")
     hits = found.pop()
     while levels:
@@ -264,36 +265,23 @@ def repeated_kinds(rows: DataFrame, window: int, group_bytes: int, merge_bytes:
     return hits
 
 
-def _finish(window: int):
-    def run(batches):
-        for batch in batches:
-            n_removed, n_spans, kept = [], [], []
-            for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist()):
-                raw = memoryview(text.as_buffer())
-                left, at, gone, runs = hashlib.sha256(), 0, 0, 0
-                end = -1
-                for s in sorted((x["start"], x["start"] + x["n"] + window - 1) for x in spans or ()):
-                    if s[0] > end:  # a new maximal run; touching ones are joined
-                        if runs:
-                            gone += end - begin  # noqa: F821
-                            at = end
-                        left.update(raw[at : s[0]])
-                        begin, end, runs = s[0], s[1], runs + 1
-                    else:
-                        end = max(end, s[1])
-                if runs:
-                    gone += end - begin
-                    at = end
-                left.update(raw[at:])
-                n_removed.append(gone)
-                n_spans.append(runs)
-                kept.append(left.hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x.as_buffer()) for x in batch.column("text")], pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept)],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-            )
-
-    return run
+def _finish(batches):
+    for batch in batches:
+        n_removed, n_spans, kept = [], [], []
+        for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist()):
+            raw = memoryview(text.as_buffer())
+            left, at = hashlib.sha256(), 0
+            for s in spans or ():
+                left.update(raw[at : s["start"]])
+                at = s["end"]
+            left.update(raw[at:])
+            n_removed.append(sum(s["end"] - s["start"] for s in spans or ()))
+            n_spans.append(len(spans or ()))
+            kept.append(left.hexdigest())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array([len(x.as_buffer()) for x in batch.column("text")], pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.string())],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+        )
 
 
 def repeated_runs(docs: DataFrame, window: int = WINDOW, k: int = K, group_bytes: int = GROUP_BYTES, merge_bytes: int = MERGE_BYTES) -> DataFrame:
@@ -302,20 +290,54 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, k: int = K, group_bytes
     keys = cut(segs.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "keys")
     again = cut(segs.join(small(keys, keys.count()), "key"), "again")  # cut, so that a hot key's side of a join can be split
     at = F.struct("tid", "start", "n", "anchor")
-    kinds = again.groupBy(*KIND).agg(F.count("*").alias("m"), F.min(at).alias("lo"), F.max(at).alias("hi"))
-    both = F.when(F.col("m") > 1, F.array("lo", "hi")).otherwise(F.array("lo"))
-    todo = cut(kinds.select(*KIND, F.posexplode(both).alias("copy", "at")).select(*KIND, "copy", "at.*"), "todo")
-    per_text = cut(todo.groupBy("tid").agg(F.collect_list(F.struct(*KIND, "copy", "start", "n", "anchor")).alias("segs")), "per_text")
+    kinds = cut(again.groupBy(*KIND).agg(F.count("*").alias("m"), F.min(at).alias("lo"), F.max(at).alias("hi")), "kinds")
+    lone = kinds.groupBy("key").agg(F.count("*").alias("of_key"), F.first("c1").alias("c1"), F.first("c2").alias("c2"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    lone = cut(lone, "groups")
+    mixed = kinds.join(lone.where("of_key > 1").select("key"), "key").select(*KIND, F.least("m", F.lit(2)).cast("int").alias("copy"), "lo.*", F.lit(k).alias("width"))
+    lone = lone.where("of_key = 1").withColumn("apart", F.col("hi.start") - F.col("lo.start"))
+    same = Window.partitionBy("lo.tid", "hi.tid", "apart").orderBy("lo.start")
+    fresh = F.coalesce(F.col("lo.start") != F.lag(F.col("lo.start") + F.col("lo.n")).over(same), F.lit(True))
+    lone = lone.withColumn("begin", F.max(F.when(fresh, F.col("lo.start"))).over(same.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    lone = lone.withColumn("piece", F.floor((F.col("lo.start") - F.col("begin")) / RUN))
+    run = ["lo.tid", "hi.tid", "apart", "begin", "piece"]
+    named = [F.xxhash64(F.lit(i), *run).alias(f"p{i}") for i in range(3)]
+    lone = cut(lone.select(*KIND, "lo", "hi", *named, F.min("lo.start").over(Window.partitionBy(*run)).alias("begin")), "lone")
+    pairs = lone.groupBy("p0", "p1", "p2").agg(F.min("lo").alias("lo"), F.min("hi").alias("hi"), F.sum("lo.n").cast("int").alias("n"))
+    pairs = pairs.select(F.col("p0").alias("key"), F.col("p1").alias("c1"), F.col("p2").alias("c2"), F.posexplode(F.array("lo", "hi")).alias("copy", "at"), "n")
+    pairs = pairs.select(*KIND, "copy", "at.tid", "at.start", "n", F.lit(0).alias("anchor"), F.lit(window).alias("width"))  # not to be parted
+    todo = mixed.unionAll(pairs)
+    per_text = cut(todo.groupBy("tid").agg(F.collect_list(F.struct(*KIND, "copy", "start", "n", "anchor", "width")).alias("segs")), "per_text")
     n_texts, n_segs = per_text.agg(F.count("*"), F.sum(F.size("segs"))).first()
     first = docs.groupBy("tid").agg(F.min("doc_id").alias("first")).join(per_text.select(F.col("tid").alias("t")), F.col("tid") == F.col("t")).select("t", "first")
     one = docs.join(small(first, n_texts), (F.col("tid") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
     content = one.join(small(per_text, n_texts, 8 + 64 * (n_segs or 0) // max(n_texts, 1)), "tid").select("text", "segs")
-    rows = cut(content.mapInArrow(_cut_out(window, k), CONTENT_SQL), "content")
+    rows = cut(content.mapInArrow(_cut_out(window), CONTENT_SQL), "content")
     hits = cut(repeated_kinds(rows, window, group_bytes, merge_bytes), "hits")
-    runs = again.select(*KIND, "tid", "start").join(small(hits, hits.count()), KIND).select("tid", (F.col("start") + F.col("off")).alias("start"), "n")
+    of_run = hits.select(F.col("key").alias("p0"), F.col("c1").alias("p1"), F.col("c2").alias("p2"), "off", F.col("n").alias("long"))
+    within = lone.join(of_run, ["p0", "p1", "p2"]).withColumn("skip", F.col("lo.start") - F.col("begin"))  # the part of a run's hits in each of its segments
+    low, high = F.greatest(F.col("off") - F.col("skip"), F.lit(0)), F.least(F.col("off") + F.col("long") - F.col("skip"), F.col("lo.n"))
+    within = within.select(*KIND, low.cast("int").alias("off"), (high - low).cast("int").alias("n")).where("n > 0")
+    runs = again.select(*KIND, "tid", "start").join(hits.unionAll(within), KIND).select("tid", (F.col("start") + F.col("off")).alias("start"), "n")
     return cut(runs.distinct(), "runs")
 
 
+def _joined(window: int):
+    """Of each text's runs of windows the bytes that they cover: maximal (start, end) in order."""
+
+    def run(batches):
+        for batch in batches:
+            spans = []
+            for runs in batch.column("runs").to_pylist():
+                x = np.array([(r["start"], r["start"] + r["n"] + window - 1) for r in runs], np.int64)
+                x = x[np.argsort(x[:, 0], kind="stable")]
+                reach = np.maximum.accumulate(x[:, 1])
+                new = np.concatenate(([True], x[1:, 0] > reach[:-1]))
+                spans.append([{"start": a, "end": b} for a, b in zip(x[new, 0].tolist(), reach[np.append(np.flatnonzero(new)[1:] - 1, len(x) - 1)].tolist())])
+            yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["tid", "spans"])
+
+    return run
+
+
 def suffix_dedup(documents: DataFrame, window: int = WINDOW, k: int = K, **sizes: int) -> DataFrame:
     """Per document, what is left when every byte covered by a repeated string of `window` bytes is removed.
 
@@ -324,7 +346,8 @@ def suffix_dedup(documents: DataFrame, window: int = WINDOW, k: int = K, **sizes
     not be valid UTF-8. `window` must be a multiple of 8 and k less than it."""
     docs = keyed(texts(documents))
     runs = repeated_runs(docs, window, k, **sizes)
-    spans = cut(runs.groupBy("tid").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "spans")
+    spans = runs.groupBy("tid").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    spans = cut(spans.mapInArrow(_joined(window), "tid long, spans array<struct<start:long,end:long>>"), "spans")
     n_texts, n_spans = spans.agg(F.count("*"), F.sum(F.size("spans"))).first()
     joined = docs.join(small(spans, n_texts, 8 + 24 * (n_spans or 0) // max(n_texts, 1)), "tid", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_finish(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
