@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebar import oracles
 from tidebar.functions import costs, limits
 from tidebar.operators import indicators, recurrences, simulate, steps
 from tidebar.operators.simulate import Rules
@@ -135,14 +136,19 @@ for _n in recurrences.RECURRENCES:
 # Simulation
 _METRIC = [f"round({c}, 4) AS {c}" for c in simulate.METRICS]
 for _n, _s in (("golden_cross", "goldenCross"), ("rsi", "rsi"), ("macd", "macd"), ("bollinger", "bollinger"), ("breakout", "breakout")):
-    _add(f"backtest_{_n}", lambda s, d, k=_s: simulate.backtest(sources.li_bars(s, d), k).selectExpr("symbol", *_METRIC))
-_add("backtest_stops", lambda s, d: simulate.backtest(sources.li_bars(s, d), "goldenCross", Rules(stop=5, take=10, trail=8)).selectExpr("symbol", *_METRIC))
-_add("backtest_next_open", lambda s, d: simulate.backtest(sources.li_bars(s, d), "goldenCross", Rules(fill="open")).selectExpr("symbol", *_METRIC))
-_add("equity_curve", lambda s, d: simulate.trace(sources.li_bars(s, d), "goldenCross"))
-_add("trades", lambda s, d: simulate.trace(sources.li_bars(s, d), "goldenCross", what="trades"))
+    _add(f"backtest_{_n}", lambda s, d, k=_s: simulate.backtest(sources.li_bars(s, d), k).selectExpr("symbol", *_METRIC), oracles.metrics(oracles.strategy_signals(LI, _s), Rules()))
+_GOLDEN = oracles.strategy_signals(LI, "goldenCross")
+_STOPS = Rules(stop=5, take=10, trail=8)
+_add("backtest_stops", lambda s, d: simulate.backtest(sources.li_bars(s, d), "goldenCross", _STOPS).selectExpr("symbol", *_METRIC), oracles.metrics(_GOLDEN, _STOPS))
+_add("backtest_next_open", lambda s, d: simulate.backtest(sources.li_bars(s, d), "goldenCross", Rules(fill="open")).selectExpr("symbol", *_METRIC), oracles.metrics(_GOLDEN, Rules(fill="open")))
+_add("equity_curve", lambda s, d: simulate.trace(sources.li_bars(s, d), "goldenCross").withColumn("equity", F.round("equity", 4)), oracles.equity(_GOLDEN, Rules()).replace("SELECT symbol, ts, equity FROM run", "SELECT symbol, ts, round(equity, 4) AS equity FROM run"))
+_add("trades", lambda s, d: simulate.trace(sources.li_bars(s, d), "goldenCross", what="trades").select("symbol", "ts", "side", *[F.round(c, 4).alias(c) for c in ("price", "quantity", "pnl")]),
+     f"SELECT symbol, ts, side, round(price, 4) AS price, round(quantity, 4) AS quantity, round(pnl, 4) + 0e0 AS pnl FROM ({oracles.trades(_GOLDEN, Rules())})")
 _add("rebalance_monthly", lambda s, d: simulate.rebalanced(sources.ord_bars(s, d), {"1-URGENT": 0.4, "2-HIGH": 0.3, "3-MEDIUM": 0.3}))
 for _n in presets.PRESETS:
-    _add(f"preset_{_n}", lambda s, d, k=_n: presets.run(sources.li_bars(s, d), k).selectExpr("symbol", *_METRIC))
+    _p = presets.PRESETS[_n]
+    _q = oracles.preset_signals(LI, _p)
+    _add(f"preset_{_n}", lambda s, d, k=_n: presets.run(sources.li_bars(s, d), k).selectExpr("symbol", *_METRIC), _q and oracles.metrics(_q, Rules(fill="open", stop=_p.stop, take=_p.take, trail=_p.trail)))
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
