@@ -100,13 +100,60 @@ def test_kendall_ties():
     assert analytics.kendall_of(np.ones(4), x[:4]) == 0.0
 
 
-def test_regime_forecast_rows_sum_to_one(spark, series):
-    p = spark.sql(quant.regime_forecast(3)).toPandas()
-    one = spark.sql(quant.transitions()).toPandas()
+@pytest.fixture(scope="module")
+def bars(spark, series):
+    df = spark.table("series")
+    return df.selectExpr("symbol", "ts", "value * 0.999 AS open", "value * (1.001 + 0.002 * pmod(xxhash64(ts), 3)) AS high", "value * (0.999 - 0.002 * pmod(xxhash64(ts, symbol), 3)) AS low", "value AS close", "1000e0 AS volume")
+
+
+def test_regimes_by_the_documented_rule(bars):
+    got = steps.query(quant.market_regimes(), bars=bars).toPandas()
+    for symbol, b in bars.toPandas().sort_values("ts").groupby("symbol"):
+        c, h, l, mine = b.close.reset_index(drop=True), b.high.to_numpy(), b.low.to_numpy(), got[got.symbol == symbol].sort_values("ts").reset_index(drop=True)
+        tr, up, down = np.zeros(len(c)), np.zeros(len(c)), np.zeros(len(c))
+        for i in range(1, len(c)):
+            tr[i] = max(h[i] - l[i], abs(h[i] - c[i - 1]), abs(l[i] - c[i - 1]))
+            u, d = h[i] - h[i - 1], l[i - 1] - l[i]
+            up[i], down[i] = (u if u > max(d, 0) else 0), (d if d > max(u, 0) else 0)
+        mean = lambda x: pd.Series(x).rolling(14).mean()
+        pdi, mdi = 100 * mean(up) / (mean(tr) + 1e-10), 100 * mean(down) / (mean(tr) + 1e-10)
+        adx = mean(100 * (pdi - mdi).abs() / (pdi + mdi + 1e-10))
+        for i in range(199, len(c), 37):
+            m50, m200, now = c[i - 49 : i + 1].mean(), c[i - 199 : i + 1].mean(), c[i]
+            trend = np.clip(0.3 * (now / m50 - 1) + 0.3 * (now / m200 - 1) + 0.4 * (m50 / m200 - 1), -1, 1)
+            vol = c.pct_change()[i - 19 : i + 1].std() * np.sqrt(252)
+            want = "high_volatility" if vol > 0.4 else "strong_uptrend" if trend > 0.15 and adx[i] > 25 else "uptrend" if trend > 0.05 else "strong_downtrend" if trend < -0.15 and adx[i] > 25 else "downtrend" if trend < -0.05 else "sideways"
+            row = mine.loc[i - 199]
+            assert row.regime == want and abs(row.trend - trend) < 1e-4 and abs(row.volatility - vol) < 1e-4 and abs(row.adx - adx[i]) < 1e-4
+
+
+def test_journal_takes_excursions_from_the_equity(spark):
+    equity = spark.createDataFrame([("T", i, float(v)) for i, v in enumerate((100, 90, 120, 110, 130))], "symbol string, ts int, value double")
+    trips = spark.createDataFrame([("T", 1, 0, 2, 5.0, 1.0), ("T", 2, 2, 3, -4.0, -1.0), ("T", 3, 4, 4, 1.0, 1.0)], "symbol string, trade_no int, entry_ts int, exit_ts int, pct double, pnl double")
+    got = {r.trade_no: r for r in analytics.journal(trips, equity).collect()}
+    assert (got[1].mfe, got[1].mae) == (20.0, -10.0) and abs(got[2].mae + 100 / 12) < 1e-9 and got[2].mfe == 0 and (got[3].mfe, got[3].mae) == (0, 0)
+    assert got[1].r == 1.25 and got[1].grade == "C"
+
+
+def test_forecast_uses_the_whole_series():
+    tail = np.linspace(100, 110, 250)
+    assert analytics.forecast_of(np.concatenate((np.full(400, 50.0), tail))) != analytics.forecast_of(tail)
+
+
+def test_queries_leave_the_sessions_views_alone(spark):
+    spark.sql("SELECT 1 AS mine").createOrReplaceTempView("bars")
+    df = spark.createDataFrame([("T", 1)], "symbol string, ts int")
+    assert steps.query("SELECT symbol FROM bars", bars=df).collect()[0].symbol == "T" and spark.table("bars").columns == ["mine"]
+    spark.catalog.dropTempView("bars")
+
+
+def test_regime_forecast_rows_sum_to_one(bars):
+    p = steps.query(quant.regime_forecast(3), bars=bars).toPandas()
+    one = steps.query(quant.transitions(), bars=bars).toPandas()
     ends = {s for s in one.nxt} <= {s for s in one.regime}
     assert not ends or np.allclose(p.groupby(["symbol", "regime"]).p.sum(), 1, atol=1e-4)
-    spells = spark.sql(quant.regime_spells()).toPandas()
-    assert (spells.mean_bars * spells.spells).sum().round() == spark.sql(quant.regimes()).count()
+    spells = steps.query(quant.regime_spells(), bars=bars).toPandas()
+    assert (spells.mean_bars * spells.spells).sum().round() == steps.query(quant.regimes(), bars=bars).count()
 
 
 def test_rolling_max_drawdown(spark, series):
@@ -215,7 +262,7 @@ def test_buckets_votes_and_advice(spark):
     assert got.accuracy["0.8-1"] == 1 and got.accuracy["0.4-0.5"] == 0
     s = spark.createDataFrame([("T", 1, k, x) for k, x in (("a", 1), ("b", 1), ("c", -1))], "symbol string, ts int, strategy string, signal int")
     assert analytics.voted(s).first()["signal"] == 1 and analytics.voted(s, 0.7).first()["signal"] == 0
-    regimes = spark.createDataFrame([("T", 1, "sideways", 10.0), ("T", 2, "strong_up", 35.0)], "symbol string, ts int, regime string, adx double")
+    regimes = spark.createDataFrame([("T", 1, "sideways", 10.0), ("T", 2, "strong_uptrend", 35.0)], "symbol string, ts int, regime string, adx double")
     got = analytics.advice(regimes).orderBy("rank").collect()
     assert [r["strategy"] for r in got] == ["MACD", "SMA Cross", "Breakout"] and math.isclose(got[0]["score"], 0.3 + 0.475 + 0.1 + 0.05)
 

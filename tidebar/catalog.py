@@ -51,13 +51,12 @@ def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _over_series(text: str) -> Query:
-    """A query in SQL over the closes; the view's plan is inlined, nothing is kept."""
+    """A query in SQL over the closes."""
+    return lambda spark, sf_dir: steps.query(text, series=_series(spark, sf_dir))
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        _series(spark, sf_dir).createOrReplaceTempView("series")
-        return spark.sql(text)
 
-    return run
+def _over_bars(text: str) -> Query:
+    return lambda spark, sf_dir: steps.query(text, bars=sources.li_bars(spark, sf_dir))
 
 
 def _with_series(text: str) -> str:
@@ -101,9 +100,9 @@ for _n, _f in indicators.SIGNALS.items():
 
 
 # Recurrences
-def _rec(*names: str) -> Query:
+def _rec(*names: str, nudge: float = 0.0) -> Query:
     cols = [c for n in names for c in recurrences.columns(n)]
-    return lambda spark, sf_dir: recurrences.apply(sources.li_bars(spark, sf_dir), list(names)).select("symbol", "ts", *[F.round(c, 4).alias(c) for c in cols])
+    return lambda spark, sf_dir: recurrences.apply(sources.li_bars(spark, sf_dir), list(names)).select("symbol", "ts", *[F.round(F.col(c) + nudge, 4).alias(c) for c in cols])
 
 
 _NUM = f"b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS pc FROM ({LI}))"
@@ -130,8 +129,8 @@ _add(
         SELECT t.symbol, t.ts, t.rn, (r.g * 13 + t.g) / 14, (r.l * 13 + t.l) / 14 FROM r JOIN t ON t.symbol = r.symbol AND t.rn = r.rn + 1)
         SELECT t.symbol, t.ts, round(CASE WHEN r.l = 0 THEN 100 ELSE 100 - 100 / (1 + r.g / r.l) END, 4) AS rsi_wilder FROM t LEFT JOIN r ON t.symbol = r.symbol AND t.rn = r.rn""",
 )
-for _n in recurrences.RECURRENCES:
-    QUERIES.setdefault(f"rec_{_n}", _rec(_n))
+for _n, _q in oracles.recurrences(LI).items():
+    _add(f"rec_{_n}", _rec(_n, nudge=float(steps.NUDGE)), _q)
 
 # Simulation
 _METRIC = [f"round({c}, 4) AS {c}" for c in simulate.METRICS]
@@ -174,8 +173,7 @@ _ORDERS = "SELECT l_orderkey AS k, l_linenumber AS line, l_partkey AS part, l_ex
 
 
 def _costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
-    o = spark.sql(_ORDERS)
+    o = steps.query(_ORDERS, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
     price, q, side, value = (F.col(c) for c in ("price", "q", "side", "value"))
     out = {"percent": costs.commission_percent(value, 0.00015, 1.0), "korea": costs.commission_korea(value, side), "us": costs.commission_us(q, value), "slip": costs.slip_percent(price, side), "slip_volume": costs.slip_volume(price, side, q, F.lit(1000.0)), "ratio": costs.fill_ratio(q / 1000), "impact": costs.impact("sqrt", q / 1000, F.lit(0.02)), "risk_size": costs.size_risk(price, price * 0.95, F.lit(1e6)).cast("double")}
     return o.groupBy("side").agg(*[F.round(F.sum(e), 1).alias(n) for n, e in out.items()], F.count("*").alias("n"))
@@ -193,22 +191,25 @@ _TEXTS = {
     "seasonality_month": metrics.seasonality("month(ts)"), "seasonality_quarter": metrics.seasonality("quarter(ts)"), "value_at_risk": metrics.tails(),
     "streaks": metrics.streaks(), "trade_stats": metrics.trade_stats(),
     "correlation": quant.correlation(), "rank_correlation": quant.rank_correlation(), "relative_metrics": quant.relative("A-F"), "rolling_relative": quant.rolling_relative("A-F"), "cointegration": quant.cointegration(), "entropy": quant.entropy(),
-    "market_regimes": f"SELECT symbol, ts, regime FROM ({quant.regimes()})", "regime_transitions": quant.transitions(), "regime_stats": quant.regime_stats(), "factor_columns": quant.factors(),
+    "factor_columns": quant.factors(),
     "period_analysis": metrics.period_analysis(), "top_drawdowns": metrics.top_drawdowns(), "best_worst_months": metrics.best_worst_months(), "month_table": metrics.month_table(), "tail_shape": metrics.tail_shape(),
     "january_effect": metrics.split_effect("month(ts) = 1"), "summer_effect": metrics.split_effect("month(ts) BETWEEN 5 AND 10"), "holiday_effect": metrics.holiday_effect(tuple(f"{y}-12-25" for y in range(1993, 1998))),
     "window_performance": metrics.window_performance((("first", "1992-03-01", "1992-09-30"), ("middle", "1994-02-01", "1995-01-31"), ("last", "1998-01-01", "2000-01-01"))),
     "mutual_information": quant.mutual_information(), "transfer_entropy": quant.transfer_entropy(), "rolling_correlation": quant.rolling_correlation(), "spread_bands": quant.spread_bands(), "find_pairs": quant.find_pairs(),
-    "volatility_classes": quant.volatility_classes(), "diversification": quant.diversification(), "price_regimes": quant.price_regimes(), "regime_forecast": quant.regime_forecast(), "regime_spells": quant.regime_spells(),
+    "volatility_classes": quant.volatility_classes(), "diversification": quant.diversification(), "price_regimes": quant.price_regimes(),
 }
 for _n, _t in _TEXTS.items():
     _x = f"WITH trades AS (SELECT * FROM ({_T}) WHERE pnl IS NOT NULL) {_t}" if _n in ("streaks", "trade_stats") else _t
     _add(_n, _over_series(_x), f"WITH series AS ({SERIES}), trades AS (SELECT * FROM ({_T}) WHERE pnl IS NOT NULL) {_t}" if _x is not _t else _with_series(_t))
 _add("seasonality_weekday", _over_series(metrics.seasonality("weekday(ts)")), _with_series(metrics.seasonality("(isodow(ts) - 1)")))
 
+_REGIMES = {"market_regimes": quant.market_regimes(), "regime_transitions": quant.transitions(), "regime_stats": quant.regime_stats(), "regime_forecast": quant.regime_forecast(), "regime_spells": quant.regime_spells()}
+for _n, _q in oracles.regimes(LI).items():
+    _add(_n, _over_bars(_REGIMES[_n]), _q)
+
 
 def _accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps.apply(sources.li_bars(spark, sf_dir), indicators.golden_cross()).createOrReplaceTempView("signals")
-    return spark.sql(quant.forward_accuracy())
+    return steps.query(quant.forward_accuracy(), signals=steps.apply(sources.li_bars(spark, sf_dir), indicators.golden_cross()))
 
 
 _add("forward_accuracy", _accuracy, f"WITH signals AS (SELECT symbol, ts, close, signal FROM ({steps.sql(LI, indicators.golden_cross())}) JOIN (SELECT symbol, ts, close FROM ({LI})) USING (symbol, ts)) {quant.forward_accuracy()}")
@@ -228,21 +229,18 @@ def _scenarios(spark: SparkSession) -> DataFrame:
 
 
 def _bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _series(spark, sf_dir).createOrReplaceTempView("series")
-    r = spark.sql(f"SELECT symbol, rn - 2 AS k, r FROM ({metrics.RETURNS}) WHERE r IS NOT NULL")
+    r = _over_series(f"SELECT symbol, rn - 2 AS k, r FROM ({metrics.RETURNS}) WHERE r IS NOT NULL")(spark, sf_dir)
     return search.bands(search.bootstrap(r, 200, 60))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _series(spark, sf_dir).createOrReplaceTempView("series")
-    s = spark.sql(f"SELECT a || '/' || b AS pair, ts, ln(va) - ln(vb) AS s FROM ({quant.PAIRS})")
+    s = _over_series(f"SELECT a || '/' || b AS pair, ts, ln(va) - ln(vb) AS s FROM ({quant.PAIRS})")(spark, sf_dir)
     w = "OVER (PARTITION BY pair ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
     return analytics.pairs_signals(s.selectExpr("pair", "ts", f"CASE WHEN count(s) {w} = 20 THEN (s - avg(s) {w}) / nullif(stddev_samp(s) {w}, 0) END AS z"))
 
 
 def _factor_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _series(spark, sf_dir).createOrReplaceTempView("series")
-    return spark.sql(f"SELECT r.symbol, r.ts, r.r, f.momentum, f.volatility FROM ({metrics.RETURNS}) r JOIN (SELECT symbol, lead(ts) OVER (PARTITION BY symbol ORDER BY ts) AS ts, momentum, volatility FROM ({quant.factors()})) f ON r.symbol = f.symbol AND r.ts = f.ts")
+    return _over_series(f"SELECT r.symbol, r.ts, r.r, f.momentum, f.volatility FROM ({metrics.RETURNS}) r JOIN (SELECT symbol, lead(ts) OVER (PARTITION BY symbol ORDER BY ts) AS ts, momentum, volatility FROM ({quant.factors()})) f ON r.symbol = f.symbol AND r.ts = f.ts")(spark, sf_dir)
 
 
 def _factor_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,13 +248,11 @@ def _factor_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pair_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _series(spark, sf_dir).createOrReplaceTempView("series")
-    return spark.sql(quant.PAIRS)
+    return _over_series(quant.PAIRS)(spark, sf_dir)
 
 
 def _gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _series(spark, sf_dir).createOrReplaceTempView("series")
-    return search.gaussian(spark.sql(f"SELECT symbol, avg(r) AS mean, stddev_samp(r) AS std FROM ({metrics.RETURNS}) WHERE r IS NOT NULL GROUP BY symbol"), 200, 60)
+    return search.gaussian(_over_series(f"SELECT symbol, avg(r) AS mean, stddev_samp(r) AS std FROM ({metrics.RETURNS}) WHERE r IS NOT NULL GROUP BY symbol")(spark, sf_dir), 200, 60)
 
 
 def _trend_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,7 +285,7 @@ def _what_if_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PER = {"fractal": (analytics.hurst_of, "hurst double, dfa double, dimension double"), "gmm_regimes": (analytics.gmm_of, "bear double, sideways double, bull double, persistence double"), "price_forecast": (analytics.forecast_of, "forecast double, direction int, confidence double, volatility double"), "strategy_dna": (analytics.dna_of, "dna array<double>")}
 for _n, (_f, _s) in _PER.items():
     _add(_n, lambda s, d, f=_f, k=_s: analytics.per_symbol(_series(s, d), f, k))
-_add("journal", lambda s, d: analytics.journal(_trips(s, d), sources.li_bars(s, d)))
+_add("journal", lambda s, d: analytics.journal(_trips(s, d), _equity(s, d)))
 _add("trades_page", lambda s, d: analytics.trades_page(_trips(s, d), "winners", sort="pnl", descending=True))
 _add("what_if", lambda s, d: analytics.what_if(_trips(s, d), _scenarios(s)))
 _add("leaderboard", lambda s, d: analytics.leaderboard(simulate.backtest(sources.li_bars(s, d), "goldenCross")))
@@ -323,7 +319,7 @@ _add("low_correlation", lambda s, d: s.createDataFrame([(i, n) for i, n in enume
 _add("correlation_clusters", lambda s, d: s.createDataFrame(analytics.clusters(_over_series(quant.correlation())(s, d)), "symbol string, cluster int"))
 _add("strength_buckets", lambda s, d: analytics.strength_buckets(analytics.consensus(sources.li_bars(s, d))))
 _add("combined_strategies", lambda s, d: analytics.combined(_curves(s, d), "sharpe"))
-_add("strategy_advice", lambda s, d: analytics.advice(_over_series(quant.regimes())(s, d).join(recurrences.apply(sources.li_bars(s, d), ["adx_wilder"]).select("symbol", "ts", F.col("adx_wilder").alias("adx")), ["symbol", "ts"])))
+_add("strategy_advice", lambda s, d: analytics.advice(_over_bars(quant.regimes())(s, d)))
 _add("voting_signal", lambda s, d: analytics.voted(_all_signals(s, d)),
      "SELECT symbol, ts, CAST(CASE WHEN sum(CASE WHEN signal = 1 THEN 1 ELSE 0 END) / count(*) >= 0.5 THEN 1 WHEN sum(CASE WHEN signal = -1 THEN 1 ELSE 0 END) / count(*) >= 0.5 THEN -1 ELSE 0 END AS INT) AS signal FROM ("
      + " UNION ALL ".join(steps.sql(LI, f()) for f in indicators.SIGNALS.values()) + ") GROUP BY symbol, ts")
@@ -333,8 +329,7 @@ _LIMITED = f"""SELECT custkey, orderkey, {limits.verdict()} AS verdict FROM (SEL
 
 
 def _risk_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("orders")
-    return spark.sql(_LIMITED)
+    return steps.query(_LIMITED, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
 
 
 _add("risk_limits", _risk_limits, _LIMITED)

@@ -6,6 +6,7 @@ step share one sort; the same text runs in other SQL engines, which is how the o
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -14,6 +15,14 @@ KEY, TIME = "symbol", "ts"
 OVER = f"PARTITION BY {KEY} ORDER BY {TIME}"
 
 
+def query(text: str, **frames: DataFrame) -> DataFrame:
+    """Runs SQL over frames by the names that the text gives them; no view of the session's is touched."""
+    text = text.replace("{", "{{").replace("}", "}}")
+    for name in frames:
+        text = re.sub(rf"\b{name}\b", f"{{{name}}}", text)
+    return next(iter(frames.values())).sparkSession.sql(text, **frames)
+
+
 def frame(n: int) -> str:
     return f"OVER ({OVER} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 

@@ -5,7 +5,8 @@ Nothing of it is shared with the operators but the presets' conditions, which ar
 from __future__ import annotations
 
 from tidebar.operators.simulate import Rules
-from tidebar.operators.steps import ROW
+from tidebar.operators.steps import NUDGE, ROW
+from tidebar.plans.metrics import NUDGE as metrics_nudge
 from tidebar.plans.presets import Preset
 
 
@@ -142,3 +143,108 @@ def equity(signals: str, rules: Rules) -> str:
 def trades(signals: str, rules: Rules) -> str:
     return f"""WITH RECURSIVE {run(signals, rules)} SELECT symbol, ts, 'BUY' AS side, paid AS price, shares AS quantity, 0e0 AS pnl FROM run WHERE bought = 1
         UNION ALL SELECT symbol, ts, 'SELL', got, lot, pnl FROM run WHERE sold = 1"""
+
+
+def walk(bars: str, prepared: dict[str, str], first: dict[str, str], levels: list[dict[str, str]], out: dict[str, str]) -> str:
+    """A recurrence: `first` gives the state at a symbol's first bar, `levels` the next one from the bar's columns and the
+    state before (p_<name>), level by level; `out` the rounded results. prepared: columns over windows of the bars."""
+    state = list(first)
+    q = f"SELECT b.*, {', '.join(f'x.{c} AS p_{c}' for c in state)} FROM x JOIN n b ON b.symbol = x.symbol AND b.rn = x.rn + 1"
+    for level in levels:
+        q = f"SELECT *, {', '.join(f'{e} AS {c}' for c, e in level.items())} FROM ({q})"
+    n = f"SELECT *, row_number() OVER w AS rn, lag(close) OVER w AS pc FROM ({bars}) WINDOW w AS (PARTITION BY symbol ORDER BY ts)"
+    n = f"SELECT *, CASE WHEN pc IS NULL THEN high - low ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr, CASE WHEN high - lag(high) OVER w > lag(low) OVER w - low AND high > lag(high) OVER w THEN high - lag(high) OVER w ELSE 0 END AS plus, lag(low) OVER w - low AS fall FROM ({n}) WINDOW w AS (PARTITION BY symbol ORDER BY ts)"
+    n = f"SELECT *, CASE WHEN fall > plus AND fall > 0 THEN fall ELSE 0 END AS minus FROM ({n})"
+    if prepared:
+        n = f"SELECT *, {', '.join(f'{e} AS {c}' for c, e in prepared.items())} FROM ({n}) WINDOW w AS (PARTITION BY symbol ORDER BY ts)"
+    results = ", ".join(f"round(CAST({e} AS DOUBLE) + {NUDGE}, 4) + 0e0 AS {c}" for c, e in out.items())
+    return f"""WITH RECURSIVE n AS MATERIALIZED ({n}), x AS (SELECT symbol, rn, {', '.join(f'CAST({e} AS DOUBLE) AS {c}' for c, e in first.items())} FROM n WHERE rn = 1
+        UNION ALL SELECT symbol, rn, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in state)} FROM ({q})) SELECT symbol, ts, {results} FROM n JOIN x USING (symbol, rn)"""
+
+
+def _ema(c: str, value: str, n: int) -> str:
+    return f"{_num(2 / (n + 1))} * ({value}) + {_num((n - 1) / (n + 1))} * p_{c}"
+
+
+def _from(c: str, value: str, n: int) -> str:
+    """An exponential mean that begins where its value is known."""
+    return f"CASE WHEN ({value}) IS NULL THEN p_{c} WHEN p_{c} IS NULL THEN {value} ELSE {_ema(c, value, n)} END"
+
+
+def _wild(c: str, value: str, n: int, at: int, seed: str) -> str:
+    """Wilder's mean, from the seed at bar `at`."""
+    return f"CASE WHEN rn = {at} THEN {seed} WHEN rn > {at} THEN (p_{c} * {n - 1} + {value}) / {n} END"
+
+
+def _seeded(c: str, n: int) -> str:
+    return f"CASE WHEN rn = {n} THEN m{n} WHEN rn > {n} THEN {_ema(c, 'close', n)} END"
+
+
+def _after(guard: int, **out: str) -> dict[str, str]:
+    return {c: f"CASE WHEN rn >= {guard} THEN {e} END" for c, e in out.items()}
+
+
+def _mean(c: str, n: int) -> str:
+    return f"avg({c}) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+
+_RSV = "CASE WHEN rn >= 9 THEN CASE WHEN hh = ll THEN 50 ELSE 100 * (close - ll) / (hh - ll) END END"
+_THIRD = "CASE WHEN ({v}) IS NULL THEN NULL WHEN p_{c} IS NULL THEN {v} ELSE ({v}) / 3 + p_{c} * 2 / 3 END"
+_DX = "100 * abs(sp - sm) / nullif(sp + sm, 0)"
+_FLIP = "(p_bull = 1 AND low < s) OR (p_bull = 0 AND high > s)"
+_BETTER = "CASE WHEN p_bull = 1 THEN greatest(p_ep, high) ELSE least(p_ep, low) END"
+_ON = "(p_way >= 0 AND close >= p_c) OR (p_way < 0 AND close <= p_c)"
+_TURN = "NOT on_ AND ((p_way >= 0 AND move <= -5) OR (p_way < 0 AND move >= 5))"
+
+
+def recurrences(bars: str) -> dict[str, str]:
+    """Of the recurrences with their defaults."""
+    w = lambda *a: walk(bars, *a)
+    e = {"e": "close"}
+    e123 = [{"e1": _ema("e1", "close", 20)}, {"e2": _ema("e2", "e1", 20)}, {"e3": _ema("e3", "e2", 20)}]
+    adl = "sum(CASE WHEN high > low THEN ((close - low) - (high - close)) / (high - low) * volume ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts)"
+    force = "volume * sign(coalesce(high + low + close - lag(high + low + close) OVER w, 0))"
+    found = {
+        "keltner": w({"atr": _mean("tr", 10)}, e, [{"e": _ema("e", "close", 20)}], _after(20, keltner_upper="e + 2 * atr", keltner_middle="e", keltner_lower="e - 2 * atr")),
+        "trix": w({}, {"e1": "close", "e2": "close", "e3": "close", "t": "NULL", "s": "NULL"}, [{"e1": _ema("e1", "close", 15)}, {"e2": _ema("e2", "e1", 15)}, {"e3": _ema("e3", "e2", 15)}, {"t": "100 * (e3 / p_e3 - 1)"}, {"s": _from("s", "t", 9)}], _after(54, trix="t", trix_signal="s")),
+        "dema_tema": w({}, {"e1": "close", "e2": "close", "e3": "close"}, e123, _after(40, dema="2 * e1 - e2") | _after(60, tema="3 * e1 - 3 * e2 + e3")),
+        "elder_ray": w({}, e, [{"e": _ema("e", "close", 13)}], _after(13, bull_power="high - e", bear_power="low - e")),
+        "chaikin": w({"adl": adl}, {"f": "adl", "s": "adl"}, [{"f": _ema("f", "adl", 3), "s": _ema("s", "adl", 10)}], _after(10, chaikin="f - s")),
+        "force_index": w({}, {"f": "NULL"}, [{"f": _from("f", "(close - pc) * volume", 13)}], _after(14, force_index="f")),
+        "kdj": w({"hh": "max(high) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 8 PRECEDING AND CURRENT ROW)", "ll": "min(low) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 8 PRECEDING AND CURRENT ROW)"}, {"k": "NULL", "d": "NULL"}, [{"k": _THIRD.format(v=_RSV, c="k")}, {"d": _THIRD.format(v="k", c="d")}], {"kdj_k": "k", "kdj_d": "d", "kdj_j": "3 * k - 2 * d"}),
+        "klinger": w({"force": force}, {"f": "force", "s": "force", "g": "0"}, [{"f": _ema("f", "force", 34), "s": _ema("s", "force", 55)}, {"g": _ema("g", "f - s", 13)}], {"klinger": "f - s", "klinger_signal": "g"}),
+        "vema": w({"m20": _mean("close", 20)}, {"e": "NULL"}, [{"e": _seeded("e", 20)}], {"vema": "e"}),
+        "vmacd": w({"m12": _mean("close", 12), "m26": _mean("close", 26)}, {"f": "NULL", "s": "NULL", "sum_": "0", "g": "NULL"}, [{"f": _seeded("f", 12), "s": _seeded("s", 26)}, {"sum_": "p_sum_ + CASE WHEN rn BETWEEN 26 AND 34 THEN f - s ELSE 0 END"}, {"g": f"CASE WHEN rn = 34 THEN sum_ / 9 WHEN rn > 34 THEN {_ema('g', 'f - s', 9)} END"}], {"vmacd": "f - s", "vmacd_signal": "g", "vmacd_hist": "f - s - g"}),
+        "adx": w({}, {"t": "tr", "a": "plus", "b_": "minus", "d": "NULL"}, [{"t": _ema("t", "tr", 14), "a": _ema("a", "plus", 14), "b_": _ema("b_", "minus", 14)}, {"sp": "100 * a / nullif(t, 0)", "sm": "100 * b_ / nullif(t, 0)"}, {"d": _from("d", _DX, 14)}], _after(28, adx="d", plus_di="100 * a / nullif(t, 0)", minus_di="100 * b_ / nullif(t, 0)")),
+        "adx_wilder": w({f"m_{c}": _mean(c, 14) for c in ("tr", "plus", "minus")}, {"t": "NULL", "a": "NULL", "b_": "NULL", "sum_": "0", "d": "NULL"}, [{"t": _wild("t", "tr", 14, 15, "m_tr"), "a": _wild("a", "plus", 14, 15, "m_plus"), "b_": _wild("b_", "minus", 14, 15, "m_minus")}, {"dx": "CASE WHEN rn >= 15 THEN coalesce(100 * abs(a - b_) / nullif(a + b_, 0), 0) ELSE 0 END"}, {"sum_": "p_sum_ + CASE WHEN rn <= 28 THEN dx ELSE 0 END"}, {"d": _wild("d", "dx", 14, 28, "sum_ / 14")}], {"adx_wilder": "d"}),
+        "psar": w({}, {"sar": "close", "bull": "1", "af": "0.02", "ep": "high"}, [{"s": "p_sar + p_af * (p_ep - p_sar)"}, {"flip": _FLIP, "better": _BETTER}, {"sar": "CASE WHEN flip THEN p_ep ELSE s END", "bull": "CASE WHEN flip THEN 1 - p_bull ELSE p_bull END", "af": f"CASE WHEN flip THEN {_num(0.02)} WHEN better <> p_ep THEN least(p_af + {_num(0.02)}, {_num(0.2)}) ELSE p_af END", "ep": "CASE WHEN flip AND p_bull = 0 THEN high WHEN flip THEN low ELSE better END"}], _after(2, psar="sar", psar_side="2 * bull - 1")),
+        "supertrend": w({"m_tr": _mean("tr", 10)}, {"a": "NULL", "hi": "NULL", "lo": "NULL", "way": "1"}, [{"a": _wild("a", "tr", 10, 10, "m_tr")}, {"u": "(high + low) / 2 + 3 * a", "d": "(high + low) / 2 - 3 * a"}, {"hi": "CASE WHEN p_hi IS NULL OR u < p_hi OR pc > p_hi THEN u ELSE p_hi END", "lo": "CASE WHEN p_lo IS NULL OR d > p_lo OR pc < p_lo THEN d ELSE p_lo END"}, {"way": "CASE WHEN close > hi THEN 1 WHEN close < lo THEN -1 ELSE p_way END"}], _after(11, supertrend="CASE WHEN way = 1 THEN lo ELSE hi END", supertrend_side="way")),
+    }
+    pivots = w({}, {"at_": "1", "c": "close", "way": "0", "piv": "NULL"}, [{"on_": _ON, "move": "(close - p_c) / p_c * 100"}, {"go": "on_ AND NOT (p_way = 0 AND move < 5)", "turn": _TURN}, {"at_": "CASE WHEN go OR turn THEN rn ELSE p_at_ END", "c": "CASE WHEN go OR turn THEN close ELSE p_c END", "way": "CASE WHEN turn THEN CASE WHEN p_way >= 0 THEN -1 ELSE 1 END WHEN go AND p_way = 0 THEN 1 ELSE p_way END", "piv": "CASE WHEN turn THEN p_at_ END"}], {"rn": "rn", "c": "close", "piv": "piv", "at_": "at_"})
+    found["zigzag"] = f"WITH p AS ({pivots}) SELECT symbol, ts, CASE WHEN rn IN (SELECT piv FROM p q WHERE q.symbol = p.symbol AND piv IS NOT NULL) OR rn = (SELECT arg_max(at_, rn) FROM p q WHERE q.symbol = p.symbol) THEN c END AS zigzag FROM p"
+    return found
+
+
+def regimes(bars: str) -> dict[str, str]:
+    """Market regimes and what follows from them, the windows as lists: tables as a WITH clause over r (symbol, rn, ts, regime, ...)."""
+    back = lambda c, k: f"list({c}) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
+    moved = "list_transform(range(2, len(c14) + 1), lambda i: CAST(c14[i] - c14[i - 1] AS DOUBLE))"
+    tables = f"""a AS (SELECT *, row_number() OVER w AS rn, lag(close) OVER w AS pc, lag(high) OVER w AS ph, lag(low) OVER w AS pl FROM ({bars}) WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+        d AS (SELECT *, if(rn = 1, 0, list_max([high - low, abs(high - pc), abs(low - pc)])) AS tr, if(rn > 1 AND high - ph > greatest(pl - low, 0), high - ph, 0) AS up, if(rn > 1 AND pl - low > greatest(high - ph, 0), pl - low, 0) AS down FROM a),
+        l AS (SELECT symbol, ts, rn, close, pc, {back('close', 50)} AS c50, {back('close', 200)} AS c200, {back('close', 15)} AS c14, {back('close / pc - 1', 20)} AS r20, {back('tr', 14)} AS t14, {back('up', 14)} AS u14, {back('down', 14)} AS d14 FROM d),
+        i AS (SELECT *, list_avg(u14) * 100 / (list_avg(t14) + 1e-10) AS pdi, list_avg(d14) * 100 / (list_avg(t14) + 1e-10) AS mdi, list_sum(list_transform({moved}, lambda x: greatest(x, 0))) AS g, list_sum(list_transform({moved}, lambda x: greatest(-x, 0))) AS s FROM l),
+        j AS (SELECT *, list_stddev_samp(r20) * sqrt(252) AS volatility, 0.3e0 * (close / list_avg(c50) - 1) + 0.3e0 * (close / list_avg(c200) - 1) + 0.4e0 * (list_avg(c50) / list_avg(c200) - 1) AS raw, if(s = 0, 100, g * 100 / (g + s)) AS rsi,
+            {back('abs(pdi - mdi) * 100 / (pdi + mdi + 1e-10)', 14)} AS x14 FROM i),
+        k AS (SELECT symbol, ts, rn, close / pc - 1 AS r, volatility, greatest(least(raw, 1), -1) AS trend, list_avg(x14) AS adx, rsi FROM j WHERE rn >= 200),
+        r AS (SELECT *, CASE WHEN volatility > 0.4e0 THEN 'high_volatility' WHEN abs(trend) <= 0.05e0 THEN 'sideways' ELSE if(abs(trend) > 0.15e0 AND adx > 25, 'strong_', '') || if(trend > 0, 'uptrend', 'downtrend') END AS regime FROM k),
+        t AS (SELECT p.symbol, p.regime, q.regime AS nxt, count(*) AS n, count(*)::DOUBLE / any_value(f.all_) AS p FROM r p JOIN r q ON q.symbol = p.symbol AND q.rn = p.rn + 1 JOIN (SELECT p.symbol, p.regime, count(*) AS all_ FROM r p JOIN r q ON q.symbol = p.symbol AND q.rn = p.rn + 1 GROUP BY ALL) f ON f.symbol = p.symbol AND f.regime = p.regime GROUP BY p.symbol, p.regime, q.regime)"""
+    sure = "CASE WHEN regime = 'high_volatility' THEN 0.8e0 WHEN regime = 'sideways' THEN 0.7e0 WHEN starts_with(regime, 'strong') THEN least(0.9e0, 0.5e0 + abs(trend) + adx / 100) ELSE least(0.85e0, 0.6e0 + 2 * abs(trend)) END"
+    shown = lambda e, c: f"round({e} + {metrics_nudge}, 5) + 0e0 AS {c}"
+    spell = "SELECT symbol, regime, b, count(*) AS k FROM (SELECT *, sum(new) OVER (PARTITION BY symbol ORDER BY rn) AS b FROM (SELECT *, if(regime = lag(regime) OVER (PARTITION BY symbol ORDER BY rn), 0, 1) AS new FROM r)) GROUP BY ALL"
+    return {n: f"WITH {tables} {q}" for n, q in {
+        "market_regimes": f"SELECT symbol, ts, regime, {shown(sure, 'confidence')}, {shown('trend', 'trend')}, {shown('volatility', 'volatility')}, {shown('rsi - 50', 'momentum')}, {shown('adx', 'adx')}, {shown('rsi', 'rsi')} FROM r",
+        "regime_transitions": "SELECT symbol, regime, nxt, n, round(p, 6) AS p FROM t",
+        "regime_stats": f"SELECT symbol, regime, count(*) AS n, {shown('avg(r) * 252', 'annual')}, {shown('stddev_samp(r) * sqrt(252)', 'vol')} FROM r GROUP BY symbol, regime",
+        "regime_forecast": f"SELECT x.symbol, x.regime, z.nxt, round(sum(x.p * y.p * z.p) + {metrics_nudge}, 5) AS p FROM t x JOIN t y ON y.symbol = x.symbol AND y.regime = x.nxt JOIN t z ON z.symbol = x.symbol AND z.regime = y.nxt GROUP BY ALL",
+        "regime_spells": f"SELECT symbol, regime, count(*) AS spells, round(avg(k) + {metrics_nudge}, 4) AS mean_bars, max(k) AS longest FROM ({spell}) GROUP BY symbol, regime",
+    }.items()}

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.functions import stats
+from tidebar.operators import steps
 
 #: Equity and trade frames: equity (symbol, ts, value); round trips (symbol, trade_no, entry_ts, exit_ts, entry_price, exit_price, quantity, pnl, pct).
 
@@ -22,13 +23,15 @@ def round_trips(trades: DataFrame) -> DataFrame:
     return t.select("symbol", no.alias("trade_no"), "entry_ts", F.col("ts").alias("exit_ts"), "entry_price", F.col("price").alias("exit_price"), "quantity", "pnl", (F.col("pnl") / (F.col("entry_price") * F.col("quantity")) * 100).alias("pct"), F.datediff("ts", "entry_ts").alias("days"))
 
 
-def journal(trips: DataFrame, bars: DataFrame) -> DataFrame:
-    """Excursions of each trade while it was open (an interval join within the symbol), R multiple and grade."""
-    b = bars.select(F.col("symbol").alias("s"), "ts", "high", "low")
+def journal(trips: DataFrame, equity: DataFrame) -> DataFrame:
+    """Excursions of the equity (symbol, ts, value) while each trade was open, against its value at entry, in percent (an
+    interval join within the symbol; 0 where fewer than two values lie in it), R multiple and grade."""
+    b = equity.select(F.col("symbol").alias("s"), "ts", "value")
     inside = trips.join(b, (F.col("symbol") == F.col("s")) & F.col("ts").between(F.col("entry_ts"), F.col("exit_ts")), "left")
-    j = inside.groupBy("symbol", "trade_no").agg(F.first("pct").alias("pct"), F.first("pnl").alias("pnl"), F.first("entry_price").alias("paid"), F.max("high").alias("hi"), F.min("low").alias("lo"))
+    j = inside.groupBy("symbol", "trade_no").agg(F.first("pct").alias("pct"), F.first("pnl").alias("pnl"), F.count("value").alias("n"), F.min_by("value", "ts").alias("paid"), F.max("value").alias("hi"), F.min("value").alias("lo"))
     risk = F.avg(F.when(F.col("pct") <= 0, F.abs("pct"))).over(Window.partitionBy("symbol"))
-    j = j.withColumn("mfe", (F.col("hi") / F.col("paid") - 1) * 100).withColumn("mae", (F.col("lo") / F.col("paid") - 1) * 100).withColumn("r", F.col("pct") / F.nullif(risk, F.lit(0.0)))
+    moved = lambda c: F.when((F.col("n") >= 2) & (F.col("paid") != 0), (F.col(c) - F.col("paid")) / F.col("paid") * 100).otherwise(0.0)
+    j = j.withColumn("mfe", F.greatest(moved("hi"), F.lit(0.0))).withColumn("mae", F.least(moved("lo"), F.lit(0.0))).withColumn("r", F.col("pct") / F.nullif(risk, F.lit(0.0)))
     grade = F.when(F.col("r") > 3, "A").when(F.col("r") > 2, "B").when(F.col("r") > 1, "C").when(F.col("r") > 0, "D").otherwise("F")
     return j.select("symbol", "trade_no", "pct", "pnl", "mfe", "mae", "r", grade.alias("grade"), (F.col("pct") / F.nullif(F.col("mfe"), F.lit(0.0))).alias("capture"))
 
@@ -151,7 +154,7 @@ def forecast_of(values: np.ndarray, horizon: int = 5) -> dict:
             s += a * (v - s)
         return s, err
 
-    x = values[-250:]
+    x = values
     if len(x) < 10:
         return {"forecast": float(x[-1]) if len(x) else math.nan, "direction": 0, "confidence": 0.0, "volatility": 0.0}
     flat = min((ses(x, a / 10) for a in range(1, 10)), key=lambda t: t[1])[0]
@@ -170,18 +173,25 @@ def forecast_of(values: np.ndarray, horizon: int = 5) -> dict:
     return {"forecast": point, "direction": int(np.sign(move)) if abs(move) > 0.005 else 0, "confidence": float(np.clip(1 - 2 * parts.std() / abs(parts.mean()), 0, 1)), "volatility": float(np.sqrt(var * 252))}
 
 
-#: Shocks of past crises to a market: name, loss, days. Fixed values.
-CRISES = (("1987", -0.34, 30), ("2000", -0.49, 900), ("2008", -0.57, 500), ("2011", -0.19, 120), ("2020", -0.34, 33), ("2022", -0.25, 280))
+#: Scenarios: a market's return and volatility. Fixed values.
+SCENARIOS = {
+    "covid_crash_2020": (-0.34, 0.80),
+    "financial_crisis_2008": (-0.50, 0.60),
+    "dot_com_crash_2000": (-0.45, 0.40),
+    "flash_crash_2010": (-0.10, 1.50),
+    "mild_correction": (-0.10, 0.25),
+    "severe_bear": (-0.30, 0.50),
+}
 
 
 def stress(series_stats: DataFrame) -> DataFrame:
-    """Closed-form losses of each symbol (symbol, volatility) under past shocks; beta is the volatility against 16 percent, from 0.1 to 5."""
+    """Closed-form losses of each symbol (symbol, volatility) under the scenarios; beta is the volatility against 16 percent, from 0.1 to 5."""
     spark = series_stats.sparkSession
-    shocks = spark.createDataFrame(CRISES, "scenario string, shock double, days int")
+    shocks = spark.createDataFrame([(k, *v) for k, v in SCENARIOS.items()], "scenario string, shock double, market_volatility double")
     beta = F.least(F.greatest(F.col("volatility") / 0.16, F.lit(0.1)), F.lit(5.0))
-    loss = F.greatest(F.col("shock") * beta, F.lit(-1.0))
+    loss = F.greatest(F.col("shock") * beta, F.lit(-0.99))
     grade = F.when(F.col("loss") > -0.1, "A").when(F.col("loss") > -0.2, "B").when(F.col("loss") > -0.35, "C").when(F.col("loss") > -0.5, "D").otherwise("F")
-    return series_stats.crossJoin(F.broadcast(shocks)).select("symbol", "scenario", "days", beta.alias("beta"), loss.alias("loss")).withColumn("recovery", -F.col("loss") / F.nullif(1 + F.col("loss"), F.lit(0.0))).withColumn("grade", grade)
+    return series_stats.crossJoin(F.broadcast(shocks)).select("symbol", "scenario", "market_volatility", beta.alias("beta"), loss.alias("loss")).withColumn("recovery", -F.col("loss") / F.nullif(1 + F.col("loss"), F.lit(0.0))).withColumn("grade", grade)
 
 
 def dna_of(values: np.ndarray) -> dict:
@@ -256,8 +266,7 @@ def _moments(series: DataFrame) -> tuple[pd.Series, np.ndarray]:
     """Annual means by symbol and the covariances: Spark reduces returns to n x n numbers."""
     from tidebar.plans.metrics import RETURNS
 
-    series.createOrReplaceTempView("series")
-    r = series.sparkSession.sql(f"SELECT symbol, ts, r FROM ({RETURNS}) WHERE r IS NOT NULL")
+    r = steps.query(f"SELECT symbol, ts, r FROM ({RETURNS}) WHERE r IS NOT NULL", series=series)
     mom = r.join(r.withColumnRenamed("symbol", "s2").withColumnRenamed("r", "r2"), "ts").groupBy("symbol", "s2").agg((F.covar_samp("r", "r2") * 252).alias("cov"), (F.avg("r") * 252).alias("mean")).toPandas()
     cov = mom.pivot(index="symbol", columns="s2", values="cov").sort_index().sort_index(axis=1)
     return mom[mom.symbol == mom.s2].set_index("symbol")["mean"].sort_index(), cov.to_numpy()
@@ -495,15 +504,15 @@ def voted(signals: DataFrame, share: float = 0.5) -> DataFrame:
 
 #: How sure strategies are in a regime. Fixed values.
 LEARNED = {
-    "strong_up": {"MACD": 0.95, "SMA Cross": 0.85, "Breakout": 0.80},
-    "weak_up": {"SMA Cross": 0.90, "Trend Filter": 0.85, "Mean Reversion": 0.75},
+    "strong_uptrend": {"MACD": 0.95, "SMA Cross": 0.85, "Breakout": 0.80},
+    "uptrend": {"SMA Cross": 0.90, "Trend Filter": 0.85, "Mean Reversion": 0.75},
     "sideways": {"SMA Cross": 0.85, "MACD": 0.75, "Breakout": 0.70},
-    "weak_down": {"Trend Filter": 0.95, "Mean Reversion": 0.80, "Breakout": 0.70},
-    "strong_down": {"Mean Reversion": 0.95, "Trend Filter": 0.85, "Breakout": 0.60},
+    "downtrend": {"Trend Filter": 0.95, "Mean Reversion": 0.80, "Breakout": 0.70},
+    "strong_downtrend": {"Mean Reversion": 0.95, "Trend Filter": 0.85, "Breakout": 0.60},
     "high_volatility": {"MACD": 0.85, "SMA Cross": 0.80, "Mean Reversion": 0.75, "Breakout": 0.70},
 }
 #: Regimes that strategies are made for. Fixed values.
-MADE_FOR = {"SMA Cross": ("weak_up", "strong_up"), "MACD": ("weak_up", "strong_up"), "Breakout": ("strong_up", "strong_down"), "Mean Reversion": ("sideways", "high_volatility"), "Trend Filter": ("weak_up", "sideways")}
+MADE_FOR = {"SMA Cross": ("uptrend", "strong_uptrend"), "MACD": ("uptrend", "strong_uptrend"), "Breakout": ("strong_uptrend", "strong_downtrend"), "Mean Reversion": ("sideways", "high_volatility"), "Trend Filter": ("uptrend", "sideways")}
 
 #: For low and high risk. Fixed values.
 RISK = {"SMA Cross": 0.0, "MACD": 0.0, "Breakout": -0.02, "Mean Reversion": 0.02, "Trend Filter": 0.02}

@@ -49,11 +49,21 @@ def entropy(bins: int = 16) -> str:
 
 
 def regimes() -> str:
-    """Market regime of every bar from the 200th on, in one pass: high volatility, then strong and weak trends."""
-    mean = lambda n: f"avg(value) OVER ({DAY} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-    base = f"SELECT symbol, ts, value, r, rn, {mean(50)} AS m50, {mean(200)} AS m200, stddev_samp(r) OVER ({DAY} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) * sqrt(252) AS vol FROM ({RETURNS})"
-    trend = "greatest(-1, least(1, 0.3 * (value / nullif(m50, 0) - 1) + 0.3 * (value / nullif(m200, 0) - 1) + 0.4 * (m50 / nullif(m200, 0) - 1)))"
-    return f"SELECT symbol, ts, r, CASE WHEN vol > 0.4 AND abs({trend}) < 0.05 THEN 'high_volatility' WHEN {trend} > 0.15 THEN 'strong_up' WHEN {trend} > 0.05 THEN 'weak_up' WHEN {trend} < -0.15 THEN 'strong_down' WHEN {trend} < -0.05 THEN 'weak_down' ELSE 'sideways' END AS regime FROM ({base}) WHERE rn >= 200"
+    """Market regime of every bar from the 200th on, from `bars`: volatility above 40 percent a year first, then trends,
+    strong ones where the directional index is above 25, else sideways; with confidence and the numbers behind it."""
+    last = lambda agg, c, n: f"{agg}({c}) OVER ({DAY} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    step = f"SELECT symbol, ts, close, high, low, row_number() OVER ({DAY}) AS rn, lag(close) OVER ({DAY}) AS pc, high - lag(high) OVER ({DAY}) AS up, lag(low) OVER ({DAY}) - low AS down FROM bars"
+    step = f"SELECT *, close / nullif(pc, 0) - 1 AS r, CASE WHEN pc IS NULL THEN 0e0 ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr, CASE WHEN up > down AND up > 0 THEN up ELSE 0e0 END AS plus, CASE WHEN down > up AND down > 0 THEN down ELSE 0e0 END AS minus, CASE WHEN close > pc THEN close - pc ELSE 0e0 END AS gain, CASE WHEN close < pc THEN pc - close ELSE 0e0 END AS loss FROM ({step})"
+    step = f"SELECT *, {last('avg', 'close', 50)} AS m50, {last('avg', 'close', 200)} AS m200, {last('stddev_samp', 'r', 20)} * sqrt(252) AS volatility, 100 * {last('avg', 'plus', 14)} / ({last('avg', 'tr', 14)} + 1e-10) AS pdi, 100 * {last('avg', 'minus', 14)} / ({last('avg', 'tr', 14)} + 1e-10) AS mdi, {last('avg', 'gain', 14)} AS g, {last('avg', 'loss', 14)} AS l FROM ({step})"
+    step = f"SELECT *, 100 * abs(pdi - mdi) / (pdi + mdi + 1e-10) AS dx, greatest(-1e0, least(1e0, 0.3e0 * (close - m50) / m50 + 0.3e0 * (close - m200) / m200 + 0.4e0 * (m50 - m200) / m200)) AS trend, CASE WHEN l = 0 THEN 100e0 ELSE 100 - 100 / (1 + g / l) END AS rsi FROM ({step})"
+    step = f"SELECT *, {last('avg', 'dx', 14)} AS adx FROM ({step})"
+    regime = "CASE WHEN volatility > 0.4e0 THEN 'high_volatility' WHEN trend > 0.15e0 AND adx > 25 THEN 'strong_uptrend' WHEN trend > 0.05e0 THEN 'uptrend' WHEN trend < -0.15e0 AND adx > 25 THEN 'strong_downtrend' WHEN trend < -0.05e0 THEN 'downtrend' ELSE 'sideways' END"
+    sure = "CASE WHEN regime = 'high_volatility' THEN 0.8e0 WHEN regime LIKE 'strong%' THEN least(0.9e0, 0.5e0 + abs(trend) + adx / 100) WHEN regime = 'sideways' THEN 0.7e0 ELSE least(0.85e0, 0.6e0 + abs(trend) * 2) END"
+    return f"SELECT symbol, ts, r, regime, {sure} AS confidence, trend, volatility, rsi - 50 AS momentum, adx, rsi FROM (SELECT *, {regime} AS regime FROM ({step}) WHERE rn >= 200)"
+
+
+def market_regimes() -> str:
+    return f"SELECT symbol, ts, regime, {', '.join(f'round({c} + {NUDGE}, 5) + 0e0 AS {c}' for c in ('confidence', 'trend', 'volatility', 'momentum', 'adx', 'rsi'))} FROM ({regimes()})"
 
 
 def transitions() -> str:
@@ -62,7 +72,7 @@ def transitions() -> str:
 
 
 def regime_stats() -> str:
-    return f"SELECT symbol, regime, CAST(count(*) AS BIGINT) AS n, round(avg(r) * 252, 6) AS annual, round(stddev_samp(r) * sqrt(252), 6) AS vol FROM ({regimes()}) GROUP BY symbol, regime"
+    return f"SELECT symbol, regime, CAST(count(*) AS BIGINT) AS n, round(avg(r) * 252 + {NUDGE}, 5) AS annual, round(stddev_samp(r) * sqrt(252) + {NUDGE}, 5) AS vol FROM ({regimes()}) GROUP BY symbol, regime"
 
 
 def forward_accuracy(n: int = 10) -> str:
