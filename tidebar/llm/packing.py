@@ -10,9 +10,11 @@ each piece finds its place from its length and its number among the pieces of th
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,15 +28,15 @@ SIZE = 2048
 END = 0
 TOKENIZER = "byte_bpe_50k.json"
 _SPACED = re.compile(r"\s |\s$")
-#: Units that may be asked for together: no white space, no added token.
-_PLAIN = re.compile(r"[!-;=-~\u00a1-\u167f]+")
 #: Pieces of one length that are numbered together, about: a frequent length is many buckets.
 BUCKET = 500
 
 
+#: Characters of texts that are encoded together, about.
+GROUP = 2_000_000
 #: Characters up to which a unit's ids are remembered, and how many units are.
 UNIT = 48
-UNITS = 400_000
+UNITS = 1_000_000
 
 
 @lru_cache(maxsize=1)
@@ -73,7 +75,7 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, fresh: list[str]) -> None:
-        """One text of all units; a token belongs to the unit that its offset lies in."""
+        """Asks for all units in one text; a token belongs to the unit that its offset lies in. Units must not end in white space."""
         found = self.tokenizer.encode("".join([" " + u for u in fresh]), add_special_tokens=False)
         starts = np.cumsum([0] + [len(u) + 1 for u in fresh])
         ids = np.array(found.ids, "<u4")
@@ -81,24 +83,25 @@ class Encoder:
         for u, i, j in zip(fresh, at, at[1:]):
             self.known[u] = ids[i:j].tobytes()
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a text, as uint32."""
-        known = self.known
-        if len(known) > UNITS:
-            known.clear()
-        first, *rest = units(text)
-        fresh, long = [], {}
-        for u in set(rest).difference(known):
-            if len(u) > UNIT:
-                long[u] = self._ids(" " + u)
-            elif _PLAIN.fullmatch(u):
-                fresh.append(u)
-            else:
-                known[u] = self._ids(" " + u)
-        if fresh:
-            self._learn(fresh)
-        find = known.__getitem__ if not long else lambda u: long[u] if u in long else known[u]
-        return np.frombuffer(b"".join([self._ids(first), *map(find, rest)]), "<u4")
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, as uint32."""
+        if len(self.known) > UNITS:  # those that came first recur most
+            self.known = dict(itertools.islice(self.known.items(), UNITS // 2))
+        known, parted, fresh = self.known, [], set()
+        for text in texts:
+            first, *rest = units(text)
+            found = list(map(known.get, rest))
+            if None in found:
+                fresh.update([u for u, x in zip(rest, found) if x is None])
+            parted.append((first, rest, found))
+        long = {u: self._ids(" " + u) for u in fresh if len(u) > UNIT or not u or u[-1].isspace()}
+        self._learn(list(fresh.difference(long)))
+        out = []
+        for first, rest, found in parted:
+            if None in found:
+                found = [x if x is not None else long[u] if u in long else known[u] for u, x in zip(rest, found)]
+            out.append(np.frombuffer(b"".join([self._ids(first), *found]), "<u4"))
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -106,13 +109,24 @@ def encoder(file: str = TOKENIZER) -> Encoder:
     return Encoder(file)
 
 
+def _encoded(texts: pa.Array, ids_of) -> Iterator[np.ndarray]:
+    held, size = [], 0
+    for text in texts:
+        held.append(text.as_py())
+        size += len(held[-1])
+        if size >= GROUP:
+            yield from ids_of(held)
+            held, size = [], 0
+    yield from ids_of(held)
+
+
 def _pieces(size: int, file: str):
     def run(batches):
         ids_of = encoder(file).encode
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = np.append(ids_of(text.as_py()), np.uint32(END))
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), _encoded(batch.column("text"), ids_of)):
+                ids = np.append(ids, np.uint32(END))
                 first = len(ids) % size or size
                 start, stop, k = 0, min(first, len(ids)), 0
                 while start < len(ids):
