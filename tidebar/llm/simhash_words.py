@@ -43,11 +43,19 @@ def shingle_set(data: bytes, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def parities(s: np.ndarray) -> np.ndarray:
-    """Bits of which two sets differ in at most as many as their difference has elements."""
-    bits = (np.bincount((s % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1).astype(np.uint8)
+    """A bit for each shingle at least (a power of two of them): two sets differ in as many bits as their difference has
+    elements, or in fewer. Parities of different lengths are compared by folding the longer one."""
+    size = 64 * PARITIES
+    while size < len(s):
+        size *= 2
+    bits = (np.bincount((s % np.uint64(size)).astype(np.int64), minlength=size) & 1).astype(np.uint8)
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
+def folded(parity: np.ndarray, longs: int = PARITIES) -> np.ndarray:
+    return np.bitwise_xor.reduce(parity.reshape(-1, longs), axis=0)
+
+
 def prefix(s: np.ndarray, similarity: float, frequent: np.ndarray, often: np.ndarray) -> np.ndarray:
     """The shingles of which a similar set has one in its own prefix, the rarest first. frequent: shingles in order; often: their counts."""
     if not len(s):
@@ -74,17 +82,19 @@ def _shingles(shingle: int):
 
 
 def _prefixes(shingle: int, similarity: float, frequent: np.ndarray, often: np.ndarray):
+    """A row for each shingle of a text's prefix; a text that comes again in the same task is left out."""
+
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            out = []
-            for tid, t in zip(batch.column("tid").to_pylist(), batch.column("text")):
-                if tid not in seen:
-                    seen.add(tid)
-                    s = shingle_set(t.as_buffer().to_pybytes(), shingle)
-                    out.append((tid, len(s), parities(s), prefix(s, similarity, frequent, often)))
-            tid, n, parity, first = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(tid, pa.int64()), pa.array(n, pa.int32()), _lists(list(parity)), _lists(list(first))], names=["tid", "n", "parity", "prefix"])
+            tid, keys = [], []
+            for t, text in zip(batch.column("tid").to_pylist(), batch.column("text")):
+                if t not in seen:
+                    seen.add(t)
+                    keys.append(prefix(shingle_set(text.as_buffer().to_pybytes(), shingle), similarity, frequent, often))
+                    tid.append(t)
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(tid, np.int64), [len(k) for k in keys]))], names=["key", "tid"])
 
     return run
 
@@ -203,29 +213,71 @@ def unlinked_pairs(members: DataFrame, similarity: float = SIMILARITY, tile: int
     return out.distinct()
 
 
-def _frequent(docs: DataFrame, n_texts: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that recur in a sample of the texts, in order, and in how many of its texts."""
-    sample = docs.where(F.pmod("tid", F.lit(max(1, n_texts // SAMPLE))) == 0).dropDuplicates(["tid"]).mapInArrow(_shingles(shingle), "tid long, shingles array<long>")
+def _first(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """tid and text of the texts in `asked` (tid, first: the least id), as a rule one row each."""
+    asked = cut(asked.select(F.col("tid").alias("t"), "first"), "asked")
+    return docs.join(small(asked, asked.count()), (F.col("tid") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").select("tid", "text")
+
+
+def _frequent(docs: DataFrame, nodes: DataFrame, n_texts: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that recur in a sample of the texts, in order, and in how many of its texts. They only order the shingles."""
+    sample = _first(docs, nodes.where(F.pmod("tid", F.lit(max(1, n_texts // SAMPLE))) == 0)).mapInArrow(_shingles(shingle), "tid long, shingles array<long>")
     counts = sample.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.col("n").desc(), "s").limit(FREQUENT).toArrow()
     s, n = counts.column("s").to_numpy().view(np.uint64), counts.column("n").to_numpy()
     order = np.argsort(s)
     return s[order], n[order]
 
 
+def _bounded(similarity: float):
+    """Pairs (a, m, x; b, n, y) whose parities leave it open that they are similar."""
+
+    def run(batches):
+        for batch in batches:
+            xs, ys = batch.column("x"), batch.column("y")
+            most = (batch.column("m").to_numpy().astype(float) + batch.column("n").to_numpy()) * (1 - similarity) / (1 + similarity) + 1e-9
+            keep = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                x, y = xs[i].values.to_numpy().view(np.uint64), ys[i].values.to_numpy().view(np.uint64)  # set bits of negative numbers count otherwise
+                longs = min(len(x), len(y))
+                keep[i] = np.bitwise_count(folded(x, longs) ^ folded(y, longs)).sum() <= most[i]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
+
+    return run
+
+
+def _equal_enough(similarity: float, shingle: int):
+    """Pairs (a, b, x, y: their texts) whose shingle sets are similar."""
+
+    def run(batches):
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
+                p, q = (shingle_set(t.as_buffer().to_pybytes(), shingle) for t in (x, y))
+                shared = len(np.intersect1d(p, q, assume_unique=True))
+                keep[i] = shared >= similarity * (len(p) + len(q) - shared)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
+
+    return run
+
+
 def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
-    asked = cut(pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).distinct().join(nodes.select("tid", "first"), "tid").select(F.col("tid").alias("t"), "first"), "asked")
-    one = docs.join(small(asked, asked.count()), (F.col("tid") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
-    sets = cut(one.select("tid", "text").mapInArrow(_shingles(shingle), "tid long, shingles array<long>").dropDuplicates(["tid"]), "sets")
-    both = pairs.join(sets.select(F.col("tid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("tid").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    """The pairs (a, b) whose sets are similar. Parities part most that aren't; the texts of the rest meet."""
+    wide = lambda side, n, x: nodes.select(F.col("tid").alias(side), F.col("n").alias(n), F.col("wide").alias(x))
+    near = pairs.join(wide("a", "m", "x"), "a").join(wide("b", "n", "y"), "b").mapInArrow(_bounded(similarity), "a long, b long")
+    near = cut(near, "near")
+    one = _first(docs, nodes.join(near.select(F.col("a").alias("tid")).union(near.select("b")).distinct(), "tid", "left_semi"))
+    both = near.join(one.select(F.col("tid").alias("a"), F.col("text").alias("x")), "a").join(one.select(F.col("tid").alias("b"), F.col("text").alias("y")), "b")
+    return cut(both.mapInArrow(_equal_enough(similarity, shingle), "a long, b long").distinct(), "alike")
 
 
-def _scan(batches):
-    for batch in batches:
-        fp = np.array([simhash.fingerprint(t.as_buffer().to_pybytes()) for t in batch.column("text")], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tid"), batch.column("name"), pa.array(fp.view(np.int64))], names=["doc_id", "tid", "name", "fp"])
+def _scan(shingle: int):
+    def run(batches):
+        for batch in batches:
+            fp = np.array([simhash.fingerprint(t.as_buffer().to_pybytes()) for t in batch.column("text")], np.uint64)
+            sets = [shingle_set(t.as_buffer().to_pybytes(), shingle) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "tid", "name")), pa.array(fp.view(np.int64)), pa.array([len(x) for x in sets], pa.int32()), _lists([parities(x) for x in sets])], names=["doc_id", "tid", "name", "fp", "n", "wide"])
+
+    return run
 
 
 def similar_groups(documents: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:
@@ -235,18 +287,18 @@ def similar_groups(documents: DataFrame, similarity: float = SIMILARITY, shingle
     near_duplicates has it). documents: doc_id, text (extra columns are ignored). Equal texts are one; null texts are
     empty; texts without words are linked with each other; an empty table gives no rows."""
     docs = keyed(texts(documents))
-    scan = cut(docs.withColumn("name", text_name(F.col("text"))).mapInArrow(_scan, "doc_id long, tid long, name string, fp long"), "fingerprints")
-    nodes = cut(scan.groupBy("tid").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")), "texts")
+    scan = cut(docs.withColumn("name", text_name(F.col("text"))).mapInArrow(_scan(shingle), "doc_id long, tid long, name string, fp long, n int, wide array<long>"), "fingerprints")
+    nodes = cut(scan.groupBy("tid").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("wide").alias("wide")), "texts")
     fps = cut(nodes.groupBy("fp").agg(F.min("tid").alias("tid")), "distinct")
     roots = simhash.components(simhash.links(fps.select("fp")))
     strict = fps.join(roots, fps.fp == roots.node).join(fps.select(F.col("fp").alias("root"), F.col("tid").alias("b")), "root").select(F.col("tid").alias("a"), "b")
     same = nodes.select("tid", "fp").join(fps.select("fp", F.col("tid").alias("b")), "fp").where("tid <> b").select(F.col("tid").alias("a"), "b")
 
-    prefixes = docs.mapInArrow(_prefixes(shingle, similarity, *_frequent(docs, nodes.count(), shingle)), "tid long, n int, parity array<long>, prefix array<long>")
-    prefixes = cut(prefixes, "prefixes")
-    filed = prefixes.select(F.explode("prefix").alias("key"), "tid").repartition("key").sortWithinPartitions("key", F.xxhash64("tid", F.pmod("key", F.lit(ORDERS))), "tid")
+    filed = docs.mapInArrow(_prefixes(shingle, similarity, *_frequent(docs, nodes, nodes.count(), shingle)), "key long, tid long")
+    filed = filed.repartition("key").sortWithinPartitions("key", F.xxhash64("tid", F.pmod("key", F.lit(ORDERS))), "tid")
     recurring = cut(filed.mapInArrow(_recurring, "key long, tid long, near long"), "recurring")
-    info = cut(prefixes.select("tid", "n", "parity").dropDuplicates(["tid"]).join(recurring.select("tid").distinct(), "tid", "left_semi"), "sizes")
+    small_parity = F.transform(F.sequence(F.lit(0), F.lit(PARITIES - 1)), lambda i: F.aggregate(F.filter("wide", lambda _, j: j % PARITIES == i), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)))
+    info = cut(nodes.join(recurring.select("tid").distinct(), "tid", "left_semi").select("tid", "n", small_parity.alias("parity")), "sizes")
     near = recurring.where("near is not null").select(F.least("tid", "near").alias("a"), F.greatest("tid", "near").alias("b")).distinct()
     near = near.join(info.select(F.col("tid").alias("a"), F.col("n").alias("m"), F.col("parity").alias("x")), "a").join(info.select(F.col("tid").alias("b"), "n", F.col("parity").alias("y")), "b")
     apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, c: a + c)
