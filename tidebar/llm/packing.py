@@ -36,7 +36,7 @@ BUCKET = 500
 GROUP = 2_000_000
 #: Characters up to which a unit's ids are remembered, and how many units are.
 UNIT = 48
-UNITS = 1_000_000
+UNITS = 300_000
 
 
 @lru_cache(maxsize=1)
