@@ -226,7 +226,7 @@ def test_packing(spark, docs):
 
 
 def test_ids_are_the_tokenizers():
-    tok, enc, r = packing._tokenizer(packing.TOKENIZER), packing.encoder(), random.Random(8)
+    tok, enc, r = packing._tokenizer(packing.TOKENIZER), packing.Encoder(), random.Random(8)
     assert 50256 in tok.encode("a<|endoftext|>b", add_special_tokens=False).ids
     parts = [" ", "  ", "\n", "\t", " ", "\x85", "\x1c", "\u3000", "a", "b", "\u00e9", "e\u0301", "\u4f60", "1", "'s", "'", "!", "<|endoftext|>", "<|endof", "text|>", "\u200b", "\ufeff", "\U0001f600", "\r\n", "A'll", " '", "-", "word" * 20]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(4000)] + [" " * 100_000 + "x", "one two " * 300_000, "x" * 5000]
@@ -238,7 +238,7 @@ def test_search_saves_sequences_of_the_tables():
     import pyarrow.parquet as pq
 
     texts = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()]
-    lengths = [len(i) + 1 for i in packing.encoder().encode(texts)]
+    lengths = [len(i) + 1 for i in packing.Encoder().encode(texts)]
     counts = Counter(x % 2048 or 2048 for x in lengths) + Counter({2048: sum((x - 1) // 2048 for x in lengths)})
     first = packing.best_fit(counts, 2048)
     assert sum(packing.local_search(first, 2048).values()) < sum(first.values())

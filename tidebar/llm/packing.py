@@ -33,10 +33,10 @@ BUCKET = 500
 
 
 #: Characters of texts that are encoded together, about.
-GROUP = 2_000_000
+GROUP = 1_000_000
 #: Characters up to which a unit's ids are remembered, and how many units are.
 UNIT = 48
-UNITS = 300_000
+UNITS = 200_000
 
 
 @lru_cache(maxsize=1)
@@ -104,11 +104,6 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=1)
-def encoder(file: str = TOKENIZER) -> Encoder:
-    return Encoder(file)
-
-
 def _encoded(texts: pa.Array, ids_of) -> Iterator[np.ndarray]:
     held, size = [], 0
     for text in texts:
@@ -122,7 +117,7 @@ def _encoded(texts: pa.Array, ids_of) -> Iterator[np.ndarray]:
 
 def _pieces(size: int, file: str):
     def run(batches):
-        ids_of = encoder(file).encode
+        ids_of = Encoder(file).encode  # a task's own: workers live on, and shall not keep what it remembers
         for batch in batches:
             out: list[tuple] = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), _encoded(batch.column("text"), ids_of)):

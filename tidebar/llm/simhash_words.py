@@ -75,8 +75,9 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
 def _shingles(shingle: int):
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t.as_buffer().to_pybytes(), shingle) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("tid"), _lists(sets)], names=["tid", "shingles"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                yield pa.RecordBatch.from_arrays([part.column("tid"), _lists([shingle_set(t.as_buffer().to_pybytes(), shingle) for t in part.column("text")])], names=["tid", "shingles"])
 
     return run
 
@@ -274,8 +275,12 @@ def _scan(shingle: int):
     def run(batches):
         for batch in batches:
             fp = np.array([simhash.fingerprint(t.as_buffer().to_pybytes()) for t in batch.column("text")], np.uint64)
-            sets = [shingle_set(t.as_buffer().to_pybytes(), shingle) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "tid", "name")), pa.array(fp.view(np.int64)), pa.array([len(x) for x in sets], pa.int32()), _lists([parities(x) for x in sets])], names=["doc_id", "tid", "name", "fp", "n", "wide"])
+            sizes, wide = [], []  # not the sets themselves
+            for t in batch.column("text"):
+                s = shingle_set(t.as_buffer().to_pybytes(), shingle)
+                sizes.append(len(s))
+                wide.append(parities(s))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "tid", "name")), pa.array(fp.view(np.int64)), pa.array(sizes, pa.int32()), _lists(wide)], names=["doc_id", "tid", "name", "fp", "n", "wide"])
 
     return run
 
