@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidebar.llm import chat, language_id, pii, secrets, simhash_words, spans
+from tidebar.llm import chat, language_id, packing, pii, secrets, simhash_words, spans
 
 
 def test_contexts_come_from_the_text(spark):
@@ -146,3 +146,13 @@ def test_stages_with_clashing_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         odd = stage(spark, odd, "")
         assert odd.columns[: len(docs.columns)] == docs.columns and odd.count() > 0
+
+
+def test_ids_of_lines_and_added_tokens():
+    rnd, parts = random.Random(1), ["a", "B7", " ", "  ", "\n", "\n\n", "\t", "\r", "é", "日本", " ", "　", "​", "\x85", "\x1c", "<|endoftext|>", "<|", "'s", "!!", "word", "😀", "\x00", "́"]
+    texts = ["".join(rnd.choices(parts, k=rnd.randrange(40))) for _ in range(4000)]
+    plain, encoder = packing._tokenizer(packing.TOKENIZER), packing.Encoder()
+    for at in range(0, len(texts), 100):
+        for text, ids in zip(texts[at : at + 100], encoder.encode(texts[at : at + 100]), strict=True):
+            assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert encoder.encode([]) == []

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import bisect
 import itertools
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -44,6 +45,7 @@ def _tokenizer(file: str):
     import public_tokenizers
     from tokenizers import Tokenizer
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     return Tokenizer.from_file(public_tokenizers.path(file))
 
 
@@ -70,18 +72,22 @@ class Encoder:
     def __init__(self, file: str = TOKENIZER):
         self.tokenizer = _tokenizer(file)
         self.known: dict[str, bytes] = {}
+        (self.line,) = self._all(["\n"])[0].ids
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.alone = re.compile("|".join(["\n", *added])).search
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _all(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
     def _learn(self, fresh: list[str]) -> None:
-        """Asks for all units in one text; a token belongs to the unit that its offset lies in. Units must not end in white space."""
-        found = self.tokenizer.encode("".join([" " + u for u in fresh]), add_special_tokens=False)
-        starts = np.cumsum([0] + [len(u) + 1 for u in fresh])
+        """Asks for all units in one text, a line each: no piece spans an end of line and a space before a character. Units
+        must not be empty, end in white space, nor hold ends of lines or added tokens."""
+        (found,) = self._all(["".join([f" {u}\n" for u in fresh])])
         ids = np.array(found.ids, "<u4")
-        at = np.searchsorted(np.array([s for s, _ in found.offsets], np.int64), starts).tolist()
-        for u, i, j in zip(fresh, at, at[1:]):
-            self.known[u] = ids[i:j].tobytes()
+        raw, at = ids.tobytes(), 0
+        for u, end in zip(fresh, (4 * np.flatnonzero(ids == self.line)).tolist(), strict=True):
+            self.known[u] = raw[at:end]
+            at = end + 4
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as uint32."""
@@ -94,13 +100,17 @@ class Encoder:
             if None in found:
                 fresh.update([u for u, x in zip(rest, found) if x is None])
             parted.append((first, rest, found))
-        long = {u: self._ids(" " + u) for u in fresh if len(u) > UNIT or not u or u[-1].isspace()}
-        self._learn(list(fresh.difference(long)))
+        single = [u for u in fresh if len(u) > UNIT or not u or u[-1].isspace() or self.alone(u)]
+        firsts = [first for first, _, _ in parted]
+        asked = self._all([*firsts, *(" " + u for u in single)])
+        ids = [np.array(x.ids, "<u4").tobytes() for x in asked]
+        single = dict(zip(single, ids[len(firsts) :]))
+        self._learn(list(fresh.difference(single)))
         out = []
-        for first, rest, found in parted:
+        for first, (_, rest, found) in zip(ids, parted):
             if None in found:
-                found = [x if x is not None else long[u] if u in long else known[u] for u, x in zip(rest, found)]
-            out.append(np.frombuffer(b"".join([self._ids(first), *found]), "<u4"))
+                found = [x if x is not None else single[u] if u in single else known[u] for u, x in zip(rest, found)]
+            out.append(np.frombuffer(b"".join([first, *found]), "<u4"))
         return out
 
 
