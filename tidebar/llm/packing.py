@@ -28,7 +28,6 @@ from tidebar.llm.common import cut, texts
 SIZE = 2048
 END = 0
 TOKENIZER = "byte_bpe_50k.json"
-_SPACED = re.compile(r"\s |\s$")
 #: Pieces of one length that are numbered together, about: a frequent length is many buckets.
 BUCKET = 500
 
@@ -54,11 +53,8 @@ def units(text: str) -> list[str]:
 
     The tokenizer's pieces never go from another character to a space, so that a text may be parted before every space
     that doesn't follow white space, and the units' ids one after another are the text's."""
-    parts = text.split(" ")
-    if not _SPACED.search(text) and parts[0]:
-        return parts
     out, held = [], []
-    for p in parts:
+    for p in text.split(" "):
         held.append(p)
         if p and not p[-1].isspace():
             out.append(" ".join(held))
@@ -66,8 +62,13 @@ def units(text: str) -> list[str]:
     return out + [" ".join(held)] if held else out
 
 
+def _open(unit: str) -> bool:
+    """Whether a space behind the unit belongs to it."""
+    return not unit or unit[-1].isspace()
+
+
 class Encoder:
-    """Ids of texts by the tokenizer, asked once for units that recur."""
+    """Ids of texts by the tokenizer, asked once for texts that come together and for units that recur."""
 
     def __init__(self, file: str = TOKENIZER):
         self.tokenizer = _tokenizer(file)
@@ -93,25 +94,29 @@ class Encoder:
         """Ids of each text, as uint32."""
         if len(self.known) > UNITS:  # those that came first recur most
             self.known = dict(itertools.islice(self.known.items(), UNITS // 2))
-        known, parted, fresh = self.known, [], set()
-        for text in texts:
-            first, *rest = units(text)
+        known, parted, fresh = self.known, {}, set()
+        for text in dict.fromkeys(texts):
+            first, *rest = text.split(" ")
             found = list(map(known.get, rest))
-            if None in found:
-                fresh.update([u for u, x in zip(rest, found) if x is None])
-            parted.append((first, rest, found))
-        single = [u for u in fresh if len(u) > UNIT or not u or u[-1].isspace() or self.alone(u)]
-        firsts = [first for first, _, _ in parted]
+            new = [u for u, x in zip(rest, found) if x is None]
+            if _open(first) or any(map(_open, new)):  # what is known isn't
+                first, *rest = units(text)
+                found = list(map(known.get, rest))
+                new = [u for u, x in zip(rest, found) if x is None]
+            fresh.update(new)
+            parted[text] = first, rest, found
+        single = [u for u in fresh if len(u) > UNIT or _open(u) or self.alone(u)]
+        firsts = [first for first, _, _ in parted.values()]
         asked = self._all([*firsts, *(" " + u for u in single)])
         ids = [np.array(x.ids, "<u4").tobytes() for x in asked]
         single = dict(zip(single, ids[len(firsts) :]))
         self._learn(list(fresh.difference(single)))
-        out = []
-        for first, (_, rest, found) in zip(ids, parted):
+        out = {}
+        for first, (text, (_, rest, found)) in zip(ids, parted.items()):
             if None in found:
                 found = [x if x is not None else single[u] if u in single else known[u] for u, x in zip(rest, found)]
-            out.append(np.frombuffer(b"".join([first, *found]), "<u4"))
-        return out
+            out[text] = np.frombuffer(b"".join([first, *found]), "<u4")
+        return [out[text] for text in texts]
 
 
 def _encoded(texts: pa.Array, ids_of) -> Iterator[np.ndarray]:
