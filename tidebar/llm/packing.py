@@ -36,7 +36,7 @@ BUCKET = 500
 GROUP = 1_000_000
 #: Characters up to which a unit's ids are remembered, and how many units are.
 UNIT = 48
-UNITS = 200_000
+UNITS = 400_000
 
 
 @lru_cache(maxsize=1)
@@ -62,11 +62,6 @@ def units(text: str) -> list[str]:
     return out + [" ".join(held)] if held else out
 
 
-def _open(unit: str) -> bool:
-    """Whether a space behind the unit belongs to it."""
-    return not unit or unit[-1].isspace()
-
-
 class Encoder:
     """Ids of texts by the tokenizer, asked once for texts that come together and for units that recur."""
 
@@ -85,37 +80,30 @@ class Encoder:
         must not be empty, end in white space, nor hold ends of lines or added tokens."""
         (found,) = self._all(["".join([f" {u}\n" for u in fresh])])
         ids = np.array(found.ids, "<u4")
-        raw, at = ids.tobytes(), 0
-        for u, end in zip(fresh, (4 * np.flatnonzero(ids == self.line)).tolist(), strict=True):
-            self.known[u] = raw[at:end]
-            at = end + 4
+        raw, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.line)).tolist()
+        starts = [0, *(end + 4 for end in ends)]
+        self.known.update(zip(fresh, [raw[i:j] for i, j in zip(starts, ends)], strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as uint32."""
         if len(self.known) > UNITS:  # those that came first recur most
             self.known = dict(itertools.islice(self.known.items(), UNITS // 2))
-        known, parted, fresh = self.known, {}, set()
-        for text in dict.fromkeys(texts):
-            first, *rest = text.split(" ")
-            found = list(map(known.get, rest))
-            new = [u for u, x in zip(rest, found) if x is None]
-            if _open(first) or any(map(_open, new)):  # what is known isn't
-                first, *rest = units(text)
-                found = list(map(known.get, rest))
-                new = [u for u, x in zip(rest, found) if x is None]
-            fresh.update(new)
-            parted[text] = first, rest, found
-        single = [u for u in fresh if len(u) > UNIT or _open(u) or self.alone(u)]
-        firsts = [first for first, _, _ in parted.values()]
-        asked = self._all([*firsts, *(" " + u for u in single)])
-        ids = [np.array(x.ids, "<u4").tobytes() for x in asked]
-        single = dict(zip(single, ids[len(firsts) :]))
+        known = self.known
+        parted = {text: text.split(" ") for text in dict.fromkeys(texts)}
+        fresh = set().union(*parted.values()).difference(known)
+        if wide := {u for u in fresh if not u or u[-1].isspace()}:  # a space behind them is theirs; none is known
+            parted = {text: parts if wide.isdisjoint(parts) else units(text) for text, parts in parted.items()}
+            fresh = set().union(*parted.values()).difference(known)
+        single = [u for u in fresh if len(u) > UNIT or not u or u[-1].isspace() or self.alone(u)]
+        found = self._all([*(parts[0] for parts in parted.values()), *(" " + u for u in single)])
+        ids = [np.array(x.ids, "<u4").tobytes() for x in found]
         self._learn(list(fresh.difference(single)))
+        known.update(zip(single, ids[len(parted) :]))
         out = {}
-        for first, (text, (_, rest, found)) in zip(ids, parted.items()):
-            if None in found:
-                found = [x if x is not None else single[u] if u in single else known[u] for u, x in zip(rest, found)]
-            out[text] = np.frombuffer(b"".join([first, *found]), "<u4")
+        for first, (text, parts) in zip(ids, parted.items()):
+            out[text] = np.frombuffer(first + b"".join(map(known.__getitem__, itertools.islice(parts, 1, None))), "<u4")
+        for u in single:
+            del known[u]
         return [out[text] for text in texts]
 
 
