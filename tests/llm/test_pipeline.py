@@ -1,7 +1,9 @@
 """Similar groups and the pipeline's stages against plain versions."""
 
 import random
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +155,26 @@ def test_run_is_the_stages(spark):
     again = corpus_pipeline.run(spark, SF)
     assert got.count() == again.count() > 0
     assert got.agg(F.sum("length"), F.sum("ids_crc32")).first() == again.agg(F.sum("length"), F.sum("ids_crc32")).first()
+
+
+def test_sample_is_counted_without_a_row_a_shingle(spark):
+    texts = [t or "" for t in near_copies()]
+    sets = [simhash_words.shingle_set(t.encode()) for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["tid", "text"])
+    total = sum(map(len, sets))
+    runs = list(simhash_words._runs(5, 20_000)([batch.slice(at, 50) for at in range(0, len(texts), 50)]))
+    assert total > 60_000 and sum(b.num_rows for b in runs) <= (total // 20_000 + 1) * simhash_words.PARTS
+    assert sum(len(x.as_py()) for b in runs for x in b.column("run")) == 8 * total
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs = simhash_words.keyed(df).dropDuplicates(["tid"])
+    nodes = docs.select("tid", F.col("doc_id").alias("first"))
+    want = Counter(s for t in set(texts) for s in simhash_words.shingle_set(t.encode()).tolist())
+    want = {s: n for s, n in want.items() if n > 1}
+    s, n = simhash_words._frequent(docs, nodes, len(set(texts)), 5)
+    assert dict(zip(s.tolist(), n.tolist())) == want and (s[1:] > s[:-1]).all()
+    parts = sorted((p, x) for b in runs for p, x in zip(b.column("part").to_pylist(), b.column("run").to_pylist()))
+    parts = pa.RecordBatch.from_arrays([pa.array([p for p, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["part", "run"])
+    cuts = list(simhash_words._recurrent([parts.slice(at, 7) for at in range(0, parts.num_rows, 7)]))
+    every = Counter(s for x in sets for s in x.tolist())
+    assert {s % 2**64: n for b in cuts for s, n in zip(b.column("s").to_pylist(), b.column("n").to_pylist())} == {s: n for s, n in every.items() if n > 1}
+    assert not list(simhash_words._runs(5)([])) and not list(simhash_words._recurrent([]))

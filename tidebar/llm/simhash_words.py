@@ -29,6 +29,9 @@ PARITIES = 8
 #: Texts in the sample that orders the shingles, and shingles that are put last.
 SAMPLE = 40_000
 FREQUENT = 200_000
+#: Parts (a power of two) in which the sample's shingles are counted, and shingles that a task holds before it parts them.
+PARTS = 256
+HELD = 500_000
 #: Orders of an entry's texts in which neighbours are compared first.
 ORDERS = 4
 
@@ -64,7 +67,7 @@ def prefix(s: np.ndarray, similarity: float, frequent: np.ndarray, often: np.nda
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
         count = np.where(frequent[at] == s, often[at], 0)
-    return s[np.lexsort((s, count))][: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]
+    return s[np.lexsort((s, count))[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]]
 
 
 def _lists(values: list[np.ndarray]) -> pa.ListArray:
@@ -72,16 +75,52 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(values).view(np.int64) if values else np.zeros(0, np.int64)))
 
 
-def _shingles(shingle: int):
+def _runs(shingle: int, held_most: int = HELD):
+    """The texts' shingles in sorted runs, a row for each part: as rows of their own they would fill the executor's heap."""
+    edges = np.arange(1, PARTS, dtype=np.uint64) * np.uint64(2**64 // PARTS)
+
+    def rows(held):
+        s = np.sort(np.concatenate(held))
+        ends = np.concatenate(([0], np.searchsorted(s, edges), [len(s)])).astype(np.int32)
+        part = np.flatnonzero(np.diff(ends))
+        bounds = np.append(ends[part], ends[-1]) * np.int32(8)
+        run = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(bounds), pa.py_buffer(s)])
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), run], names=["part", "run"])
+
     def run(batches):
+        held, n = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part.column("tid"), _lists([shingle_set(t.as_buffer().to_pybytes(), shingle) for t in part.column("text")])], names=["tid", "shingles"])
+            for text in batch.column("text"):
+                held.append(shingle_set(text.as_buffer().to_pybytes(), shingle))
+                n += len(held[-1])
+                if n >= held_most:
+                    yield rows(held)
+                    held, n = [], 0
+        if n:
+            yield rows(held)
 
     return run
 
 
+def _recurrent(batches):
+    """Of runs in order of part: the shingles that come more than once, and how often."""
+
+    def count(runs):
+        s, n = np.unique(np.concatenate(runs), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(s[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["s", "n"])
+
+    held, at = [], None
+    for batch in batches:
+        for part, run in zip(batch.column("part").to_pylist(), batch.column("run")):
+            if part != at and held:
+                yield count(held)
+                held = []
+            at = part
+            held.append(np.frombuffer(run.as_buffer(), np.uint64))
+    if held:
+        yield count(held)
+
+
 def _prefixes(shingle: int, similarity: float, frequent: np.ndarray, often: np.ndarray):
     """A row for each shingle of a text's prefix; a text that comes again in the same task is left out."""
 
@@ -222,8 +261,9 @@ def _first(docs: DataFrame, asked: DataFrame) -> DataFrame:
 
 def _frequent(docs: DataFrame, nodes: DataFrame, n_texts: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that recur in a sample of the texts, in order, and in how many of its texts. They only order the shingles."""
-    sample = _first(docs, nodes.where(F.pmod("tid", F.lit(max(1, n_texts // SAMPLE))) == 0)).mapInArrow(_shingles(shingle), "tid long, shingles array<long>")
-    counts = sample.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.col("n").desc(), "s").limit(FREQUENT).toArrow()
+    sample = _first(docs, nodes.where(F.pmod("tid", F.lit(max(1, n_texts // SAMPLE))) == 0))
+    runs = sample.mapInArrow(_runs(shingle), "part int, run binary").repartition("part").sortWithinPartitions("part")
+    counts = runs.mapInArrow(_recurrent, "s long, n long").orderBy(F.col("n").desc(), "s").limit(FREQUENT).toArrow()
     s, n = counts.column("s").to_numpy().view(np.uint64), counts.column("n").to_numpy()
     order = np.argsort(s)
     return s[order], n[order]
