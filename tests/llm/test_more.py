@@ -156,3 +156,13 @@ def test_ids_of_lines_and_added_tokens():
         for text, ids in zip(texts[at : at + 100], encoder.encode(texts[at : at + 100]), strict=True):
             assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
     assert encoder.encode([]) == []
+
+
+def test_units_are_asked_for_without_lines():
+    plain, encoder, asked = packing._tokenizer(packing.TOKENIZER), packing.Encoder(), []
+    ask = encoder._all
+    encoder._all = lambda texts: asked.extend(texts) or ask(texts)
+    texts = ["first " + " ".join(f"w{i}\u00e9x line{i}\nnext{i}" for i in range(at, at + 300)) for at in range(0, 900, 300)]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert len(asked) == len(texts) + 1 and sum(t.count("\n") for t in asked) == 900  # one text of units, no line of its own for a unit

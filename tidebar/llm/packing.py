@@ -68,21 +68,31 @@ class Encoder:
     def __init__(self, file: str = TOKENIZER):
         self.tokenizer = _tokenizer(file)
         self.known: dict[str, bytes] = {}
-        (self.line,) = self._all(["\n"])[0].ids
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.alone = re.compile("|".join(["\n", *added])).search
+        self.alone = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)").search
+        vocab = self.tokenizer.get_vocab()
+        self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # of each id: a token's characters stand for a byte each
+        for token, i in vocab.items():
+            self.bytes[i] = len(token)
 
     def _all(self, texts: list[str]) -> list:
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
     def _learn(self, fresh: list[str]) -> None:
-        """Asks for all units in one text, a line each: no piece spans an end of line and a space before a character. Units
-        must not be empty, end in white space, nor hold ends of lines or added tokens."""
-        (found,) = self._all(["".join([f" {u}\n" for u in fresh])])
+        """Asks for all units in one text, a space before each; the tokens' lengths tell where each unit's end. Units must
+        not be empty, end in white space, nor hold spaces or added tokens."""
+        if not fresh:
+            return
+        text = " " + " ".join(fresh)
+        (found,) = self._all([text])
         ids = np.array(found.ids, "<u4")
-        raw, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.line)).tolist()
-        starts = [0, *(end + 4 for end in ends)]
-        self.known.update(zip(fresh, [raw[i:j] for i, j in zip(starts, ends)], strict=True))
+        data = np.frombuffer(text.encode(), np.uint8)
+        ends = np.append(np.flatnonzero(data == 32)[1:], len(data))
+        stops = np.cumsum(self.bytes[ids])
+        at = np.minimum(np.searchsorted(stops, ends), len(ids) - 1)
+        if at[-1] != len(ids) - 1 or (stops[at] != ends).any():
+            raise ValueError("the tokens' lengths don't add up to the units'")
+        raw, cuts = ids.tobytes(), (4 * (at + 1)).tolist()
+        self.known.update(zip(fresh, [raw[i:j] for i, j in zip([0, *cuts], cuts)], strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as uint32."""
@@ -91,10 +101,13 @@ class Encoder:
         known = self.known
         parted = {text: text.split(" ") for text in dict.fromkeys(texts)}
         fresh = set().union(*parted.values()).difference(known)
+        single = {u for u in fresh if len(u) > UNIT}
         if wide := {u for u in fresh if not u or u[-1].isspace()}:  # a space behind them is theirs; none is known
             parted = {text: parts if wide.isdisjoint(parts) else units(text) for text, parts in parted.items()}
             fresh = set().union(*parted.values()).difference(known)
-        single = [u for u in fresh if len(u) > UNIT or not u or u[-1].isspace() or self.alone(u)]
+            single = {u for u in fresh if len(u) > UNIT or not u or u[-1].isspace() or " " in u}
+        if self.alone(" ".join(fresh)):
+            single.update(filter(self.alone, fresh))
         found = self._all([*(parts[0] for parts in parted.values()), *(" " + u for u in single)])
         ids = [np.array(x.ids, "<u4").tobytes() for x in found]
         self._learn(list(fresh.difference(single)))
