@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidebar.llm import pii, simhash, simhash_words
+from tidebar.llm import common, packing, pii, simhash, simhash_words
 
 SF = "/root/testdata/sf0.001"
 
@@ -178,3 +178,42 @@ def test_sample_is_counted_without_a_row_a_shingle(spark):
     every = Counter(s for x in sets for s in x.tolist())
     assert {s % 2**64: n for b in cuts for s, n in zip(b.column("s").to_pylist(), b.column("n").to_pylist())} == {s: n for s, n in every.items() if n > 1}
     assert not list(simhash_words._runs(5)([])) and not list(simhash_words._recurrent([]))
+
+
+def test_texts_go_to_workers_in_short_batches(spark, monkeypatch):
+    key, seen, size = "spark.sql.execution.arrow.maxBytesPerBatch", {}, common.BATCH_BYTES
+    before = spark.conf.get(key)
+
+    def noted(df, name, cut=common.cut):
+        seen.setdefault(name, set()).add(spark.conf.get(key))
+        return cut(df, name)
+
+    monkeypatch.setattr(simhash_words, "cut", noted)
+    monkeypatch.setattr(packing, "cut", noted)
+    df = spark.createDataFrame([(i, f"{i % 7} some words that come again") for i in range(20)], "doc_id long, text string")
+    simhash_words.similar_groups(df).collect()
+    packing.pack(df).collect()
+    assert all(seen[name] == {str(size)} for name in ("fingerprints", "recurring", "near", "alike", "pieces")) and spark.conf.get(key) == before
+
+    def lengths(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    long = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("a"), 5000).alias("text"))
+    with common.short_batches(spark):
+        rows = [r.n for r in long.mapInArrow(lengths, "n long").collect()]
+    assert sum(rows) == 4000 and max(rows) <= 2 * size / 5000
+    with pytest.raises(ZeroDivisionError), common.short_batches(spark):
+        1 / 0
+    assert spark.conf.get(key) == before
+
+
+def test_workers_give_memory_back_when_a_task_is_over(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "release", lambda: calls.append(1))
+    task = common.lean(lambda batches: (2 * b for b in batches))
+    assert list(task(iter([1, 2]))) == [2, 4] and len(calls) == 1
+    left = task(iter([1, 2]))
+    next(left)
+    left.close()
+    assert len(calls) == 2

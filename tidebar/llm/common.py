@@ -1,13 +1,17 @@
-"""Helpers shared by the training-data operators: shared folder, cut tables, size-checked broadcasts, keys of texts."""
+"""Helpers shared by the training-data operators: shared folder, cut tables, memory of workers, size-checked broadcasts, keys of texts."""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import itertools
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +19,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 #: Bytes that a row takes in a broadcast beside its values, about.
 ROW_BYTES = 16
+#: Bytes of an Arrow batch of texts, about: Spark's 64 MB would stand several times in the JVM and in the worker.
+BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +47,44 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def short_batches(spark: SparkSession, size: int = BATCH_BYTES):
+    """What runs inside hands Python workers Arrow batches of `size` bytes at most, about; rows are many or few as they are short or long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def release() -> None:
+    """Gives this process's freed memory back to the system, as far as Arrow's and the C library's allocators can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run):
+    """run (a function for mapInArrow) that gives memory back when its task is over: the worker stays, beside later steps of the executor."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
+def settle(spark: SparkSession) -> None:
+    """Lets executors drop broadcast tables and shuffle files that nothing refers to any more: Spark drops them when the
+    driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(df: DataFrame) -> None:
     """Deletes a cut table that nothing reads any more, such as what a loop has replaced."""
     jvm = df.sparkSession._jvm

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import cut, texts
+from tidebar.llm.common import cut, lean, short_batches, texts
 
 SIZE = 2048
 END = 0
@@ -33,7 +33,7 @@ BUCKET = 500
 
 
 #: Characters of texts that are encoded together, about.
-GROUP = 1_000_000
+GROUP = 250_000
 #: Characters up to which a unit's ids are remembered, and how many units are.
 UNIT = 48
 UNITS = 400_000
@@ -311,7 +311,9 @@ def pack(documents: DataFrame, size: int = SIZE, bucket: int = BUCKET, tokenizer
     A document is its text's ids and an end mark; a null text is empty, so only the mark. Only longer documents are cut,
     into pieces of `size`, the first of which may be shorter. Repeated rows are documents of their own. An empty table
     gives no rows."""
-    pieces = cut(texts(documents).mapInArrow(_pieces(size, tokenizer), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    pieces = texts(documents).mapInArrow(lean(_pieces(size, tokenizer)), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    with short_batches(documents.sparkSession):
+        pieces = cut(pieces, "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
     buckets = max(1, -(-max(counts.values(), default=1) // bucket))
     part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")

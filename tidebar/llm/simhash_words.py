@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.llm import simhash
-from tidebar.llm.common import cut, keyed, small, text_name, texts
+from tidebar.llm.common import cut, keyed, lean, settle, short_batches, small, text_name, texts
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -241,7 +241,7 @@ def _tiles(similarity: float):
 def unlinked_pairs(members: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
     """(a, b), a < b: all pairs of texts with a common key and different roots that may be similar. members: key, tid, n, root, parity."""
     filed = members.select("key", "tid", "n", "root", "parity").repartition("key").sortWithinPartitions("key")
-    found = cut(filed.mapInArrow(_compare(similarity, tile), f"a long, b long, {MEMBER}"), "compared")
+    found = cut(filed.mapInArrow(lean(_compare(similarity, tile)), f"a long, b long, {MEMBER}"), "compared")
     out = found.where("key is null").select("a", "b")
     late = found.where("key is not null").drop("a", "b")
     sizes = late.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "m")
@@ -262,8 +262,9 @@ def _first(docs: DataFrame, asked: DataFrame) -> DataFrame:
 def _frequent(docs: DataFrame, nodes: DataFrame, n_texts: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that recur in a sample of the texts, in order, and in how many of its texts. They only order the shingles."""
     sample = _first(docs, nodes.where(F.pmod("tid", F.lit(max(1, n_texts // SAMPLE))) == 0))
-    runs = sample.mapInArrow(_runs(shingle), "part int, run binary").repartition("part").sortWithinPartitions("part")
-    counts = runs.mapInArrow(_recurrent, "s long, n long").orderBy(F.col("n").desc(), "s").limit(FREQUENT).toArrow()
+    runs = sample.mapInArrow(lean(_runs(shingle)), "part int, run binary").repartition("part").sortWithinPartitions("part")
+    with short_batches(docs.sparkSession):
+        counts = runs.mapInArrow(lean(_recurrent), "s long, n long").orderBy(F.col("n").desc(), "s").limit(FREQUENT).toArrow()
     s, n = counts.column("s").to_numpy().view(np.uint64), counts.column("n").to_numpy()
     order = np.argsort(s)
     return s[order], n[order]
@@ -304,11 +305,13 @@ def _equal_enough(similarity: float, shingle: int):
 def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar. Parities part most that aren't; the texts of the rest meet."""
     wide = lambda side, n, x: nodes.select(F.col("tid").alias(side), F.col("n").alias(n), F.col("wide").alias(x))
-    near = pairs.join(wide("a", "m", "x"), "a").join(wide("b", "n", "y"), "b").mapInArrow(_bounded(similarity), "a long, b long")
-    near = cut(near, "near")
+    near = pairs.join(wide("a", "m", "x"), "a").join(wide("b", "n", "y"), "b").mapInArrow(lean(_bounded(similarity)), "a long, b long")
+    with short_batches(docs.sparkSession):
+        near = cut(near, "near")
     one = _first(docs, nodes.join(near.select(F.col("a").alias("tid")).union(near.select("b")).distinct(), "tid", "left_semi"))
     both = near.join(one.select(F.col("tid").alias("a"), F.col("text").alias("x")), "a").join(one.select(F.col("tid").alias("b"), F.col("text").alias("y")), "b")
-    return cut(both.mapInArrow(_equal_enough(similarity, shingle), "a long, b long").distinct(), "alike")
+    with short_batches(docs.sparkSession):
+        return cut(both.mapInArrow(lean(_equal_enough(similarity, shingle)), "a long, b long").distinct(), "alike")
 
 
 def _scan(shingle: int):
@@ -332,16 +335,20 @@ def similar_groups(documents: DataFrame, similarity: float = SIMILARITY, shingle
     near_duplicates has it). documents: doc_id, text (extra columns are ignored). Equal texts are one; null texts are
     empty; texts without words are linked with each other; an empty table gives no rows."""
     docs = keyed(texts(documents))
-    scan = cut(docs.withColumn("name", text_name(F.col("text"))).mapInArrow(_scan(shingle), "doc_id long, tid long, name string, fp long, n int, wide array<long>"), "fingerprints")
+    scan = docs.withColumn("name", text_name(F.col("text"))).mapInArrow(lean(_scan(shingle)), "doc_id long, tid long, name string, fp long, n int, wide array<long>")
+    with short_batches(docs.sparkSession):
+        scan = cut(scan, "fingerprints")
     nodes = cut(scan.groupBy("tid").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("wide").alias("wide")), "texts")
     fps = cut(nodes.groupBy("fp").agg(F.min("tid").alias("tid")), "distinct")
     roots = simhash.components(simhash.links(fps.select("fp")))
     strict = fps.join(roots, fps.fp == roots.node).join(fps.select(F.col("fp").alias("root"), F.col("tid").alias("b")), "root").select(F.col("tid").alias("a"), "b")
     same = nodes.select("tid", "fp").join(fps.select("fp", F.col("tid").alias("b")), "fp").where("tid <> b").select(F.col("tid").alias("a"), "b")
 
-    filed = docs.mapInArrow(_prefixes(shingle, similarity, *_frequent(docs, nodes, nodes.count(), shingle)), "key long, tid long")
+    filed = docs.mapInArrow(lean(_prefixes(shingle, similarity, *_frequent(docs, nodes, nodes.count(), shingle))), "key long, tid long")
     filed = filed.repartition("key").sortWithinPartitions("key", F.xxhash64("tid", F.pmod("key", F.lit(ORDERS))), "tid")
-    recurring = cut(filed.mapInArrow(_recurring, "key long, tid long, near long"), "recurring")
+    with short_batches(docs.sparkSession):
+        recurring = cut(filed.mapInArrow(lean(_recurring), "key long, tid long, near long"), "recurring")
+    settle(docs.sparkSession)
     small_parity = F.transform(F.sequence(F.lit(0), F.lit(PARITIES - 1)), lambda i: F.aggregate(F.filter("wide", lambda _, j: j % PARITIES == i), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)))
     info = cut(nodes.join(recurring.select("tid").distinct(), "tid", "left_semi").select("tid", "n", small_parity.alias("parity")), "sizes")
     near = recurring.where("near is not null").select(F.least("tid", "near").alias("a"), F.greatest("tid", "near").alias("b")).distinct()
@@ -354,6 +361,7 @@ def similar_groups(documents: DataFrame, similarity: float = SIMILARITY, shingle
     members = recurring.select("key", "tid").join(info.join(root, info.tid == root.node, "left").select("tid", "n", F.coalesce("root", "tid").alias("root"), "parity"), "tid")
     rest = cut(unlinked_pairs(members, similarity, tile), "unlinked")
     root = simhash.components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_alike(docs, nodes, rest, similarity, shingle)))
+    settle(docs.sparkSession)
     named = cut(nodes.join(root, nodes.tid == root.node, "left").select("tid", "first", F.coalesce("root", "tid").alias("root")), "roots")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     label = cut(named.join(least, "root").select("tid", "component_id", "root"), "labels")
