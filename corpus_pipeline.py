@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebar.llm import language_id, mixing, packing, pii, simhash_words
-from tidebar.llm.common import cut, small, text_name
+from tidebar.llm.common import cut, short_batches, small, text_name
 
 #: Share of n-grams of the predicted language below which a document isn't in any language.
 LEAST_SCORE = 0.2
@@ -24,10 +24,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in one of the learned languages: not those without text or letters (null texts are such), nor those
     that no language's n-grams fit. Repeated rows stay or go alike; an empty table stays empty; where no label is known,
     nothing can be learned and no document is kept."""
-    judged = language_id.predict(docs, language_id.train(docs))
-    judged = judged.toDF(*[f"c{i}" for i in range(len(docs.columns))], "pred", "fit")
-    kept = judged.where((F.col("pred") != language_id.UNKNOWN) & (F.col("fit") >= LEAST_SCORE))
-    return kept.drop("pred", "fit").toDF(*docs.columns)
+    with short_batches(spark):  # rows go to the workers and back with all their columns: hence they are written here
+        judged = language_id.predict(docs, language_id.train(docs))
+        judged = judged.toDF(*[f"c{i}" for i in range(len(docs.columns))], "pred", "fit")
+        kept = judged.where((F.col("pred") != language_id.UNKNOWN) & (F.col("fit") >= LEAST_SCORE))
+        kept = cut(kept.drop("pred", "fit"), "judged")
+    return kept.toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidebar.llm import common, packing, pii, simhash, simhash_words
+from tidebar.llm import common, language_id, packing, pii, simhash, simhash_words
 
 SF = "/root/testdata/sf0.001"
 
@@ -217,3 +217,20 @@ def test_workers_give_memory_back_when_a_task_is_over(monkeypatch):
     next(left)
     left.close()
     assert len(calls) == 2
+
+
+def test_rows_are_judged_in_short_batches(spark, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", {}
+    before = spark.conf.get(key)
+
+    def noted(df, name, cut=common.cut):
+        seen[name] = spark.conf.get(key)
+        return cut(df, name)
+
+    monkeypatch.setattr(corpus_pipeline, "cut", noted)
+    monkeypatch.setattr(language_id, "cut", noted)
+    rows = [(i, w, "text " * (i % 3) + w, x) for i, (w, x) in enumerate([("hello there", "en"), ("guten tag", "de")] * 10)]
+    df = spark.createDataFrame([*rows, (None, None, None, None)], "doc_id long, `a.b` string, text string, lang string")
+    got = corpus_pipeline.language(spark, df, SF)
+    assert got.columns == df.columns and {tuple(r) for r in got.collect()} <= set(rows)
+    assert seen["judged"] == seen["grams"] == str(common.BATCH_BYTES) and spark.conf.get(key) == before
