@@ -166,3 +166,33 @@ def test_units_are_asked_for_without_lines():
     for text, ids in zip(texts, encoder.encode(texts), strict=True):
         assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
     assert len(asked) == len(texts) + 1 and sum(t.count("\n") for t in asked) == 900  # one text of units, no line of its own for a unit
+
+
+def test_words_are_asked_for_once_whatever_mark_follows():
+    plain, encoder, asked = packing._tokenizer(packing.TOKENIZER), packing.Encoder(), []
+    ask = encoder._all
+    encoder._all = lambda texts: asked.extend(texts) or ask(texts)
+    marks = ["", ",", ".", "!!", ".\nNext", "'s", "é.", "\nline"]
+    texts = ["first " + " ".join(f"wörd{i}é{m}" if i % 2 else f"word{i}x{m}" for i in range(50) for m in marks) for _ in range(3)]
+    texts = [f"{text} {k}" for k, text in enumerate(texts)]
+    for at in range(3):  # together and one after another
+        for text, ids in zip(texts[at:], encoder.encode(texts[at:]), strict=True):
+            assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+    said = "".join(asked)
+    assert all(said.count(f" wörd{i}é" if i % 2 else f" word{i}x") <= 2 for i in range(50))  # with and without another letter behind
+    assert sum(map(len, asked)) < 2500
+
+
+def test_ids_at_every_pair_of_characters(monkeypatch):
+    monkeypatch.setattr(packing, "UNIT", 8)
+    monkeypatch.setattr(packing, "UNITS", 300)
+    monkeypatch.setattr(packing, "ASKED", 7)
+    plain, encoder = packing._tokenizer(packing.TOKENIZER), packing.Encoder()
+    odd = [chr(i) for i in (*range(0x100), 0x1680, 0x180E, *range(0x2000, 0x2030), 0x205F, 0x2060, 0x3000, 0xFEFF, 0x301, 0x4F60, 0x1F600)]
+    texts = ["b" + "".join(f"{a}{b} x" for b in odd) + a for a in odd] + ["", "a", " ", "\n", "a.", "a<|endoftext|>.b", "　.", ".", "é."]
+    for at in range(0, len(texts), 20):
+        for text, ids in zip(texts[at : at + 20], encoder.encode(texts[at : at + 20]), strict=True):
+            assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert len(encoder.known) == len(encoder.ids) <= 300 and max(map(len, encoder.known.to_pylist()), default=0) <= 8
+    for text in texts[-9:]:
+        assert packing.Encoder().encode([text])[0].tolist() == plain.encode(text, add_special_tokens=False).ids

@@ -10,9 +10,8 @@ each piece finds its place from its length and its number among the pieces of th
 from __future__ import annotations
 
 import bisect
-import itertools
 import os
-import re
+import string
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -32,10 +31,11 @@ TOKENIZER = "byte_bpe_50k.json"
 BUCKET = 500
 
 
-#: Characters of texts that are encoded together, about.
-GROUP = 250_000
-#: Characters up to which a unit's ids are remembered, and how many units are.
-UNIT = 48
+#: Characters of texts that are encoded together, about, and units that the tokenizer is asked for together.
+GROUP = 2_000_000
+ASKED = 16_000
+#: Bytes up to which a unit's ids are remembered, and how many units are.
+UNIT = 64
 UNITS = 400_000
 
 
@@ -48,75 +48,155 @@ def _tokenizer(file: str):
     return Tokenizer.from_file(public_tokenizers.path(file))
 
 
-def units(text: str) -> list[str]:
-    """The text in units, each but the first without the space that it begins with.
-
-    The tokenizer's pieces never go from another character to a space, so that a text may be parted before every space
-    that doesn't follow white space, and the units' ids one after another are the text's."""
-    out, held = [], []
-    for p in text.split(" "):
-        held.append(p)
-        if p and not p[-1].isspace():
-            out.append(" ".join(held))
-            held = []
-    return out + [" ".join(held)] if held else out
+@lru_cache(maxsize=1)
+def _token_bytes(file: str) -> np.ndarray:
+    """Bytes of each id: a token's characters stand for a byte each."""
+    vocab = _tokenizer(file).get_vocab()
+    out = np.zeros(max(vocab.values()) + 1, np.int64)
+    for token, i in vocab.items():
+        out[i] = len(token)
+    return out
+
+
+_WHITE, _WORD = b" \t\n\r", (string.ascii_letters + string.digits).encode()
+_MARK = string.punctuation.encode()
+#: A text may be parted where the byte before and the byte after share a bit: 1 is white space after anything else, 2 a
+#: mark after a letter or digit. Of bytes beyond ASCII the characters are looked at as well.
+_BEFORE = bytes(3 if i > 127 or i in _WORD else i in _MARK for i in range(256))
+_AFTER = bytes((i in _WHITE) + 2 * (i in _MARK) for i in range(256))
+
+
+def _may_be_white(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before each place may be white space or a control character, to be on the safe side."""
+    a, b, c = (np.where(ends > k, data[np.maximum(ends - 1 - k, 0)], 0) for k in range(3))
+    two = (b == 0xC2) & ((a == 0x85) | (a == 0xA0))
+    general = (c == 0xE2) & ((b == 0x81) | ((b == 0x80) & ((a <= 0x8F) | (a == 0xA8) | (a == 0xA9) | (a == 0xAF))))
+    three = general | ((c == 0xE1) & (((b == 0x9A) & (a == 0x80)) | ((b == 0xA0) & (a == 0x8E)))) | ((c == 0xE3) & (b == 0x80) & (a == 0x80))
+    return np.where(a < 0x80, (a <= 0x20) | (a == 0x7F), two | three)
+
+
+def _places(raw: bytes, starts: np.ndarray, whole: list[tuple[int, int]]) -> np.ndarray:
+    """Where the units of texts (UTF-8, one after another) begin: at the texts' starts, before white space that follows
+    none, and before an ASCII mark that follows a letter (ASCII or Latin-1) or an ASCII digit.
+
+    The tokenizer's own pieces end at all of these places, and what it makes of a unit doesn't depend on those around it.
+    Spans in whole are not parted."""
+    data = np.frombuffer(raw, np.uint8)
+    edge = np.zeros(len(data), np.uint8)
+    np.bitwise_and(np.frombuffer(raw.translate(_BEFORE), np.uint8)[:-1], np.frombuffer(raw.translate(_AFTER), np.uint8)[1:], out=edge[1:])
+    for i, j in whole:
+        edge[i:j] = 0
+    edge[starts] = 4
+    at = np.flatnonzero(edge)
+    unsure = np.flatnonzero((edge[at] != 4) & (data[at - 1] > 127))
+    places = at[unsure]
+    latin = (data[places - 2] == 0xC3) & (data[places - 1] != 0x97) & (data[places - 1] != 0xB7)
+    keep = np.ones(len(at), bool)
+    keep[unsure] = np.where(edge[places] == 1, ~_may_be_white(data, places), latin)
+    return at[keep]
+
+
+def _bounds(strings: pa.LargeBinaryArray) -> np.ndarray:
+    return np.zeros(1, np.int64) if not len(strings) else np.frombuffer(strings.buffers()[1], np.int64, len(strings) + 1, 8 * strings.offset)
+
+
+def _strings(bounds: np.ndarray, data, null: np.ndarray | None = None) -> pa.LargeBinaryArray:
+    valid = None if null is None else pa.py_buffer(np.packbits(~null, bitorder="little"))
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [valid, pa.py_buffer(np.ascontiguousarray(bounds, np.int64)), pa.py_buffer(data)])
 
 
 class Encoder:
-    """Ids of texts by the tokenizer, asked once for texts that come together and for units that recur."""
+    """Ids of texts by the tokenizer, asked once for texts that come together and for units that recur.
+
+    Units and their ids are columns of bytes; a unit's ids are found by its number in the dictionary of units."""
 
     def __init__(self, file: str = TOKENIZER):
         self.tokenizer = _tokenizer(file)
-        self.known: dict[str, bytes] = {}
-        self.alone = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)").search
-        vocab = self.tokenizer.get_vocab()
-        self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # of each id: a token's characters stand for a byte each
-        for token, i in vocab.items():
-            self.bytes[i] = len(token)
+        self.bytes = _token_bytes(file)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known = self.ids = pa.array([], pa.large_binary())
 
     def _all(self, texts: list[str]) -> list:
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
-    def _learn(self, fresh: list[str]) -> None:
-        """Asks for all units in one text, a space before each; the tokens' lengths tell where each unit's end. Units must
-        not be empty, end in white space, nor hold spaces or added tokens."""
-        if not fresh:
-            return
-        text = " " + " ".join(fresh)
-        (found,) = self._all([text])
+    def _parted(self, text: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the text and how many of them come before each of its ends, by the tokens' lengths."""
+        (found,) = self._all([text.decode()])
         ids = np.array(found.ids, "<u4")
-        data = np.frombuffer(text.encode(), np.uint8)
-        ends = np.append(np.flatnonzero(data == 32)[1:], len(data))
         stops = np.cumsum(self.bytes[ids])
-        at = np.minimum(np.searchsorted(stops, ends), len(ids) - 1)
-        if at[-1] != len(ids) - 1 or (stops[at] != ends).any():
+        at = np.searchsorted(stops, ends)
+        if len(ids) == 0 or stops[-1] != len(text) or (stops[at] != ends).any():
             raise ValueError("the tokens' lengths don't add up to the units'")
-        raw, cuts = ids.tobytes(), (4 * (at + 1)).tolist()
-        self.known.update(zip(fresh, [raw[i:j] for i, j in zip([0, *cuts], cuts)], strict=True))
+        return ids, at + 1
+
+    def _learn(self, fresh: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
+        """Ids of units that begin with white space or a mark. Those that begin with white space are asked for as one text,
+        those with a mark in lines, and those that may end in white space, which only ends of texts do, alone."""
+        bounds = _bounds(fresh)
+        data = np.frombuffer(fresh.buffers()[2], np.uint8)
+        alone = _may_be_white(data, bounds[1:])
+        white = np.isin(data[bounds[:-1]], np.frombuffer(_WHITE, np.uint8))
+        order, parts, sizes = [], [], []
+        for mask, gap in ((white & ~alone, b""), (~white & ~alone, b"\n")):
+            chosen = np.flatnonzero(mask)
+            for i in range(0, len(chosen), ASKED):
+                at = chosen[i : i + ASKED]
+                asked = fresh.take(pa.array(at))
+                text = gap.join(asked.to_pylist()) if gap else asked.buffers()[2].to_pybytes()[: _bounds(asked)[-1]]
+                ends = np.cumsum(bounds[at + 1] - bounds[at] + len(gap)) - len(gap)
+                if not gap:
+                    ids, stops = self._parted(text, ends)
+                    n = np.diff(stops, prepend=0)
+                else:  # a line's end is a token of its own
+                    ids, stops = self._parted(text, np.sort(np.concatenate([ends, ends[:-1] + 1])))
+                    n = np.diff(stops, prepend=0)
+                    ids, n = ids[np.repeat(np.arange(len(n)) % 2 == 0, n)], n[::2]
+                order.append(at)
+                parts.append(ids.tobytes())
+                sizes.append(n)
+        at = np.flatnonzero(alone)
+        if len(at):
+            found = [np.array(x.ids, "<u4") for x in self._all([x.decode() for x in fresh.take(pa.array(at)).to_pylist()])]
+            order.append(at)
+            parts.extend(x.tobytes() for x in found)
+            sizes.append(np.array([len(x) for x in found]))
+        out = _strings(np.append(0, 4 * np.cumsum(np.concatenate(sizes))), b"".join(parts))
+        order = np.concatenate(order)
+        return out if (order[1:] > order[:-1]).all() else out.take(pa.array(np.argsort(order)))
+
+    def _forget(self) -> None:
+        """Keeps short units, and of too many the half that came first, as they recur most."""
+        short = np.flatnonzero(np.diff(_bounds(self.known)) <= UNIT)
+        if len(short) > UNITS:
+            short = short[: UNITS // 2]
+        if len(short) < len(self.known):
+            self.known, self.ids = (x.take(pa.array(short)) for x in (self.known, self.ids))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as uint32."""
-        if len(self.known) > UNITS:  # those that came first recur most
-            self.known = dict(itertools.islice(self.known.items(), UNITS // 2))
-        known = self.known
-        parted = {text: text.split(" ") for text in dict.fromkeys(texts)}
-        fresh = set().union(*parted.values()).difference(known)
-        single = {u for u in fresh if len(u) > UNIT}
-        if wide := {u for u in fresh if not u or u[-1].isspace()}:  # a space behind them is theirs; none is known
-            parted = {text: parts if wide.isdisjoint(parts) else units(text) for text, parts in parted.items()}
-            fresh = set().union(*parted.values()).difference(known)
-            single = {u for u in fresh if len(u) > UNIT or not u or u[-1].isspace() or " " in u}
-        if self.alone(" ".join(fresh)):
-            single.update(filter(self.alone, fresh))
-        found = self._all([*(parts[0] for parts in parted.values()), *(" " + u for u in single)])
-        ids = [np.array(x.ids, "<u4").tobytes() for x in found]
-        self._learn(list(fresh.difference(single)))
-        known.update(zip(single, ids[len(parted) :]))
-        out = {}
-        for first, (text, parts) in zip(ids, parted.items()):
-            out[text] = np.frombuffer(first + b"".join(map(known.__getitem__, itertools.islice(parts, 1, None))), "<u4")
-        for u in single:
-            del known[u]
+        once = list(dict.fromkeys(texts))
+        utf8 = [text.encode() for text in once]
+        raw = b"".join(utf8)
+        if not raw:
+            return [np.empty(0, "<u4") for _ in texts]
+        bounds = np.cumsum([0, *map(len, utf8)])
+        starts = bounds[:-1][np.diff(bounds) > 0]
+        spans = zip(once, bounds.tolist(), bounds[1:].tolist())
+        at = np.append(_places(raw, starts, [(i, j) for text, i, j in spans if any(t in text for t in self.added)]), len(raw))
+        heads = np.searchsorted(at, starts)  # a text's first unit is asked for alone: it may begin with anything
+        found = self._all([raw[i:j].decode() for i, j in zip(starts.tolist(), at[heads + 1].tolist())])
+        first = iter([np.array(x.ids, "<u4") for x in found])
+        head = np.zeros(len(at) - 1, bool)
+        head[heads] = True
+        coded = pa.concat_arrays([self.known, _strings(at, raw, head)]).dictionary_encode()
+        if len(coded.dictionary) > len(self.known):
+            self.ids = pa.concat_arrays([self.ids, self._learn(coded.dictionary[len(self.known) :])])
+        ids = self.ids.take(coded.indices[len(self.known) :])  # nothing for a first unit
+        self.known = coded.dictionary
+        self._forget()
+        stops = _bounds(ids)[np.searchsorted(at, bounds)] // 4
+        flat = np.frombuffer(ids.buffers()[2] or b"", "<u4", stops[-1])
+        out = {text: np.concatenate([next(first), flat[i:j]]) if text else flat[:0] for text, i, j in zip(once, stops.tolist(), stops[1:].tolist())}
         return [out[text] for text in texts]
 
 
